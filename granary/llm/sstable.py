@@ -210,8 +210,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     spark = docs.sparkSession
     folder, path = folder or fresh_path(spark, "shards"), vocabulary or tokens.vocabulary_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    ranged = rows.repartitionByRange(shards or spread(spark), *order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(shards or spread(spark), *order).sortWithinPartitions(*order, "text")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, writer, name = TaskContext.get(), None, ""

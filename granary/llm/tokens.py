@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -17,21 +18,66 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A part that is Latin letters and then other signs of ASCII but digits and apostrophes.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Parts that show whether a tokenizer lower-cases and parts letters from signs.
+PROBES = ["Thing.", "ÉTÉ!!", "a***", "Straße,", "|", "word", "Word", "x|", "(", "Überhaupt;"]
+MARK = "|"
+
+
 class Encoder:
     """Little-endian 32-bit ids of a text, for tokenizers that never join what white space separates.
 
     Texts are parted at plain spaces and line ends only, so anything else that the tokenizer may count as white
-    space stays inside a part and is left to it.  At most ``room`` parts are remembered, none over 64 characters.
+    space stays inside a part and is left to it.  Where the tokenizer lower-cases and parts letters from signs
+    (it is probed for that), plain parts are put together from their letters and their signs; others, and all
+    parts for other tokenizers, are encoded as they are.  At most ``room`` parts are remembered, none over 64
+    characters.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {"": b""}
+        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.known, self.cores, self.tails = {"": b""}, {}, {"": b""}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        parts = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        made |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": parts}}
+        self.bare, self.parted = Tokenizer.from_str(json.dumps(made)), len(self.mark) == 1
+        if self.parted:
+            found = self.assembled(PROBES)
+            self.parted = [np.frombuffer(found[p], "<u4").tolist() for p in PROBES if p in found] == [
+                self.tokenizer.encode(p, add_special_tokens=False).ids for p in PROBES if p in found
+            ]
+            self.cores, self.tails = {}, {"": b""}
+
+    def assembled(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of the plain ones among ``parts``."""
+        found = [(p, m[1].lower(), m[2]) for p, m in zip(parts, map(PLAIN.fullmatch, parts)) if m]
+        cores, tails = self.cores, self.tails
+        fresh = [c for c in {c for _, c, _ in found} if c not in cores]
+        for at in range(0, len(fresh), 1024):
+            some = fresh[at : at + 1024]
+            # The mark, a sign, is in no core and parts them, so where each ends shows in the ids alone.
+            ids = np.array(self.bare.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for core, end in zip(some, ends):
+                cores[core] = raw[4 * start : 4 * end]
+                start = end + 1
+        for tail in {t for _, _, t in found}.difference(tails):
+            tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+        return {p: cores[c] + tails[t] for p, c, t in found}
 
     def learn(self, parts: list[str], into: dict[str, bytes]) -> None:
         """Encode parts, many in one call: where each starts in the joined text tells its ids apart."""
+        if self.parted:
+            plain = self.assembled(parts)
+            into.update(plain)
+            parts = [p for p in parts if p not in plain]
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -44,21 +90,26 @@ class Encoder:
                 into[part] = raw[4 * a : 4 * b]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [re.sub(r"[\t\n\r]", " ", t).split(" ") if t else [] for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         known = self.known
-        fresh = set(chain.from_iterable(split)).difference(known)
-        once: dict[str, bytes] = {}
-        if fresh:
+        flat = list(chain.from_iterable(split))
+        found = list(map(known.get, flat))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        if holes:
+            fresh = {flat[i] for i in holes}
+            once: dict[str, bytes] = {}
             self.learn([p for p in fresh if len(p) <= 64], known)
             self.learn([p for p in fresh if len(p) > 64], once)
-        out = []
+            for i in holes:
+                found[i] = known[flat[i]] if flat[i] in known else once[flat[i]]
+        out, at = [], 0
         for parts in split:
-            try:
-                out.append(b"".join([known[p] for p in parts]))
-            except KeyError:
-                out.append(b"".join([known[p] if p in known else once[p] for p in parts]))
-        if len(known) > self.room:
+            out.append(b"".join(found[at : at + len(parts)]))
+            at += len(parts)
+        if len(self.known) > self.room:
             self.known = {"": b""}
+        if len(self.cores) > self.room:
+            self.cores = {}
         return out
 
 
