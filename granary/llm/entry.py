@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import neardup
+
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import packing
 
@@ -35,6 +42,12 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import repeats
+
+    return repeats.digest(repeats.find_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import quality
 
@@ -61,7 +74,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_packing, op3_sstable, op4_topk, op5_urls, op7_quality, op8_secrets, op9_matroska, op10_mixture]
+    found = [op1_neardup, op2_packing, op3_sstable, op4_topk, op5_urls, op6_repeats, op7_quality, op8_secrets, op9_matroska, op10_mixture]
     return {f.__name__: f for f in found}
 
 

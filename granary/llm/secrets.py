@@ -70,7 +70,7 @@ def printed(spans: Column, names: list[str]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: rid, id, owner, repo, base spans and loose candidates (both arrays).
 
     ``rid`` tells repeated rows apart; it is stable because the table is stored.
@@ -80,21 +80,23 @@ def scan(docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = (
         F.col(owner_col).cast("string").alias("owner"),
         F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(repo_cols)])).alias("repo"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
-    text = F.col("text")
+    text, kept = F.col("text"), [f"kept_{c}" for c in keep]
     found = clean.select(
         "doc_id",
         "owner",
         "repo",
         *[none_if_null(matches(text, r, p, g, n)).alias(f"s{r}") for r, (_, p, g, n) in enumerate(BASE)],
         none_if_null(matches(text, len(BASE), LOOSE[1], 0, 20)).alias("loose"),
+        *kept,
     )
     # Sorting structs goes by start, then kind.
-    based = found.select("doc_id", "owner", "repo", F.array_sort(F.concat(*[f"s{r}" for r in range(len(BASE))])).alias("base"), "loose")
+    based = found.select("doc_id", "owner", "repo", F.array_sort(F.concat(*[f"s{r}" for r in range(len(BASE))])).alias("base"), "loose", *kept)
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
     apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     return based.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo", "base", F.filter("loose", lambda s: mixed(s) & apart(s)).alias("loose")
+        F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo", "base", F.filter("loose", lambda s: mixed(s) & apart(s)).alias("loose"), *kept
     )
 
 
@@ -118,15 +120,17 @@ def find_secrets(
     max_owners: int = 2,
     max_repos: int = 4,
     id_col: str = "doc_id",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """All secret spans of each document, and how widely their values are held.
 
     Returns a row per input row: doc_id, base (spans), added (spans of the method: mixed long runs that at
     most ``max_owners`` owners and ``max_repos`` repositories hold), n_live and n_example (base spans whose
     value is held narrowly or widely).  A null text counts as empty; a null owner or repository counts as one
-    of its own; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
+    of its own; repeated rows each get their row; an empty table gives no rows; other columns are ignored unless
+    named in ``keep``, which carries them as ``kept_<name>``.
     """
-    table = stored(scan(docs, text_col, repo_cols, owner_col, id_col), "secret-scan")
+    table = stored(scan(docs, text_col, repo_cols, owner_col, id_col, keep), "secret-scan")
     spans = table.where((F.size("base") > 0) | (F.size("loose") > 0)).select(
         "rid", "owner", "repo", F.explode(F.concat("base", "loose")).alias("span")
     ).select("rid", "owner", "repo", "span", F.xxhash64("span.value").alias("h"), F.sha2("span.value", 256).alias("hash"))
@@ -142,8 +146,9 @@ def find_secrets(
         F.count_if(is_base & ~F.col("live")).alias("n_example"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return table.select("rid", "doc_id", "base").join(per_doc, "rid", "left").select(
-        "doc_id", "base", none_if_null(F.col("added")).alias("added"), zero("n_live"), zero("n_example")
+    kept = [f"kept_{c}" for c in keep]
+    return table.select("rid", "doc_id", "base", *kept).join(per_doc, "rid", "left").select(
+        "doc_id", "base", none_if_null(F.col("added")).alias("added"), zero("n_live"), zero("n_example"), *kept
     )
 
 
@@ -161,18 +166,26 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Documents with the value of every base secret replaced; other text and columns stay.
+def hidden(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with the value of each span, given in order, replaced by ``mark``."""
 
-    Long enough values only, as in the scan: a key word keeps its place and its value goes.
-    """
-    text = F.col(text_col)
-    (_, assign, _, least), *rest = BASE
-    head = assign.removesuffix("([A-Za-z0-9+/_.=-]+)").replace("(password", "((?:password")
-    hidden = F.regexp_replace(text, f"{head})([A-Za-z0-9+/_.=-]{{{least},}})", f"$1{mark}")
-    for _, pattern, _, _ in rest:
-        hidden = F.regexp_replace(hidden, pattern, mark)
-    return docs.withColumn(text_col, hidden)
+    def step(state: Column, span: Column) -> Column:
+        start = span["end"] - F.length(span["value"])
+        gap = F.concat(state["out"], text.substr(state["at"] + 1, F.greatest(start - state["at"], F.lit(0))), F.when(start >= state["at"], F.lit(mark)).otherwise(F.lit("")))
+        return F.struct(gap.alias("out"), F.greatest(state["at"], span["end"]).alias("at"))
+
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **how) -> DataFrame:
+    """All documents with the values of their base and added secrets replaced; the columns stay as they were."""
+    columns = docs.columns
+    found = find_secrets(docs, text_col, keep=tuple(columns), **how)
+    spans = F.array_sort(F.concat("base", "added"))
+    kept = lambda c: F.col(f"kept_{c}")
+    new = F.when(F.size(spans) > 0, hidden(kept(text_col), spans, mark)).otherwise(kept(text_col))
+    return found.select(*[(new if c == text_col else kept(c)).alias(c) for c in columns])
 
 
 #: The report in DuckDB's SQL.
