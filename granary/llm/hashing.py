@@ -30,17 +30,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of texts laid end to end: 64-bit hashes, starts, lengths, and the text number of each."""
+def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of texts laid end to end: 64-bit hashes, starts, lengths, and the text number of each.
+
+    With ``lower``, A-Z count as a-z.
+    """
     if not len(data):
         return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
     letter = ~_SPACE[data]
     before, after = np.empty_like(letter), np.empty_like(letter)
     before[0], before[1:] = False, letter[:-1]
     after[-1], after[:-1] = False, letter[1:]
-    inner = ends[ends < len(data)]
-    before[inner] = False
-    after[inner[inner > 0] - 1] = False
+    bounds = ends[ends < len(data)]
+    before[bounds] = False
+    after[bounds[bounds > 0] - 1] = False
     starts = np.flatnonzero(letter & ~before)
     if not len(starts):
         return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
@@ -48,12 +51,13 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # Only the words' own bytes, each times a power of its place in the word.
     place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), FACTOR, np.uint64))
-    values = _LETTER[_LOWER[data[letter]]] * powers[place]
+    inner = data[letter]
+    values = _LETTER[_LOWER[inner] if lower else inner] * powers[place]
     return mixed(np.add.reduceat(values, np.cumsum(lengths) - lengths)), starts, lengths, np.searchsorted(ends, starts, "right")
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and last text, bytes, and ends of the texts in them, of parts of about a megabyte (one text at least)."""
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last text, bytes, and ends of the texts in them, of parts of about ``size`` bytes (one text at least)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
@@ -64,6 +68,6 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, end, raw[offsets[at] : offsets[end]], offsets[at + 1 : end + 1] - offsets[at]
         at = end

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -94,15 +95,15 @@ class Writer:
         self.keys: list[bytes] = []
         self.index: list[tuple[bytes, int, int, int, int]] = []
 
-    def add(self, key: bytes, ids: np.ndarray) -> None:
+    def add(self, key: bytes, value: bytes) -> None:
         if not self.block:
             self.first, shared = key, 0
         else:
             shared = next((i for i, (a, b) in enumerate(zip(key, self.last)) if a != b), min(len(key), len(self.last)))
-        value = ids.astype(f"<u{self.width}").tobytes()
-        self.block.append(varint(shared) + varint(len(key) - shared) + varint(len(ids)) + key[shared:] + value)
+        n = len(value) // self.width
+        self.block.append(varint(shared) + varint(len(key) - shared) + varint(n) + key[shared:] + value)
         self.held += len(value)
-        self.count, self.last, self.ids = self.count + 1, key, self.ids + len(ids)
+        self.count, self.last, self.ids = self.count + 1, key, self.ids + n
         if not self.keys or self.keys[-1] != key:
             self.keys.append(key)
         if self.held >= BLOCK:
@@ -213,26 +214,29 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(shards or spread(spark), *order).sortWithinPartitions(*order, "text")
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, writer, name = TaskContext.get(), None, ""
         encode = tokens.encoder(path)
         # Two bytes hold an id of any vocabulary of up to 65,536 entries.
         width = 2 if max(end_id, encode.tokenizer.get_vocab_size(with_added_tokens=True)) < 1 << 16 else 4
-        for frame in frames:
-            for part in tokens.chunks(frame):
-                if writer is None:
-                    name = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst"
-                    system, at = fs.FileSystem.from_uri(name)
-                    system.create_dir(at.rpartition("/")[0], recursive=True)
-                    writer = Writer(system.open_output_stream(at), width)
-                for ident, raw in zip(part["doc_id"], encode(part["text"].tolist())):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
-                    writer.add(key_of(None if pd.isna(ident) else int(ident)), ids)
+        for batch in batches:
+            if writer is None and batch.num_rows:
+                name = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst"
+                system, at = fs.FileSystem.from_uri(name)
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                writer = Writer(system.open_output_stream(at), width)
+            idents = batch.column("doc_id").to_pylist()
+            for first, ids, ends in encode(batch.column("text"), end_id):
+                raw, start = ids.astype(f"<u{width}").tobytes(), 0
+                for i, end in enumerate(ends.tolist()):
+                    writer.add(key_of(idents[first + i]), raw[width * start : width * end])
+                    start = end
         if writer is not None:
             writer.close()
-            yield pd.DataFrame({"shard": [task.partitionId()], "path": [name], "entries": [writer.count], "ids": [writer.ids], "bytes": [writer.at]})
+            made = {"shard": [task.partitionId()], "path": [name], "entries": [writer.count], "ids": [writer.ids], "bytes": [writer.at]}
+            yield pa.RecordBatch.from_pydict(made, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
 
-    return stored(ranged.mapInPandas(write, "shard int, path string, entries long, ids long, bytes long"), "shard-manifest")
+    return stored(ranged.mapInArrow(write, "shard int, path string, entries long, ids long, bytes long"), "shard-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

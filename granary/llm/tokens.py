@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from granary.llm.hashing import slices, words_of
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,24 +27,27 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Parts that show whether a tokenizer lower-cases and parts letters from signs.
 PROBES = ["Thing.", "ÉTÉ!!", "a***", "Straße,", "|", "word", "Word", "x|", "(", "Überhaupt;"]
 MARK = "|"
+#: Bytes of the longest part, and number of cores, that are remembered.
+LONGEST, CORES = 64, 200_000
 
 
 class Encoder:
-    """Little-endian 32-bit ids of a text, for tokenizers that never join what white space separates.
+    """Token ids of texts, for tokenizers that never join what ASCII white space separates.
 
-    Texts are parted at plain spaces and line ends only, so anything else that the tokenizer may count as white
-    space stays inside a part and is left to it.  Where the tokenizer lower-cases and parts letters from signs
-    (it is probed for that), plain parts are put together from their letters and their signs; others, and all
-    parts for other tokenizers, are encoded as they are.  At most ``room`` parts are remembered, none over 64
-    characters.
+    Texts are parted at ASCII white space alone, so anything else that the tokenizer may count as such stays
+    inside a part and is left to it.  Where the tokenizer lower-cases and parts letters from signs (it is
+    probed for that), plain parts are put together from their letters and their signs; others, and all parts
+    for other tokenizers, are encoded as they are.  Ids of up to ``room`` parts are remembered, under 64-bit
+    hashes of the parts, in arrays; none over ``LONGEST`` bytes.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
-        self.known, self.cores, self.tails = {"": b""}, {}, {"": b""}
+        self.cores, self.tails = {}, {"": b""}
+        self.forget()
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
@@ -54,6 +61,9 @@ class Encoder:
             ]
             self.cores, self.tails = {}, {"": b""}
 
+    def forget(self) -> None:
+        self.hashes, self.at, self.n, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
+
     def assembled(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of the plain ones among ``parts``."""
         found = [(p, m[1].lower(), m[2]) for p, m in zip(parts, map(PLAIN.fullmatch, parts)) if m]
@@ -70,14 +80,18 @@ class Encoder:
                 start = end + 1
         for tail in {t for _, _, t in found}.difference(tails):
             tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
-        return {p: cores[c] + tails[t] for p, c, t in found}
+        out = {p: cores[c] + tails[t] for p, c, t in found}
+        for core in fresh:
+            if len(core) > LONGEST:
+                del cores[core]
+        if len(tails) > CORES:
+            self.tails = {"": b""}
+        return out
 
-    def learn(self, parts: list[str], into: dict[str, bytes]) -> None:
-        """Encode parts, many in one call: where each starts in the joined text tells its ids apart."""
-        if self.parted:
-            plain = self.assembled(parts)
-            into.update(plain)
-            parts = [p for p in parts if p not in plain]
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts, many in one call: where each starts in the joined text tells its ids apart."""
+        into = self.assembled(parts) if self.parted else {}
+        parts = [p for p in parts if p not in into]
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -88,44 +102,65 @@ class Encoder:
             raw = ids.tobytes()
             for part, a, b in zip(some, cuts, cuts[1:]):
                 into[part] = raw[4 * a : 4 * b]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        flat = list(chain.from_iterable(split))
-        found = list(map(known.get, flat))
-        holes = [i for i, ids in enumerate(found) if ids is None]
-        if holes:
-            fresh = {flat[i] for i in holes}
-            once: dict[str, bytes] = {}
-            self.learn([p for p in fresh if len(p) <= 64], known)
-            self.learn([p for p in fresh if len(p) > 64], once)
-            for i in holes:
-                found[i] = known[flat[i]] if flat[i] in known else once[flat[i]]
-        out, at = [], 0
-        for parts in split:
-            out.append(b"".join(found[at : at + len(parts)]))
-            at += len(parts)
-        if len(self.known) > self.room:
-            self.known = {"": b""}
-        if len(self.cores) > self.room:
+        if len(self.cores) > CORES:
             self.cores = {}
-        return out
+        return into
+
+    def add(self, hashes: np.ndarray, parts: list[str]) -> None:
+        """Remember parts by their hashes, which are sorted and new."""
+        learned = self.learn(parts)
+        raw = [learned[p] for p in parts]
+        n = np.fromiter(map(len, raw), np.int32, len(raw)) // 4
+        at = len(self.flat) + np.cumsum(n, dtype=np.int64) - n
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(raw), "<u4")])
+        merged = np.concatenate([self.hashes, hashes])
+        order = np.argsort(merged, kind="stable")  # two sorted runs
+        self.hashes, self.at, self.n = merged[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+
+    def __call__(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of texts: the first one's number, all their ids, and where each text's ids end.  Every
+        text's ids are followed by ``end_id``."""
+        for first, last, data, ends in slices(texts, 1 << 21):
+            hashes, starts, lengths, text = words_of(data, ends, lower=False)
+            seen, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            spot = np.searchsorted(self.hashes, seen)
+            new = np.ones(len(seen), bool)
+            inside = spot < len(self.hashes)
+            new[inside] = self.hashes[spot[inside]] != seen[inside]
+            kept = None
+            if new.any():
+                at, size = starts[index[new]], lengths[index[new]]
+                raw = data.tobytes()
+                if size.max() > LONGEST:
+                    kept = self.hashes, self.at, self.n, self.flat
+                self.add(seen[new], [raw[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(at.tolist(), size.tolist())])
+                spot = np.searchsorted(self.hashes, seen)
+            n = self.n[spot][inverse].astype(np.int64)
+            before = np.cumsum(n) - n
+            ids = self.flat[np.arange(n.sum()) + np.repeat(self.at[spot][inverse] - before, n)]
+            word_bounds = np.searchsorted(text, np.arange(1, last - first + 1))
+            bounds = np.append(0, np.cumsum(n))[word_bounds]  # where each text's ids end
+            out = np.empty(len(ids) + last - first, np.uint32)
+            closing = bounds + np.arange(last - first)
+            own = np.ones(len(out), bool)
+            own[closing] = False
+            out[own], out[closing] = ids, end_id
+            yield first, out, closing + 1
+            if kept is not None:
+                self.hashes, self.at, self.n, self.flat = kept
+            if len(self.hashes) > self.room:
+                self.forget()
+
+    def each(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """The ids of every text."""
+        for _, ids, ends in self(texts, end_id):
+            start = 0
+            for end in ends.tolist():
+                yield ids[start:end]
+                start = end
 
 
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
     """One per worker process."""
     return Encoder(path)
-
-
-def chunks(frame, rows: int = 256, weight: int = 4_000_000):
-    """Parts of a batch that hold few rows and characters (one row at least)."""
-    at = 0
-    while at < len(frame):
-        end, total = at, 0
-        while end < len(frame) and end - at < rows and (end == at or total < weight):
-            total += len(frame["text"].iat[end] or "")
-            end += 1
-        yield frame.iloc[at:end]
-        at = end

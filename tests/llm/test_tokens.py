@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -139,7 +140,10 @@ def test_damage_is_noticed(spark, edges):
 
 
 def test_words_remembered_or_not_give_the_same_ids(direct):
-    encode = tokens.Encoder(tokens.vocabulary_path(), room=10)
-    texts = ["a b  c\n\nd's we'll", "x" * 500 + " y", " a　b", "", None, "É é İ ΣΑΣ 12 3.4", "a b c " * 30]
-    for _ in range(2):
-        assert [np.frombuffer(r, "<u4").tolist() for r in encode(texts)] == [direct(t, 0)[:-1].tolist() for t in texts]
+    texts = ["a b  c\n\nd's we'll", "x" * 500 + " y", " a　b", "", None, "É é İ ΣΑΣ 12 3.4", "a b c " * 30, "e\u0301 E\u0301. x| | a|b | |c ÿ× Ÿ ŉ o'Neil! don't. (a) \u212b ß.", "\x1c \x85a\u2028b"]
+    for room in (10, 10**6):
+        encode = tokens.Encoder(tokens.vocabulary_path(), room=room)
+        for some in (texts, texts[::-1], texts * 3):
+            assert [x.tolist() for x in encode.each(pa.array([t or "" for t in some]), 7)] == [direct(t, 7).tolist() for t in some]
+        assert (len(encode.hashes) > 0) == (room > 10) and all(len(p) <= 64 for p in encode.cores)
+    assert list(encode.each(pa.array([], pa.string()), 7)) == []
