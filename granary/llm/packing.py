@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,16 +166,19 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, t
     path = vocabulary or tokens.vocabulary_path()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path)
-        kind = "<u2" if max(end_id, encode.tokenizer.get_vocab_size(with_added_tokens=True)) < 1 << 16 else "<u4"
-        for frame in frames:
-            for part in tokens.chunks(frame):
-                ids = [np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)) for raw in encode(part["text"].tolist())]
-                yield pd.DataFrame({"rid": part["rid"], "doc_id": part["doc_id"].astype("Int64"), "n": [len(x) for x in ids], "ids": [x.astype(kind).tobytes() for x in ids]})
+        width = 2 if max(end_id, encode.tokenizer.get_vocab_size(with_added_tokens=True)) < 1 << 16 else 4
+        for batch in batches:
+            for first, ids, ends in encode(batch.column("text"), end_id):
+                part = batch.slice(first, len(ends))
+                raw = pa.py_buffer(ids.astype(f"<u{width}").tobytes())
+                offsets = np.append(0, ends)
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer((offsets * width).astype(np.int64).tobytes()), raw])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(np.diff(offsets)), binary.cast(pa.binary())], names=["rid", "doc_id", "n", "ids"])
 
     spark = docs.sparkSession
-    out = rows.mapInPandas(encoded, "rid long, doc_id long, n long, ids binary")
+    out = rows.mapInArrow(encoded, "rid long, doc_id long, n long, ids binary")
     path_out = fresh_path(spark, "pack-ids")
     out.write.option("compression", "zstd").parquet(path_out)
     return spark.read.schema(out.schema).parquet(path_out)
@@ -220,23 +223,27 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window
     )
     joined = table.join(stored(placed, "pack-places"), "rid").select("doc_id", "n", "ids", "rank", "whole")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        for frame in frames:
-            for at in range(0, len(frame), 500):
-                rows = []
-                for ident, n, raw, rank, whole in frame.iloc[at : at + 500].itertuples(index=False):
-                    wide = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, min(500, batch.num_rows - at))
+                rows, ids = [], []
+                for ident, n, raw, rank, whole in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "ids", "rank", "whole"))):
+                    width = len(raw) // n
+                    wide = raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                     pieces = [(whole + i, 0, window) for i in range(n // window)]
                     if n % window:
                         pieces += plan.place(n % window, rank)
                     start = 0
                     for sequence, offset, length in pieces:
-                        rows.append((ident, start, length, wide[4 * start : 4 * (start + length)], n, sequence, offset))
+                        rows.append((ident, start, length, n, sequence, offset))
+                        ids.append(wide[4 * start : 4 * (start + length)])
                         start += length
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=[*names, "ids"])
 
-    return joined.mapInPandas(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return joined.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
