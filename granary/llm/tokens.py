@@ -131,9 +131,12 @@ class Encoder:
             if new.any():
                 at, size = starts[index[new]], lengths[index[new]]
                 raw = data.tobytes()
-                if size.max() > LONGEST:
+                fresh, long = seen[new], size > LONGEST
+                words = [raw[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(at.tolist(), size.tolist())]
+                self.add(fresh[~long], [w for w, x in zip(words, long) if not x])
+                if long.any():  # for these texts only
                     kept = self.hashes, self.at, self.n, self.flat
-                self.add(seen[new], [raw[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(at.tolist(), size.tolist())])
+                    self.add(fresh[long], [w for w, x in zip(words, long) if x])
                 spot = np.searchsorted(self.hashes, seen)
             n = self.n[spot][inverse].astype(np.int64)
             before = np.cumsum(n) - n
