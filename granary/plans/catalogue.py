@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from granary.operators import catalog
+from granary.plans import catalog_queries, dedup_queries, measure_queries, stream_queries, version_queries  # noqa: F401
+from granary.plans.registry import QUERIES, SQL, entries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.agg(F.count("*").alias("entries"), F.sum(F.octet_length("text")).alias("bytes"))
+    """The largest files whose path holds a text: filter, order with its tie rule, page."""
+    from granary.functions.paths import contains_ascii
+
+    found = entries(spark, sf_dir)
+    return catalog.page(found.where(contains_ascii(found["path"], "TXT")), "size", True, 0, 50)
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
