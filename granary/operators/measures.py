@@ -396,7 +396,7 @@ def merkle(rows: DataFrame) -> DataFrame:
 
 def proof(tree: DataFrame, i: int) -> DataFrame:
     """(level, hash, left) of the neighbours on the way from leaf ``i`` to the root."""
-    place = F.shiftright(F.lit(i).cast("long"), F.col("level"))
+    place = F.expr(f"shiftright({int(i)}L, level)")
     beside = place.bitwiseXOR(F.lit(1).cast("long"))
     return tree.where(F.col("i") == beside).select("level", "hash", (beside < place).alias("left"))
 
