@@ -73,6 +73,16 @@ def release() -> None:
 atexit.register(release)
 
 
+#: Setting and bytes of an Arrow batch to or from Python; Spark's own default is 64 MB, several times over in flight.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Keep batches to Python small, unless the session's owner has chosen a size."""
+    if spark.sparkContext.getConf().get(BATCH[0]) is None:
+        spark.conf.set(*BATCH)
+
+
 def spread(spark: SparkSession) -> int:
     """The number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from granary.llm.common import modest_batches
+
 # Element identifiers of the public Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, VOID, CRC = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0xEC, 0xBF
 SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
@@ -279,6 +281,7 @@ def store_media(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     A null text is empty; an empty one is stored as 64 zeros; repeated rows each get their row; an empty table
     gives no rows; other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
@@ -330,6 +333,7 @@ def described(data: bytes) -> tuple[bytes, str]:
 
 def read_back(media: DataFrame) -> DataFrame:
     """What :func:`store_media`'s files hold: lengths, hashes and features, computed from the stored bytes."""
+    modest_batches(media.sparkSession)
     kind = media.schema["doc_id"].dataType
     names = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, k) for n, k in names.items()]])

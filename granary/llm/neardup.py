@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import spread, stored
+from granary.llm.common import modest_batches, spread, stored
 from granary.llm.components import components
 from granary.llm.hashing import FACTOR, mixed, random_words, slices, words_of
 
@@ -289,8 +289,8 @@ def with_sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str, id_c
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"), size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], sets], names=[*kept, "shingles"])
 
@@ -335,6 +335,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, text
     counts as kept if its id is the component's, while keeper names one of them.  An empty table gives no
     rows; other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     table = profiles(docs, shingle, text_col, id_col)
     nodes = stored(
         table.where(F.col("set_id").isNotNull())

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.llm import tokens
-from granary.llm.common import fresh_path, stored
+from granary.llm.common import fresh_path, modest_batches, stored
 
 WINDOW = 4096
 #: Third lengths tried for each first length, steps of the solver, and the bit where ranks end in a key.
@@ -191,6 +191,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window
     stream) cut at a window's end.  A null text is empty and still has its end id; repeated rows are packed
     each; a null id stays null; an empty table gives no pieces; other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     table = tokenized(docs, vocabulary, end_id, text_col, id_col)
     lengths = table.select("rid", "n", (F.col("n") % window).cast("int").alias("rest"), F.floor(F.col("n") / window).cast("long").alias("wholes"))
     hist = np.zeros(window + 1, np.int64)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm.common import modest_batches
+
 #: Bounds of the training sample: labelled rows, and bytes of their texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 48_000_000
 WORDS, SHAPES, DIM, ONES, REACH = 1 << 15, 1 << 10, 48, 6, 2
@@ -170,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     The sample is the labelled ids, not held out, that come first by hash; ids with contradicting or null
     labels are left out.  It fits the model and nothing else, and is small enough for the driver.
     """
+    modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     agreed = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -203,6 +206,7 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), text_col
     get their row; an empty table gives no rows; other columns are ignored unless named in ``keep``, which
     carries them as they are.  The model, of fixed size, is sent to each worker once.
     """
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import spread, stored
+from granary.llm.common import modest_batches, spread, stored
 from granary.llm.hashing import FACTOR, mixed, random_words, slices, words_of
 from granary.llm.neardup import runs
 
@@ -89,6 +89,7 @@ def find_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
     lists the documents that hold those first copies.  Rows that agree in id and text are one document; null,
     empty and short texts have no spans; an empty table gives no rows; other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     every = spans(docs, least_sentences, least_words, text_col, id_col)
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash", "first")
     # A span in a third of all texts is one row from each task here.

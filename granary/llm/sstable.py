@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.llm import tokens
-from granary.llm.common import fresh_path, spread, stored
+from granary.llm.common import fresh_path, modest_batches, spread, stored
 
 MAGIC, BLOCK, BITS, HASHES = b"GRSST01\n", 1 << 16, 10, 7
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, its length, filter at, its length, entries, ids, bytes an id, magic
@@ -208,6 +208,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     ids come first; an empty table gives no shards; other columns are ignored.  Each attempt of a task writes
     a file of its own and only the manifest's files count, so lost executors leave nothing wrong behind.
     """
+    modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder, path = folder or fresh_path(spark, "shards"), vocabulary or tokens.vocabulary_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

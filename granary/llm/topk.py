@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.llm.common import modest_batches
+
 #: Rows of a block of candidates, of a block of queries, and of a bucket of similar lengths.
 CANDIDATES, QUERIES, BUCKET = 2048, 1024, 128
 #: From this cosine on, a bucket is searched by coordinates, below it by lengths.
@@ -100,6 +102,7 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str =
     they are ranked; an empty table gives no
     rows.  Blocks of queries meet blocks of candidates, dealt by row number, so equal vectors spread evenly.
     """
+    modest_batches(vectors.sparkSession)
     usable = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     clean = (
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))

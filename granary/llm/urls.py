@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from granary.llm.common import modest_batches
+
 #: Rules of host and path with their verdicts.
 RULES = (
     ("com/", "allow"),
@@ -96,6 +98,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, strict: tuple = STRICT, s
     searched; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
     Rules and terms are parameters that travel with the tasks; nothing is shuffled.
     """
+    modest_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType
     schema = T.StructType(
         [T.StructField("page_id", kind)]
