@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends with a word that ends in . ! or ?, at a line end, or with the text.  From every sentence starts a span:
-the fewest consecutive sentences, ``least_sentences`` at least, that hold ``least_words`` words.  Spans are hashed
+A sentence ends with a word that ends in one of . ! ? , ; : or at a line end, or with the text: commas part too, since
+a copied passage seldom begins and ends with whole sentences.  From every sentence starts a span: the fewest
+consecutive sentences, ``least_sentences`` at least, that hold ``least_words`` words.  Spans are hashed
 and joined over the whole corpus, and the sentences under any span but a first one go.
 """
 
@@ -20,10 +21,10 @@ from granary.llm.common import modest_batches, spread, stored
 from granary.llm.hashing import FACTOR, mixed, random_words, slices, words_of
 from granary.llm.neardup import runs
 
-SENTENCES, WORDS = 2, 16
+SENTENCES, WORDS = 2, 24
 
 _STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?"]] = True
+_STOP[[ord(c) for c in ".!?,;:"]] = True
 _BASES = random_words(2, 11) | np.uint64(1)
 
 
