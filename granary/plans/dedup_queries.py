@@ -302,3 +302,25 @@ def _(spark, d):
     want = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("want"))
     have = table(spark, d, "documents").select("doc_id", F.sha2(F.concat("text", F.when(E("doc_id") % 50 == 0, "!").otherwise("")), 256).alias("have"))
     return want.join(have, "doc_id").groupBy((E("doc_id") % 4).alias("frame")).agg(F.count("*").alias("shards"), F.count_if(E("want") != E("have")).alias("damaged"))
+
+
+def zips(spark, d):
+    from granary.sources.archives import write_zip
+
+    name = F.concat(F.lit("part"), (E("doc_id") % 20).cast("string"), F.lit(".zip"))
+    return write_zip(table(spark, d, "documents").select(name.alias("archive"), F.concat("lang", F.lit("/"), E("doc_id").cast("string")).alias("member"), F.encode("text", "utf-8").alias("content")))
+
+
+@query("snk_export", "SELECT 'part' || (doc_id % 20) || '.zip' AS path, count(*) AS members FROM documents GROUP BY 1")
+def _(spark, d):
+    from granary.sources.archives import read_archives
+
+    return read_archives(zips(spark, d)).groupBy(E("archive").alias("path")).agg(F.count("member").alias("members"))
+
+
+@query("src_foreign_read", "SELECT 'part' || (doc_id % 20) || '.zip' AS archive, lang || '/' || doc_id AS member, 'File' AS kind, octet_length(encode(text))::BIGINT AS size, sha256(text) AS digest FROM documents")
+def _(spark, d):
+    """Documents are packed to archives and read from them again."""
+    from granary.sources.archives import read_archives
+
+    return read_archives(zips(spark, d), content=True).select("archive", "member", "kind", "size", F.sha2("content", 256).alias("digest"))
