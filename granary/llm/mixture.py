@@ -19,8 +19,8 @@ WEIGHTS = (5, 2, 1)
 #: Of each weight its slope g: the schedule is w * (1 + g * (2t - 1)), so heavy sources come late.
 SLOPES = (0.5, 0.0, -0.5)
 MOST = 3
-#: Documents of a source are dealt into so many hash ranges that a range holds about this many of all.
-RANGE_ROWS, TOP_BITS = 2000, 24
+#: Documents are dealt into so many hash ranges that each holds about this many of all sources' rows.
+RANGE_ROWS, TOP_BITS = 250, 24
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, most: int = MOST) -> DataFrame:
