@@ -2,77 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from granary.store import fresh_path, release, shared_folder, stored
+
+__all__ = ["WORD", "fresh_path", "modest_batches", "release", "shared_folder", "spread", "stored"]
 
 #: Words are maximal runs of anything but ASCII space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can reach.
-
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset, a folder of our own is
-    made: below the warehouse, or for a local master in the machine's temporary folder.
-    """
-    sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if sc.applicationId not in _own:
-        if sc.master.startswith("local[") or sc.master == "local":
-            _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="granary-")
-        else:
-            _own[sc.applicationId] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_granary"
-    return _own[sc.applicationId]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; removed when the driver ends."""
-    path = f"{shared_folder(spark)}/granary/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _paths.append((spark, path))
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage at a table that outlives any executor.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder, through whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-_paths: list[tuple[SparkSession, str]] = []
-
-
-def release() -> None:
-    """Delete all tables that :func:`stored` has written in this process."""
-    while _paths:
-        spark, path = _paths.pop()
-        try:
-            remove(spark, path)
-        except Exception:  # the session may be gone; the folder is then the cluster's to clean
-            return
-
-
-atexit.register(release)
-
-
 #: Setting and bytes of an Arrow batch to or from Python; Spark's own default is 64 MB, several times over in flight.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
