@@ -17,7 +17,7 @@ def fixed_chunks(files: DataFrame, size: int = 1024, keys: tuple[str, ...] = ("p
     count = F.ceil(F.length("content") / size).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(F.col("content"), i * size + 1, F.lit(size)))
     rows = files.where(F.length("content") > 0).select(*keys, F.posexplode(cut).alias("pos", "content"))
-    return rows.select(*keys, "pos", "content", F.length("content").alias("len"), F.sha2("content", 256).alias("hash"))
+    return rows.select(*keys, "pos", "content", F.length("content").cast("long").alias("len"), F.sha2("content", 256).alias("hash"))
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:

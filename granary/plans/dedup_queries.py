@@ -150,7 +150,7 @@ def _(spark, d):
 
     rows = chunks(spark, d)
     whole = extract(rows.select(E("doc_id").alias("path"), "pos", "hash"), rows.select("hash", "content").dropDuplicates(["hash"]))
-    return whole.select("path", F.sha2("content", 256).alias("digest"), F.length("content").alias("size"))
+    return whole.select("path", F.sha2("content", 256).alias("digest"), F.length("content").cast("long").alias("size"))
 
 
 @query("snk_archive", with_chunks("SELECT generation, (SELECT count(*) FROM documents WHERE doc_id % 2 < generation) AS files, (SELECT count(DISTINCT hash) FROM hashed WHERE doc_id % 2 < generation) AS blobs FROM (VALUES (1), (2)) g(generation)"))

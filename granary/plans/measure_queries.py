@@ -200,9 +200,9 @@ def _(spark, d):
     return o.where("o_orderstatus = 'F'").select(E("o_custkey").alias("k")).intersect(o.where("o_orderstatus = 'O'").select("o_custkey"))
 
 
-@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def _(spark, d):
-    return table(spark, d, "customer").select(E("c_custkey").alias("k")).join(table(spark, d, "orders").select(E("o_custkey").alias("k")), "k", "left_anti")
+    return table(spark, d, "customer").select(E("c_custkey").alias("k")).join(table(spark, d, "orders").where("o_orderstatus = 'F'").select(E("o_custkey").alias("k")), "k", "left_anti")
 
 
 @query("set_equal", "SELECT tool, list_sort(list(DISTINCT class)) = (SELECT list_sort(list(DISTINCT 'm' || month(l_shipdate))) FROM lineitem) AS same FROM (SELECT l_returnflag AS tool, 'm' || month(l_shipdate) AS class FROM lineitem WHERE l_returnflag <> 'N' OR month(l_shipdate) <> 1) GROUP BY tool")
