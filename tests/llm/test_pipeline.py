@@ -34,3 +34,16 @@ def test_stages(spark, small, direct):  # noqa: F811
 def test_run_agrees_with_itself(spark, small):
     a, b = (sorted(corpus_pipeline.run(spark, small).select("doc_id", "start", "length", "ids_crc32").collect()) for _ in range(2))
     assert a == b
+
+
+def test_stages_on_edges_and_nothing(spark, small, edges, nothing):
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, edges, small)
+        assert kept.count() > 0, name
+        assert stage(spark, nothing, small).count() == 0, name
+        if name != "packing":
+            assert kept.columns == corpus_pipeline.COLUMNS, name
+    docs = edges
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, small), f"edges-{name}")
+    assert docs.agg({"length": "sum"}).first()[0] > 0
