@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from granary.llm.common import modest_batches
 
 #: Bounds of the training sample: labelled rows, and bytes of their texts.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 48_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24_000_000
 WORDS, SHAPES, DIM, ONES, REACH = 1 << 15, 1 << 10, 48, 6, 2
 HIDDEN, ROUNDS, BATCH, RATE, DECAY = 32, 40, 64, 3e-3, 1e-4
 SAME = WORDS + SHAPES  # the bucket that marks a word equal to the one before
@@ -73,7 +73,7 @@ def word_vectors(sample: list[np.ndarray]) -> np.ndarray:
     context = np.zeros((SAME + 1, DIM))
     counts = np.zeros(SAME + 1)
     size = WORDS * SHAPES
-    for part in np.array_split(np.arange(len(sample)), max(1, len(sample) // 500)):
+    for part in np.array_split(np.arange(len(sample)), max(1, len(sample) // 100)):
         # A run of other buckets keeps the documents apart.
         joined = np.concatenate([np.append(sample[i], np.full(REACH, size)) for i in part]) if len(part) else np.empty(0, np.int64)
         real = joined < size
