@@ -34,10 +34,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: it outlives any executor and is computed once."""
+def stored(df: DataFrame, name: str, share: int = 1) -> DataFrame:
+    """``df`` written to the shared folder and read back: it outlives any executor and is computed once.
+
+    A table that holds a small part of what the session's partitions are made for goes to one in ``share`` of
+    them, so that its files don't cost more than its rows.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if share > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
