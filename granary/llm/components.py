@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import stored
 
+#: Links are few beside the rows that they come from: their tables take one in so many of the session's partitions.
+SHARE = 8
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b: longs), label being the least node of its component.
@@ -17,21 +20,21 @@ def components(edges: DataFrame) -> DataFrame:
     it out takes both sides from a shuffle, so the neighbours of a hub can be split among tasks.
     """
 
-    def step(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "stars-least")
+    def handed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "stars-least", SHARE)
         return pairs.join(least, "u"), least
 
-    table = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    mark = None
-    while True:
+    def is_done(pairs: DataFrame) -> bool:
+        """Whether every node has one label, and no label has one itself."""
+        ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).union(pairs.select("v", F.lit(0), F.lit(1)))
+        seen = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+        return seen.where("leaf > 1 or (leaf = 1 and root = 1)").isEmpty()
+
+    table = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars", SHARE)
+    while not is_done(table):
         both = table.union(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        handed, _ = step(both)
-        large = stored(handed.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "stars-large")
-        handed, least = step(large)
-        small = handed.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        table = stored(small.distinct(), "stars")
-        now = table.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
+        large = handed(both)[0].where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        down, least = handed(stored(large, "stars-large", SHARE))
+        small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        table = stored(small.distinct(), "stars", SHARE)
     return table.select(F.col("u").alias("node"), F.col("v").alias("label")).union(table.select("v", "v").distinct())

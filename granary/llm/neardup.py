@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.common import modest_batches, spread, stored
-from granary.llm.components import components
+from granary.llm.components import SHARE, components
 from granary.llm.hashing import FACTOR, mixed, random_words, slices, words_of
 
 #: Sorted orders, and minima that make a region of an order.
@@ -181,7 +181,7 @@ def estimate_floor(threshold: int) -> float:
 
 def candidate_edges(nodes: DataFrame, threshold: int) -> DataFrame:
     """A spanning forest of the similar nodes in each run of each order."""
-    counts = stored(region_keys(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dup-regions")
+    counts = stored(region_keys(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dup-regions", SHARE)
     in_regions = region_keys(nodes).join(counts, "key")
     # Stored, for the range sort reads it twice.
     members = stored(in_regions.join(nodes.select("rid", "sig"), "rid"), "dup-members")
@@ -307,14 +307,14 @@ def confirmed_edges(sets: DataFrame, threshold: int) -> DataFrame:
     chunks = F.ceil(F.col("n") / (CLUSTER // 2)).cast("int")
     chunk = lambda deal: F.pmod(F.xxhash64(F.col("rid"), deal), chunks).cast("int")
     dealt = alone.where(F.col("n") > CLUSTER).withColumn("deal", F.explode(F.sequence(F.lit(1), F.lit(DEALS)))).withColumn("chunk", chunk(F.col("deal")))
-    first = stored(grouped(dealt, ["cluster", "deal", "chunk"], threshold), "dup-dealt")
-    labels = stored(components(first), "dup-labels")
+    first = stored(grouped(dealt, ["cluster", "deal", "chunk"], threshold), "dup-dealt", SHARE)
+    labels = stored(components(first), "dup-labels", SHARE)
     labelled = large.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    labelled = stored(labelled, "dup-labelled")
+    labelled = stored(labelled, "dup-labelled", SHARE)
     # The main component of each cluster; whoever is outside it meets all chunks, in groups of bounded size.
     sizes = labelled.groupBy("cluster", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    main = stored(main.select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / CLUSTER).cast("int").alias("parts")), "dup-main")
+    main = stored(main.select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / CLUSTER).cast("int").alias("parts")), "dup-main", SHARE)
     marked = labelled.join(main, "cluster").where("parts > 0").withColumn("outside", F.col("label") != F.col("main"))
     part = F.pmod(F.xxhash64(F.col("rid"), F.lit(-1)), F.col("parts")).cast("int")
     inside = marked.withColumns({"chunk": chunk(F.lit(0)), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "outside": F.lit(False)})
@@ -344,15 +344,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, text
         .select("set_id", "r.*", "low"),
         "dup-nodes",
     )
-    candidates = stored(components(candidate_edges(nodes, threshold)), "dup-clusters").select(F.col("node").alias("rid"), F.col("label").alias("cluster"))
-    sizes = stored(candidates.groupBy("cluster").agg(F.count("*").alias("n")), "dup-sizes")
+    candidates = stored(components(candidate_edges(nodes, threshold)), "dup-clusters", SHARE).select(F.col("node").alias("rid"), F.col("label").alias("cluster"))
+    sizes = stored(candidates.groupBy("cluster").agg(F.count("*").alias("n")), "dup-sizes", SHARE)
     wanted = candidates.join(sizes, "cluster").join(nodes.select("rid", "doc_id", "text_hash", "sig"), "rid")
-    sets = with_sets(docs, stored(wanted, "dup-wanted"), shingle, text_col, id_col)
-    labels = stored(components(confirmed_edges(sets, threshold)), "dup-components").withColumnRenamed("node", "rid")
+    sets = with_sets(docs, stored(wanted, "dup-wanted", SHARE), shingle, text_col, id_col)
+    labels = stored(components(confirmed_edges(sets, threshold)), "dup-components", SHARE).withColumnRenamed("node", "rid")
     labelled = nodes.join(labels, "rid", "left").select("set_id", F.coalesce("label", "rid").alias("label"), "low")
-    labelled = stored(labelled, "dup-node-labels")
-    lows = stored(labelled.groupBy("label").agg(F.min("low").alias("best")), "dup-lows")
-    by_set = stored(labelled.join(lows, "label").select("set_id", F.col("best.doc_id").alias("low_id"), F.col("best.rid").alias("low_rid")), "dup-sets-lows")
+    labelled = stored(labelled, "dup-node-labels", SHARE)
+    lows = stored(labelled.groupBy("label").agg(F.min("low").alias("best")), "dup-lows", SHARE)
+    by_set = stored(labelled.join(lows, "label").select("set_id", F.col("best.doc_id").alias("low_id"), F.col("best.rid").alias("low_rid")), "dup-sets-lows", SHARE)
     joined = table.select("rid", "doc_id", "text_hash", "n_shingles", "set_id").join(by_set, "set_id", "left")
     alone = F.col("set_id").isNull()
     return joined.select(
