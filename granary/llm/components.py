@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import stored
 
 #: Links are few beside the rows that they come from: their tables take one in so many of the session's partitions.
-SHARE = 8
+SHARE = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
