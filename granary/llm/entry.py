@@ -45,7 +45,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import repeats
 
-    return repeats.digest(repeats.find_repeats(_table(spark, sf_dir, "documents")))
+    return repeats.digest(repeats.find_repeats(_table(spark, sf_dir, "documents"), whole=True))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

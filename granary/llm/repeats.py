@@ -4,6 +4,10 @@ A sentence ends with a word that ends in one of . ! ? , ; : or at a line end, or
 a copied passage seldom begins and ends with whole sentences.  From every sentence starts a span: the fewest
 consecutive sentences, ``least_sentences`` at least, that hold ``least_words`` words.  Spans are hashed
 and joined over the whole corpus, and the sentences under any span but a first one go.
+
+``whole`` also parts a sentence where of ``WINDOW`` words in a row none ends it: after the word whose hash, with
+the word before it, is least.  Such cuts depend on the words around them alone, so copies have them in common:
+of 50 words that stand elsewhere too, at least 24 in two pieces or more lie between cuts that all copies share.
 """
 
 from __future__ import annotations
@@ -22,13 +26,31 @@ from granary.llm.hashing import FACTOR, mixed, random_words, slices, words_of
 from granary.llm.neardup import runs
 
 SENTENCES, WORDS = 2, 24
+#: With hashes of two words, the first and last common cut of 50 words leave 50 + 2 - 2 * WINDOW - 2 = 24 between them.
+WINDOW = 13
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?,;:"]] = True
 _BASES = random_words(2, 11) | np.uint64(1)
 
 
-def span_table(data: np.ndarray, ends: np.ndarray, least_sentences: int, least_words: int) -> dict[str, np.ndarray]:
+def content_cuts(hashes: np.ndarray, text: np.ndarray, closed: np.ndarray) -> np.ndarray:
+    """Words after which a sentence is parted: the least, and last, of each ``WINDOW`` words of a text that none ends."""
+    if len(hashes) < WINDOW:
+        return np.empty(0, np.int64)
+    ended = np.append(0, np.cumsum(closed))
+    at = np.flatnonzero((ended[WINDOW:] == ended[:-WINDOW]) & (text[WINDOW - 1 :] == text[: len(text) - WINDOW + 1]))
+    values = mixed(np.append(hashes[:1], hashes[:-1]) * FACTOR + hashes)
+    values[np.append(True, text[1:] != text[:-1])] = np.uint64((1 << 64) - 1)  # no word before
+    least, best = at, values[at]
+    for k in range(1, WINDOW):
+        here = values[at + k]
+        lower = here <= best
+        least, best = np.where(lower, at + k, least), np.where(lower, here, best)
+    return np.unique(least)
+
+
+def span_table(data: np.ndarray, ends: np.ndarray, least_sentences: int, least_words: int, whole: bool = False) -> dict[str, np.ndarray]:
     """Spans of texts laid end to end: text number, first and last sentence, their bounds, words, and two hashes."""
     hashes, starts, lengths, text = words_of(data, ends)
     if not len(hashes):
@@ -37,16 +59,19 @@ def span_table(data: np.ndarray, ends: np.ndarray, least_sentences: int, least_w
     stops = starts + lengths
     last = np.append(text[1:] != text[:-1], True)
     broken = np.append(lines[starts[1:]] > lines[stops[:-1] - 1], True)
-    closing = np.flatnonzero(last | broken | _STOP[data[stops - 1]])
+    closed = last | broken | _STOP[data[stops - 1]]
+    if whole:
+        closed[content_cuts(hashes, text, closed)] = True
+    closing = np.flatnonzero(closed)
     opening = np.append(0, closing[:-1] + 1)
     owner = text[closing]
     first_of = np.searchsorted(owner, owner)  # each sentence's text's first sentence
     # The last sentence of the span that starts with each.
     n = np.arange(len(closing))
     final = np.maximum(n + least_sentences - 1, np.searchsorted(closing + 1, opening + least_words))
-    whole = final < len(closing)
-    whole[whole] = owner[final[whole]] == owner[whole]
-    n, final = n[whole], final[whole]
+    inside = final < len(closing)
+    inside[inside] = owner[final[inside]] == owner[inside]
+    n, final = n[inside], final[inside]
     a, b = opening[n], closing[final] + 1
     out = {"text": owner[n], "first": n - first_of[n], "last": final - first_of[n], "words": b - a}
     points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
@@ -62,7 +87,7 @@ def span_table(data: np.ndarray, ends: np.ndarray, least_sentences: int, least_w
     return out
 
 
-def spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, text_col: str = "text", id_col: str = "doc_id", whole: bool = False) -> DataFrame:
     """A row per span: doc_id, text_hash, first and last sentence, start and stop in code points, words, h0, h1."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -71,7 +96,7 @@ def spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int =
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, ends in slices(batch.column("text")):
-                found = span_table(data, ends, least_sentences, least_words)
+                found = span_table(data, ends, least_sentences, least_words, whole)
                 if found:
                     owner = pa.array(found["text"] + at)
                     yield pa.RecordBatch.from_arrays(
@@ -82,16 +107,17 @@ def spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int =
     return rows.mapInArrow(made, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in names))
 
 
-def find_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def find_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, text_col: str = "text", id_col: str = "doc_id", whole: bool = False) -> DataFrame:
     """The stretches to remove: doc_id, text_hash, start and stop (code points), sentences, words_most, first_ids.
 
     A stretch is a run of sentences under repeated spans of which each stands elsewhere first: in a row of
     smaller (doc_id, hash of the text), a null id being the greatest, or earlier in the same text.  first_ids
     lists the documents that hold those first copies.  Rows that agree in id and text are one document; null,
-    empty and short texts have no spans; an empty table gives no rows; other columns are ignored.
+    empty and short texts have no spans; an empty table gives no rows; other columns are ignored.  With ``whole``,
+    as the query has it, long sentences count as the pieces that they are parted in.
     """
     modest_batches(docs.sparkSession)
-    every = spans(docs, least_sentences, least_words, text_col, id_col)
+    every = spans(docs, least_sentences, least_words, text_col, id_col, whole)
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash", "first")
     # A span in a third of all texts is one row from each task here.
     groups = stored(
@@ -138,7 +164,7 @@ def find_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
 
 def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
     """All documents with the repeated stretches cut out of their texts; other columns stay as they were."""
-    cuts = find_repeats(docs, text_col=text_col, id_col=id_col, **how).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("granary_cuts"))
+    cuts = find_repeats(docs, text_col=text_col, id_col=id_col, **{"whole": True} | how).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("granary_cuts"))
     cuts = stored(cuts.select(F.col("doc_id").alias("granary_id"), F.col("text_hash").alias("granary_hash"), "granary_cuts"), "repeat-cuts")
     hashed = docs.withColumn("granary_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     found = hashed.join(cuts, (F.col("granary_text") == F.col("granary_hash")) & hashed[id_col].cast("long").eqNullSafe(F.col("granary_id")), "left")

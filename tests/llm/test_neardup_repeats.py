@@ -161,3 +161,23 @@ def test_repeats_of_edges(spark, edges, nothing):
     left = {r["doc_id"]: r["text"] for r in repeats.without_repeats(docs).collect()}
     assert left[1] == rows[0][1] and left[3] == rows[2][1] and left[None] == "" and left[4] is None
     assert "sieben acht" not in left[2] and left[2].startswith("😀 Anders:")
+
+
+def test_repeats_without_stops(spark):
+    """Fifty copied words are found wherever they stand in texts that no sign parts, and a copied text too."""
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, where = [], {}
+    for i in range(60):
+        passage, before = new(50), new(rng.randrange(40))
+        rows.append((i, " ".join(new(rng.randrange(40)) + passage + new(rng.randrange(40)))))
+        rows.append((1000 + i, " ".join(before + passage + new(rng.randrange(40)))))
+        where[1000 + i] = len(" ".join([*before, ""])), len(" ".join(before + passage))
+    text = " ".join(new(101))
+    rows += [(5000, text), (5001, text), (6000, " ".join(new(300))), (6001, "few words " + text[: text.index(" ")])]
+    got = {r["doc_id"]: r for r in repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), whole=True).collect()}
+    assert set(got) == {*where, 5001} and got[5001]["start"] == 0 and got[5001]["stop"] > 0.7 * len(text)
+    for ident, (start, stop) in where.items():
+        found = got[ident]
+        assert start <= found["start"] and found["stop"] <= stop and found["sentences"] >= 2 and found["first_ids"] == [ident - 1000]
+        assert len(rows[2 * (ident - 1000) + 1][1][found["start"] : found["stop"]].split()) >= 24
