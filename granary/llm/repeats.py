@@ -8,6 +8,8 @@ and joined over the whole corpus, and the sentences under any span but a first o
 ``whole`` also parts a sentence where of ``WINDOW`` words in a row none ends it: after the word whose hash, with
 the word before it, is least.  Such cuts depend on the words around them alone, so copies have them in common:
 of 50 words that stand elsewhere too, at least 24 in two pieces or more lie between cuts that all copies share.
+With it a span also ends with every sentence: the fewest that reach back ``least_words`` words.  All that lies between
+the first and last cut that copies share is then under a repeated span, as if every run of sentences were hashed.
 """
 
 from __future__ import annotations
@@ -72,6 +74,13 @@ def span_table(data: np.ndarray, ends: np.ndarray, least_sentences: int, least_w
     inside = final < len(closing)
     inside[inside] = owner[final[inside]] == owner[inside]
     n, final = n[inside], final[inside]
+    if whole:
+        # The first sentence of the span that ends with each.
+        m = np.arange(len(closing))
+        start = np.minimum(m - least_sentences + 1, np.searchsorted(opening, closing + 1 - least_words, "right") - 1)
+        inside = start >= first_of
+        pairs = np.unique(np.append(n, start[inside]) * len(closing) + np.append(final, m[inside]))
+        n, final = np.divmod(pairs, len(closing))
     a, b = opening[n], closing[final] + 1
     out = {"text": owner[n], "first": n - first_of[n], "last": final - first_of[n], "words": b - a}
     points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
@@ -114,7 +123,7 @@ def find_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
     smaller (doc_id, hash of the text), a null id being the greatest, or earlier in the same text.  first_ids
     lists the documents that hold those first copies.  Rows that agree in id and text are one document; null,
     empty and short texts have no spans; an empty table gives no rows; other columns are ignored.  With ``whole``,
-    as the query has it, long sentences count as the pieces that they are parted in.
+    as the query has it, long sentences count as the pieces that they are parted in, and spans end as well as start with every one.
     """
     modest_batches(docs.sparkSession)
     every = spans(docs, least_sentences, least_words, text_col, id_col, whole)
@@ -126,7 +135,7 @@ def find_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
     later = (
         every.join(groups, ["h0", "h1"])
         .where(order != F.col("origin"))
-        .select("doc_id", "text_hash", "first", "last", "start", "stop", "words", F.col("origin.doc_id").alias("first_id"))
+        .select("doc_id", "text_hash", "first", "last", "start", "stop", F.col("origin.doc_id").alias("first_id"))
     )
 
     schema = "doc_id long, text_hash long, start long, stop long, sentences long, spans long, first_ids array<long>"
@@ -159,7 +168,7 @@ def find_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
         return pd.DataFrame(rows, columns=["doc_id", "text_hash", "start", "stop", "sentences", "spans", "first_ids"]).astype({"doc_id": "Int64"})
 
     key = ["doc_id", "text_hash"]
-    return later.repartition(spread(docs.sparkSession), *key).sortWithinPartitions(*key, "first").mapInPandas(joined, schema)
+    return later.repartition(spread(docs.sparkSession), *key).sortWithinPartitions(*key, "first", "last").mapInPandas(joined, schema)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:

@@ -164,7 +164,7 @@ def test_repeats_of_edges(spark, edges, nothing):
 
 
 def test_repeats_without_stops(spark):
-    """Fifty copied words are found wherever they stand in texts that no sign parts, and a copied text too."""
+    """Fifty copied words are found wherever they stand in texts that no sign parts, and a copied text as a whole."""
     rng = random.Random(9)
     new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     rows, where = [], {}
@@ -176,8 +176,39 @@ def test_repeats_without_stops(spark):
     text = " ".join(new(101))
     rows += [(5000, text), (5001, text), (6000, " ".join(new(300))), (6001, "few words " + text[: text.index(" ")])]
     got = {r["doc_id"]: r for r in repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), whole=True).collect()}
-    assert set(got) == {*where, 5001} and got[5001]["start"] == 0 and got[5001]["stop"] > 0.7 * len(text)
+    assert set(got) == {*where, 5001} and (got[5001]["start"], got[5001]["stop"]) == (0, len(text))
     for ident, (start, stop) in where.items():
         found = got[ident]
         assert start <= found["start"] and found["stop"] <= stop and found["sentences"] >= 2 and found["first_ids"] == [ident - 1000]
         assert len(rows[2 * (ident - 1000) + 1][1][found["start"] : found["stop"]].split()) >= 24
+
+
+def all_runs(rows, least_sentences=2, least_words=24):
+    """(doc_id, start, stop) of the stretches under any repeated run of sentences, of whatever length."""
+    first, every, out = {}, [], []
+    for ident, text in sorted(rows):
+        ends = [m.end() for m in WORD.finditer(text) if m[0][-1] in ".!?,;:"]
+        starts = [0, *[e + 1 for e in ends[:-1]]]
+        for a in range(len(ends)):
+            for b in range(a + least_sentences - 1, len(ends)):
+                words = tuple(text[starts[a] : ends[b]].translate(AZ).split())
+                if len(words) >= least_words:
+                    every.append((ident, a, b, starts[a], ends[b], first.setdefault(words, (ident, a)) != (ident, a)))
+    for ident, a, b, start, stop, later in sorted(every):
+        if later and out and out[-1][0] == ident and a <= out[-1][3] + 1:
+            out[-1] = (ident, out[-1][1], max(stop, out[-1][2]), max(b, out[-1][3]))
+        elif later:
+            out.append((ident, start, stop, b))
+    return [r[:3] for r in out]
+
+
+def test_repeats_cover_what_all_runs_cover(spark):
+    """Spans of 13, 12, 6 and 5 words leave the last 11 out unless one ends there; clauses are short enough not to be parted."""
+    rng = random.Random(4)
+    clause = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) + ","
+    alone = lambda: [clause(rng.randrange(1, 14)) for _ in range(rng.randrange(1, 6))]
+    passages = [[clause(n) for n in (13, 12, 6, 5)]] + [[clause(rng.randrange(1, 14)) for _ in range(rng.randrange(2, 9))] for _ in range(30)]
+    rows = [(i, " ".join(alone() + passages[i % 31] + alone() + passages[rng.randrange(31)] + alone())) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lambda **how: sorted((r["doc_id"], r["start"], r["stop"]) for r in repeats.find_repeats(docs, **how).collect())
+    assert found(whole=True) == all_runs(rows) != found()
