@@ -141,7 +141,7 @@ def mix(
 
 
 def draw(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus itself: the documents' columns, a row per copy, in order of training.
+    """The mixed corpus itself: the documents' columns, a row per copy, range-sorted in order of training.
 
     Copies are whole here: the one document that the mix would cut is taken if at least half of it is wanted.
     """
@@ -149,7 +149,7 @@ def draw(docs: DataFrame, **how) -> DataFrame:
     mixed = mix(docs, keep=tuple(columns), **how)
     n = (F.col("taken") - F.col("part")) / F.greatest("size", F.lit(1)) + (F.col("part") * 2 >= F.greatest("size", F.lit(1))).cast("int")
     each = mixed.withColumn("n", n.cast("int")).where("n > 0").withColumn("at", F.explode(F.slice("positions", F.lit(1), F.col("n"))))
-    return each.sortWithinPartitions("at").select(*[F.col(f"kept_{c}").alias(c) for c in columns])
+    return each.orderBy("at", "key").select(*[F.col(f"kept_{c}").alias(c) for c in columns])
 
 
 #: The report in DuckDB's SQL.

@@ -1,5 +1,6 @@
 """The classifier on held-out labels; secrets and mixture against plain Python."""
 
+import glob
 import hashlib
 import re
 import zlib
@@ -125,3 +126,21 @@ def test_mixture_of_nothing(nothing, edges):
     assert drawn.columns == edges.columns and drawn.where("text is null").count() == 0
     empty = mixture.mix(edges.where("doc_id in (1, 2, 6)")).collect()
     assert [(r["taken"], r["target"]) for r in empty] == [(0, 0.0)] * 3
+
+
+def test_drawn_rows_are_in_order_of_training(spark, small, tmp_path):
+    """Read file by file, the stored stage goes through the copies by position."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    small_parts = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small_parts, "false")
+    try:
+        mixture.draw(docs).write.parquet(path := f"{tmp_path}/drawn")
+    finally:
+        spark.conf.unset(small_parts)
+    assert len(glob.glob(f"{path}/part-*")) > 1
+    drawn = [r["doc_id"] for f in sorted(glob.glob(f"{path}/part-*")) for r in spark.read.parquet(f"file://{f}").coalesce(1).collect()]
+    positions, seen, at = {r["doc_id"]: r["positions"] for r in mixture.mix(docs).collect()}, defaultdict(int), []
+    for ident in drawn:
+        at.append(positions[ident][seen[ident]])
+        seen[ident] += 1
+    assert len(at) > 100 and at == sorted(at)
