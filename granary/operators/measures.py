@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.store import stored
+
 INF = float("inf")
 
 
@@ -382,7 +384,7 @@ def class_digest(rows: DataFrame) -> DataFrame:
 def merkle(rows: DataFrame) -> DataFrame:
     """(level, i, hash) of the tree over rows (i from 0, hash), level by level; an odd last node moves up as it is.
 
-    Each level is half the one below and made of it by one aggregation; the driver only counts levels.
+    Each level is half the one below, made of it by one aggregation and stored; the driver only counts levels.
     """
     level = rows.select(F.lit(0).alias("level"), F.col("i").cast("long").alias("i"), "hash")
     out, n, at = level, rows.count(), 0
@@ -390,6 +392,7 @@ def merkle(rows: DataFrame) -> DataFrame:
         at += 1
         pair = level.groupBy(F.shiftright("i", 1).alias("i")).agg(F.min_by("hash", "i").alias("a"), F.max_by("hash", "i").alias("b"), F.count("*").alias("c"))
         level = pair.select(F.lit(at).alias("level"), "i", F.when(F.col("c") == 2, F.sha2(F.concat("a", "b"), 256)).otherwise(F.col("a")).alias("hash"))
+        level = stored(level, f"merkle-{at}")
         out, n = out.union(level), (n + 1) // 2
     return out
 
