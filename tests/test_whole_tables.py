@@ -2,6 +2,7 @@
 
 import hashlib
 
+from granary.functions import content
 from granary.plans.catalogue import queries
 
 
@@ -19,3 +20,10 @@ def test_merkle_of_all_documents(spark, small):
         level = [h(level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         at += 1
     assert sorted(map(tuple, queries()["agg_merkle_all"](spark, small).collect())) == want
+
+
+def test_delta_of_all_neighbours(spark, small):
+    texts = {r["doc_id"]: r["text"].encode() for r in documents(spark, small).collect()}
+    want = {i: len(content.delta_encode(texts[i - 1], t)) for i, t in texts.items() if i - 1 in texts}
+    got = queries()["dom_delta"](spark, small).collect()
+    assert len(got) == len(want) > 100 and {r["doc_id"]: r["patch_bytes"] for r in got} == want and all(r["exact"] for r in got)
