@@ -267,15 +267,31 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy(E("source").alias("class")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes_total"), F.array_sort(F.collect_list("doc_id")).alias("members"))
 
 
+def manifest_rows(docs, most=1000):
+    """Manifests as JSON, each of ``most`` files at most and with the total of its class."""
+    one = F.struct(F.sha2("text", 256).alias("digest"), E("n_chars").alias("bytes"), F.lit("none").alias("licence"), E("doc_id").cast("string").alias("path"), "source")
+    files = numbered(docs.select("lang", "doc_id", one.alias("file")), "lang", "doc_id", column="i")
+    totals = files.groupBy("lang").agg(F.sum("file.bytes").alias("bytes_total"))
+    parts = files.groupBy("lang", F.floor(E("i") / most).alias("part")).agg(F.collect_list("file").alias("files")).join(totals, "lang")
+    return parts.select(F.to_json(F.create_map("lang", F.struct("bytes_total", "files"))).alias("json"))
+
+
+def manifests_read(docs):
+    """The table is written as manifests per class and read as one."""
+    from granary.sources.walk import manifest
+
+    return manifest(manifest_rows(docs)).select("class", "bytes_total", "bytes", "path", "source")
+
+
 @query("src_manifest", "SELECT lang AS class, sum(n_chars) OVER (PARTITION BY lang)::BIGINT AS bytes_total, n_chars AS bytes, doc_id::VARCHAR AS path, source FROM documents WHERE doc_id % 4 = 0")
 def _(spark, d):
-    """The table is written as a manifest per class and read as one."""
-    from granary.sources.walk import manifest
+    return manifests_read(table(spark, d, "documents").where("doc_id % 4 = 0"))
 
-    docs = table(spark, d, "documents").where("doc_id % 4 = 0")
-    one = F.struct(F.sha2("text", 256).alias("digest"), E("n_chars").alias("bytes"), F.lit("none").alias("licence"), E("doc_id").cast("string").alias("path"), "source")
-    rows = docs.groupBy("lang").agg(F.struct(F.sum("n_chars").alias("bytes_total"), F.collect_list(one).alias("files")).alias("c"))
-    return manifest(rows.select(F.to_json(F.create_map("lang", "c")).alias("json"))).select("class", "bytes_total", "bytes", "path", "source")
+
+@query("src_manifest_all", "SELECT lang AS class, sum(n_chars) OVER (PARTITION BY lang)::BIGINT AS bytes_total, n_chars AS bytes, doc_id::VARCHAR AS path, source FROM documents")
+def _(spark, d):
+    """All documents; the SQL of src_manifest has a quarter of them."""
+    return manifests_read(table(spark, d, "documents"))
 
 
 @query("src_results_json", "SELECT user_id::VARCHAR AS run, count(*) AS n, user_id % 5 = 0 AS aborted, sum(event_id)::BIGINT AS bytes FROM events GROUP BY user_id")

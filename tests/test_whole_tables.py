@@ -1,8 +1,11 @@
 """Queries over whole tables against plain Python."""
 
 import hashlib
+import json
+from collections import Counter
 
 from granary.functions import content
+from granary.plans import measure_queries
 from granary.plans.catalogue import queries
 
 
@@ -27,3 +30,14 @@ def test_delta_of_all_neighbours(spark, small):
     want = {i: len(content.delta_encode(texts[i - 1], t)) for i, t in texts.items() if i - 1 in texts}
     got = queries()["dom_delta"](spark, small).collect()
     assert len(got) == len(want) > 100 and {r["doc_id"]: r["patch_bytes"] for r in got} == want and all(r["exact"] for r in got)
+
+
+def test_manifests_of_all_documents(spark, small):
+    docs = documents(spark, small).collect()
+    total = Counter()
+    for r in docs:
+        total[r["lang"]] += r["n_chars"]
+    want = sorted((r["lang"], total[r["lang"]], r["n_chars"], str(r["doc_id"]), r["source"]) for r in docs)
+    assert sorted(map(tuple, queries()["src_manifest_all"](spark, small).collect())) == want
+    sizes = [len(c["files"]) for r in measure_queries.manifest_rows(documents(spark, small), 7).collect() for c in json.loads(r["json"]).values()]
+    assert max(sizes) <= 7 and sum(sizes) == len(docs)
