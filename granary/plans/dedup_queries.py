@@ -266,7 +266,7 @@ def _(spark, d):
 
 @query("src_foreign_detect")
 def _(spark, d):
-    return raw(spark, d).select("doc_id", content.container_format(E("content").substr(1, 4096)).alias("format"))
+    return raw(spark, d).select("doc_id", content.container_format("content").alias("format"))
 
 
 @query("fn_base64")

@@ -41,3 +41,9 @@ def test_manifests_of_all_documents(spark, small):
     assert sorted(map(tuple, queries()["src_manifest_all"](spark, small).collect())) == want
     sizes = [len(c["files"]) for r in measure_queries.manifest_rows(documents(spark, small), 7).collect() for c in json.loads(r["json"]).values()]
     assert max(sizes) <= 7 and sum(sizes) == len(docs)
+
+
+def test_formats_far_into_the_content(spark, tmp_path):
+    rows = [(1, "x" * 32769 + "CD001" + "x" * 9), (2, "x" * 40000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["format"] for r in queries()["src_foreign_detect"](spark, str(tmp_path)).collect()} == {1: "iso", 2: None}
