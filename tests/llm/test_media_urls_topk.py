@@ -108,12 +108,46 @@ def vectors(seed, n, big=1.0):
 
 @pytest.mark.parametrize(("seed", "big"), [(1, 1.0), (2, 30.0), (3, 1e20)])
 def test_top_products(spark, monkeypatch, seed, big):
-    monkeypatch.setattr(topk, "CANDIDATES", 100)
-    monkeypatch.setattr(topk, "QUERIES", 3)
-    monkeypatch.setattr(topk, "BUCKET", 16)
+    for name, value in {"CELL": 100, "QUERIES": 3, "BUCKET": 16, "NEAR": 20}.items():
+        monkeypatch.setattr(topk, name, value)
     inf, nan = float("inf"), float("nan")
     rows = [*vectors(seed, 300, big), (1000, None), (1050, [inf] * 8), (1100, [nan] * 8), (1150, [None] * 8), (None, [1.0] * 8), (1200, []), (1250, [0.5, 0.5]), (-50, [0.0] * 8)]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, id int, score int")
     got = sorted(map(tuple, topk.top_products(frame).collect()))
     assert got == brute(rows)
     assert topk.top_products(frame.limit(0)).count() == 0
+
+
+def clustered(n, lengths):
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(12, 16))
+    v = middle[rng.integers(0, 12, n)] + 0.1 * rng.normal(size=(n, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v * np.exp(rng.normal(size=(n, 1))) if lengths else v
+
+
+@pytest.mark.parametrize("lengths", [False, True])
+def test_pruning_saves_products_and_no_result(spark, monkeypatch, lengths):
+    for name, value in {"CELL": 1000, "BUCKET": 100, "NEAR": 100}.items():
+        monkeypatch.setattr(topk, name, value)
+    rows = [(i, v) for i, v in enumerate(clustered(3000, lengths).astype(np.float32).tolist())]
+    rows += [(3000 + i, rows[50 * (i % 7)][1]) for i in range(300)]  # ties with queries' own vectors
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(map(tuple, topk.top_products(frame).collect())) == brute(rows)
+    made = topk.work(frame).first()
+    assert made["pairs"] == 3300 * 66 and made["products"] < 0.25 * made["pairs"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_coordinate_ranges_lose_no_candidate(seed):
+    rng = np.random.default_rng(seed)
+    c = np.floor(256 * clustered(400, seed % 2 == 1)) if seed < 4 else np.floor(rng.normal(size=(400, 5)) * 50)
+    q = c[rng.integers(0, 400, 20)] + np.floor(rng.normal(size=(20, c.shape[1])) * 20)
+    bucket = topk.Bucket(np.arange(400), c, np.array([topk.length_of(v) for v in c]))
+    for v in q:
+        score, length = bucket.c @ v, topk.length_of(v)
+        for theta in np.quantile(score, [0.5, 0.9, 0.99, 1.0]):
+            if theta > 0:
+                found = bucket.by_coordinates(v / length, theta / length / bucket.length[0], theta / length)
+                assert set(np.flatnonzero(score >= theta).tolist()) <= set(found.tolist())
+                assert (bucket.box(v[None])[0] >= score.max()) and bucket.by_length(np.array([theta / length * (1 - 1e-9)]))[0] >= np.flatnonzero(score >= theta).max() + 1
