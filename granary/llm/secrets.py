@@ -7,9 +7,11 @@ them.  A value that many owners hold is a copied example; one that few hold look
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.llm.common import stored
+from granary.llm.components import SHARE
 
 #: The base kinds in order: name, pattern, group whose length counts, least length.
 BASE = [
@@ -20,7 +22,11 @@ BASE = [
 #: What the method adds: long runs that hold a digit, a capital and a small letter.
 LOOSE = ("live", r"[A-Za-z0-9+/_-]{20,}")
 
-SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
+#: Least length of each kind's group, the added one last.
+LEAST = [*[n for *_, n in BASE], 20]
+
+HIT = "array<struct<rank:int,i:int,step:long,bytes:long,length:long,value:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,value:string,value_at:long,bytes_end:long,at:long>>"
 
 
 def let(value: Column, body) -> Column:
@@ -28,36 +34,29 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def matches(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of the leftmost non-overlapping matches whose group is long enough, in code points."""
+def matches(text: Column, rank: int, pattern: str, group: int) -> Column:
+    """The leftmost non-overlapping matches: number, characters and bytes from the end of the one before to its own
+    end, its length, and its group.  Running sums over these tell where each stands (:func:`placed`)."""
 
     def located(x: Column) -> Column:
-        # What lies between the matches and the matches themselves give every start.
-        steps = F.zip_with(x["gaps"], x["hits"], lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
-        return let(
-            F.struct(x["hits"].alias("hits"), steps.alias("steps")),
-            lambda y: F.filter(
-                F.transform(
-                    y["hits"],
-                    lambda h, i: let(
-                        F.aggregate(F.slice(y["steps"], F.lit(1), i + 1), F.lit(0), lambda a, b: a + b),
-                        lambda end: F.struct(
-                            (end - F.length(h)).cast("int").alias("start"),
-                            F.lit(rank).alias("rank"),
-                            end.cast("int").alias("end"),
-                            F.regexp_extract(h, pattern, group).alias("value"),
-                        ),
-                    ),
-                ),
-                lambda s: F.length(s["value"]) >= least,
-            ),
-        )
+        def one(h: Column, i: Column) -> Column:
+            # What lies between the matches and the matches themselves give every start; a match is ASCII.
+            return F.struct(
+                F.lit(rank).alias("rank"),
+                i.alias("i"),
+                (F.length(F.get(x["gaps"], i)) + F.length(h)).cast("long").alias("step"),
+                (F.octet_length(F.get(x["gaps"], i)) + F.length(h)).cast("long").alias("bytes"),
+                F.length(h).cast("long").alias("length"),
+                F.regexp_extract(h, pattern, group).alias("value"),
+            )
+
+        return F.transform(x["hits"], one)
 
     found = F.struct(
         F.split(text, pattern, -1).alias("gaps"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
     )
-    return F.when(text.rlike(pattern), let(found, located)).otherwise(F.lit(None).cast(SPAN))
+    return F.when(text.rlike(pattern), let(found, located)).otherwise(F.array().cast(HIT))
 
 
 def none_if_null(spans: Column) -> Column:
@@ -71,7 +70,7 @@ def printed(spans: Column, names: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: rid, id, owner, repo, base spans and loose candidates (both arrays).
+    """One row per document: rid, id, owner, repo, matches of every kind as they follow each other, and whether any.
 
     ``rid`` tells repeated rows apart; it is stable because the table is stored.
     """
@@ -82,22 +81,34 @@ def scan(docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = (
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
-    text, kept = F.col("text"), [f"kept_{c}" for c in keep]
-    found = clean.select(
-        "doc_id",
-        "owner",
-        "repo",
-        *[none_if_null(matches(text, r, p, g, n)).alias(f"s{r}") for r, (_, p, g, n) in enumerate(BASE)],
-        none_if_null(matches(text, len(BASE), LOOSE[1], 0, 20)).alias("loose"),
-        *kept,
-    )
-    # Sorting structs goes by start, then kind.
-    based = found.select("doc_id", "owner", "repo", F.array_sort(F.concat(*[f"s{r}" for r in range(len(BASE))])).alias("base"), "loose", *kept)
-    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
-    apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return based.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo", "base", F.filter("loose", lambda s: mixed(s) & apart(s)).alias("loose"), *kept
+    patterns = [(p, g) for _, p, g, _ in BASE] + [(LOOSE[1], 0)]
+    hits = F.concat(*[matches(F.col("text"), r, p, g) for r, (p, g) in enumerate(patterns)])
+    found = clean.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo", hits.alias("hits"), *[f"kept_{c}" for c in keep])
+    return found.withColumn("any", F.size("hits") > 0)
+
+
+def placed(table: DataFrame) -> DataFrame:
+    """The spans of :func:`scan`'s rows that count, a row each: rid, owner, repo, rank, start, end, value, and in bytes
+    value_at and bytes_end.
+
+    One sort per document and kind places the matches, one per document drops loose ones that touch a base span:
+    of the base spans that start before a loose one ends, none may end after it starts.  Both are linear in the
+    document's matches after the sorts, and need one shuffle, of the matches alone.
+    """
+    each = table.where("any").select("rid", "owner", "repo", F.inline("hits")).repartition("rid")
+    so_far = W.partitionBy("rid", "rank").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    ended = each.withColumns({"end": F.sum("step").over(so_far), "bytes_end": F.sum("bytes").over(so_far)})
+    is_base, value = F.col("rank") < len(BASE), F.col("value")
+    mixed = value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
+    enough = F.length("value") >= F.element_at(F.array(*[F.lit(n) for n in LEAST]), F.col("rank") + 1)
+    long = ended.where(enough & (is_base | mixed)).withColumns(
+        {"start": F.col("end") - F.col("length"), "value_at": F.col("bytes_end") - F.length("value"), "line": F.when(is_base, F.col("end") - F.col("length")).otherwise(F.col("end"))}
     )
+    # A base span that starts where a loose one ends comes after it on this line.
+    before = W.partitionBy("rid").orderBy("line", is_base).rowsBetween(W.unboundedPreceding, 0)
+    reach = F.max(F.when(is_base, F.col("end"))).over(before)
+    apart = long.withColumn("reach", reach).where(is_base | F.col("reach").isNull() | (F.col("reach") <= F.col("start")))
+    return apart.select("rid", "owner", "repo", "rank", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value", "value_at", "bytes_end")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -128,28 +139,31 @@ def find_secrets(
     most ``max_owners`` owners and ``max_repos`` repositories hold), n_live and n_example (base spans whose
     value is held narrowly or widely).  A null text counts as empty; a null owner or repository counts as one
     of its own; repeated rows each get their row; an empty table gives no rows; other columns are ignored unless
-    named in ``keep``, which carries them as ``kept_<name>``.
+    named in ``keep``, which carries them as ``kept_<name>``.  A text may hold any number of spans: the work is
+    linear in them but for sorting.  A span also tells, in bytes, where its value begins (value_at), where it
+    ends (bytes_end), and where the spans before it have ended (at).
     """
     table = stored(scan(docs, text_col, repo_cols, owner_col, id_col, keep), "secret-scan")
-    spans = table.where((F.size("base") > 0) | (F.size("loose") > 0)).select(
-        "rid", "owner", "repo", F.explode(F.concat("base", "loose")).alias("span")
-    ).select("rid", "owner", "repo", "span", F.xxhash64("span.value").alias("h"), F.sha2("span.value", 256).alias("hash"))
+    spans = stored(placed(table).withColumn("hash", F.sha2("value", 256)), "secret-spans", SHARE)
     # Stored, so that both sides of the join come fresh from a shuffle and a hot value can be split.
-    held = stored(ownership(spans), "secret-owners")
-    judged = spans.join(held, "hash").select(
-        "rid", "span", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live")
-    )
-    is_base = F.col("span.rank") < len(BASE)
+    held = stored(ownership(spans), "secret-owners", SHARE)
+    is_base, live = F.col("rank") < len(BASE), (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    judged = spans.join(held, "hash").withColumn("live", live).where(is_base | live).drop("hash", "owner", "repo")
+    earlier = W.partitionBy("rid").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, -1)
+    judged = judged.withColumn("at", F.coalesce(F.max("bytes_end").over(earlier), F.lit(0)))
+    span = F.struct("start", "rank", "end", "value", "value_at", "bytes_end", "at")
     per_doc = judged.groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.when(~is_base & F.col("live"), F.col("span")))).alias("added"),
+        F.array_sort(F.collect_list(F.when(is_base, span))).alias("base"),
+        F.array_sort(F.collect_list(F.when(~is_base, span))).alias("added"),
         F.count_if(is_base & F.col("live")).alias("n_live"),
         F.count_if(is_base & ~F.col("live")).alias("n_example"),
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     kept = [f"kept_{c}" for c in keep]
-    return table.select("rid", "doc_id", "base", *kept).join(per_doc, "rid", "left").select(
-        "doc_id", "base", none_if_null(F.col("added")).alias("added"), zero("n_live"), zero("n_example"), *kept
-    )
+    # Only rows with matches, and none of the others' texts, are shuffled to meet their spans.
+    some = table.where("any").select("rid", "doc_id", *kept).join(per_doc, "rid", "left")
+    none = table.where("not any").select("rid", "doc_id", *kept, *[F.lit(None).cast(SPAN).alias(c) for c in ("base", "added")], *[F.lit(0).cast("long").alias(c) for c in ("n_live", "n_example")])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return some.unionByName(none).select("doc_id", none_if_null(F.col("base")).alias("base"), none_if_null(F.col("added")).alias("added"), zero("n_live"), zero("n_example"), *kept)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -167,24 +181,29 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def hidden(text: Column, spans: Column, mark: str) -> Column:
-    """``text`` with the value of each span, given in order, replaced by ``mark``."""
+    """``text`` with the value of each span, given in order, replaced by ``mark``; a value under an earlier span goes
+    with that.  The text is cut as bytes, where a place is found at once."""
 
-    def step(state: Column, span: Column) -> Column:
-        start = span["end"] - F.length(span["value"])
-        gap = F.concat(state["out"], text.substr(state["at"] + 1, F.greatest(start - state["at"], F.lit(0))), F.when(start >= state["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(gap.alias("out"), F.greatest(state["at"], span["end"]).alias("at"))
+    def cut(raw: Column) -> Column:
+        piece = lambda s: F.when(s["value_at"] >= s["at"], F.concat(F.substring(raw, s["at"].cast("int") + 1, (s["value_at"] - s["at"]).cast("int")).cast("string"), F.lit(mark))).otherwise("")
+        end = F.array_max(F.transform(spans, lambda s: s["bytes_end"])).cast("int")
+        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(raw, end + 1, F.octet_length(raw)).cast("string"))
 
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    return let(F.encode(text, "utf-8"), cut)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **how) -> DataFrame:
-    """All documents with the values of their base and added secrets replaced; the columns stay as they were."""
+    """All documents with the values of their base and added secrets replaced; the columns stay as they were.
+
+    A null text stays null, and texts without secrets, empty ones among them, stay as they are, whatever their
+    length; values that many owners hold are hidden where a base pattern names them; repeated rows all stay;
+    an empty table gives no rows; columns of any name are carried along.
+    """
     columns = docs.columns
     found = find_secrets(docs, text_col, keep=tuple(columns), **how)
     spans = F.array_sort(F.concat("base", "added"))
     kept = lambda c: F.col(f"kept_{c}")
-    new = F.when(F.size(spans) > 0, hidden(kept(text_col), spans, mark)).otherwise(kept(text_col))
+    new = F.when(F.size(spans) > 0, let(spans, lambda s: hidden(kept(text_col), s, mark))).otherwise(kept(text_col))
     return found.select(*[(new if c == text_col else kept(c)).alias(c) for c in columns])
 
 

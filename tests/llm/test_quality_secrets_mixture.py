@@ -83,6 +83,41 @@ def test_ownership_parts_examples_from_live_values(spark, edges, nothing):
     assert secrets.redact(edges).columns == edges.columns
 
 
+def plainly_hidden(text, spans):
+    """Values of spans (start, rank, end, value length) in order, replaced one after another."""
+    out, at = [], 0
+    for _, _, end, size in spans:
+        start = end - size
+        if start >= at:
+            out.append(text[at:start] + "[SECRET]")
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_very_many_hits_in_one_text(spark):
+    """A hundred thousand of each kind in one text, beside characters of several bytes."""
+    n = 100_000
+    text = "".join(f"é {i:016x} token={'k' * 11}{i:05d} AKIA{i:016d} 😀AbCzzzzyyyyzzzzz{i:06d}\n" for i in range(n))
+    frame = spark.createDataFrame([(1, text, "en", "s"), (2, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    row = {r["doc_id"]: r for r in secrets.find_secrets(frame).collect()}[1]
+    want = base_spans(text)
+    assert [(s["start"], s["rank"], s["end"]) for s in row["base"]] == [s[:3] for s in want] and len(want) >= 3 * n
+    assert len(row["added"]) == n and all(text[s["start"] : s["end"]] == s["value"] for s in row["added"])
+    spans = sorted((s["start"], s["rank"], s["end"], len(s["value"])) for s in [*row["base"], *row["added"]])
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()} == {1: plainly_hidden(text, spans), 2: None}
+
+
+def test_redaction_of_overlapping_spans(spark, edges):
+    rows = [(i, t, "en", "s") for i, t in enumerate(TEXTS)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").unionByName(edges.select("doc_id", "text", "lang", "source"))
+    found, got = secrets.find_secrets(frame, keep=("text",)).collect(), Counter((r["doc_id"], r["text"]) for r in secrets.redact(frame).collect())
+    want = Counter()
+    for r in found:
+        spans = sorted((s["start"], s["rank"], s["end"], len(s["value"])) for s in [*r["base"], *r["added"]])
+        want[r["doc_id"], r["kept_text"] if not spans else plainly_hidden(r["kept_text"], spans)] += 1
+    assert got == want
+
+
 def shares(sizes, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
