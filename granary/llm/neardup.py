@@ -4,11 +4,14 @@
    are one node from here on.
 2. The forest: in each order the signature starts with another block of minima.  Nodes that agree on a block form
    a region.  Regions are range-sorted by the order's signature and walked in runs; a region that is too large
-   for one run is cut into runs along its sorted order, so neighbours there share deeper prefixes than elsewhere.
-   Within a run, nodes whose signatures look similar enough are joined to candidate clusters.
+   for one run goes deeper: it is cut into overlapping runs along its sorted order, so what is compared there shares longer
+   prefixes than elsewhere.  Within a run, nodes whose signatures look similar enough are joined to candidate clusters.
 3. A cluster of moderate size is settled in one task: its pairs, the likeliest first, are compared on their full
-   sets unless already connected.  A larger one is dealt into chunks several times, and then every node outside
-   the cluster's main component meets every chunk; so no link is lost and no group is held in one place.
+   sets unless already connected.  A larger one is dealt into chunks several times, which connects most of it.
+4. What runs and chunks can't promise is made exact: all nodes of regions too large for a run and of large clusters are
+   joined by the rarest shingles of their sets.  Of two sets similar enough, those prefixes share one.  Only pairs that
+   no links connect yet are made, and each is confirmed on its full sets, so the work follows the pairs that
+   share something rare, not the size of a group.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +35,7 @@ from granary.llm.hashing import FACTOR, mixed, random_words, slices, words_of
 ORDERS, DEPTH = 24, 4
 MINIMA = ORDERS * DEPTH
 #: Nodes of a run, of a cluster that one task settles, and how often a larger cluster is dealt into chunks.
-RUN, CLUSTER, DEALS = 128, 256, 3
+RUN, CLUSTER, DEALS = 128, 128, 3
 #: How far below the threshold, in standard deviations, a signature's estimate may lie.
 MARGIN = 4.0
 
@@ -97,16 +101,14 @@ def profiles(docs: DataFrame, size: int, text_col: str, id_col: str) -> DataFram
 
 def region_keys(nodes: DataFrame) -> DataFrame:
     """(key, turn, rid): each node once in each order, under its region there."""
+    of = lambda t: F.struct(F.xxhash64(F.substring("sig", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)), t).alias("key"), t.cast("int").alias("turn"))
+    return nodes.select("rid", F.inline(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), of))).select("key", "turn", "rid")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = np.arange(ORDERS, dtype=np.int32)
-        for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, ORDERS)
-            keys = mixed(sigs + turn.astype(np.uint64) * FACTOR).view(np.int64)
-            rid = batch.column("rid").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(turn, len(rid))), pa.array(np.repeat(rid, ORDERS))], names=["key", "turn", "rid"])
 
-    return nodes.select("rid", "sig").mapInArrow(made, "key long, turn int, rid long")
+def regions(nodes: DataFrame) -> DataFrame:
+    """A stored row per node and region of two nodes or more: key, rid, turn, n (the region's nodes), sig."""
+    counts = stored(region_keys(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dup-regions")
+    return stored(region_keys(nodes).join(counts, "key").join(nodes.select("rid", "sig"), "rid"), "dup-members")
 
 
 def runs(frames: Iterator[pd.DataFrame], by: list[str], most: int | None = None) -> Iterator[pd.DataFrame]:
@@ -161,15 +163,12 @@ def unpacked(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, MINIMA)
 
 
-def likely(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose signatures agree in at least that share, the likeliest first."""
-    if len(a) * len(b) <= 4096:
-        same = (a[:, None, :] == b[None, :, :]).sum(2)
-    else:
-        same = np.zeros((len(a), len(b)), np.int16)
-        for k in range(MINIMA):
-            same += a[:, k, None] == b[None, :, k]
-    i, j = np.nonzero(same >= least * MINIMA)
+def likely(sigs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of rows whose signatures agree in at least that share, the likeliest first."""
+    same = np.zeros((len(sigs), len(sigs)), np.int16)
+    for k in range(MINIMA):
+        same += sigs[:, k, None] == sigs[None, :, k]
+    i, j = np.nonzero(np.triu(same >= least * MINIMA, 1))
     order = np.argsort(-same[i, j], kind="stable")
     return i[order], j[order]
 
@@ -179,18 +178,17 @@ def estimate_floor(threshold: int) -> float:
     return share - MARGIN * (share * (1 - share) / MINIMA) ** 0.5
 
 
-def candidate_edges(nodes: DataFrame, threshold: int) -> DataFrame:
-    """A spanning forest of the similar nodes in each run of each order."""
-    counts = stored(region_keys(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dup-regions")
-    in_regions = region_keys(nodes).join(counts, "key")
-    # Stored, for the range sort reads it twice.
-    members = stored(in_regions.join(nodes.select("rid", "sig"), "rid"), "dup-members")
+def candidate_edges(members: DataFrame, threshold: int) -> DataFrame:
+    """A spanning forest of the similar nodes in each run of each order.
+
+    Runs of a large region overlap by half.  A range partition may end within such a region, never within a small
+    one, whose rows are all equal in the sort's key.
+    """
     deeper = F.concat(F.expr(f"substring(sig, turn * {2 * DEPTH} + {2 * DEPTH + 1})"), F.expr(f"substring(sig, 1, turn * {2 * DEPTH})"))
-    order = ["key", "deeper", "rid"]
     sorted_members = (
         members.withColumn("deeper", F.when(F.col("n") > RUN, deeper))
-        .repartitionByRange(spread(nodes.sparkSession), "key", "deeper")
-        .sortWithinPartitions(*order)
+        .repartitionByRange(spread(members.sparkSession), "key", "deeper")
+        .sortWithinPartitions("key", "deeper", "rid")
         .select("key", "rid", "sig")
     )
     floor = estimate_floor(threshold)
@@ -198,22 +196,20 @@ def candidate_edges(nodes: DataFrame, threshold: int) -> DataFrame:
     def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a_out: list[int] = []
         b_out: list[int] = []
-        last_key, last = None, None
+        last: tuple | None = None  # key, nodes and signatures that a long region's next run takes up again
         for run in runs(frames, ["key"], RUN):
-            rid, sigs = run["rid"].to_numpy(), unpacked(run["sig"].tolist())
-            if last_key == run["key"].iat[0]:  # a long region goes on: its runs are linked where they meet
-                if (last[1] == sigs[0]).mean() >= floor:
-                    a_out.append(last[0])
-                    b_out.append(rid[0])
-            last_key, last = run["key"].iat[0], (rid[-1], sigs[-1])
+            key, rid, sigs = run["key"].iat[0], run["rid"].to_numpy(), unpacked(run["sig"].tolist())
+            if last and last[0] == key:
+                rid, sigs = np.concatenate([last[1], rid]), np.concatenate([last[2], sigs])
+            last = (key, rid[-RUN // 2 :], sigs[-RUN // 2 :]) if len(run) == RUN else None
             if len(rid) == 2:
                 if (sigs[0] == sigs[1]).mean() >= floor:
                     a_out.append(rid[0])
                     b_out.append(rid[1])
             elif len(rid) > 2:
                 joined = Union(len(rid))
-                for i, j in zip(*(x.tolist() for x in likely(sigs, sigs, floor))):
-                    if i < j and joined.join(i, j):
+                for i, j in zip(*(x.tolist() for x in likely(sigs, floor))):
+                    if joined.join(i, j):
                         a_out.append(rid[i])
                         b_out.append(rid[j])
             if len(a_out) > 20_000:
@@ -237,17 +233,10 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * common >= threshold * (len(a) + len(b) - common)
 
 
-def confirm(sets: list[np.ndarray], sigs: np.ndarray, labels: list[int], threshold: int, left: list[int], right: list[int]) -> list[tuple[int, int]]:
-    """Links, one for each two components that they connect, between rows of ``left`` and ``right``.
-
-    Rows of one label are connected already.
-    """
-    joined, first = Union(len(sets)), {}
-    for i, label in enumerate(labels):
-        joined.join(first.setdefault(label, i), i)
-    found = []
-    for x, y in zip(*(v.tolist() for v in likely(sigs[left], sigs[right], estimate_floor(threshold)))):
-        i, j = left[x], right[y]
+def confirm(sets: list[np.ndarray], sigs: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links between rows, one for each two components that they connect."""
+    joined, found = Union(len(sets)), []
+    for i, j in zip(*(v.tolist() for v in likely(sigs, estimate_floor(threshold)))):
         if joined.find(i) != joined.find(j) and linked(sets[i], sets[j], threshold):
             joined.join(i, j)
             found.append((i, j))
@@ -255,19 +244,11 @@ def confirm(sets: list[np.ndarray], sigs: np.ndarray, labels: list[int], thresho
 
 
 def settle(threshold: int, by: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For tasks over sorted groups (rid, label, outside, sig, shingles): confirmed links (a, b).
-
-    Rows marked outside are compared with all others of the group, or, without any such, all with all.
-    """
+    """For tasks over sorted groups (rid, sig, shingles): confirmed links (a, b)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(frames, by):
-            group = group.drop_duplicates(["rid", "outside"], ignore_index=True)
-            sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-            out = group["outside"].to_numpy()
-            every = list(range(len(group)))
-            left = np.flatnonzero(out).tolist() if out.any() else every
-            found = confirm(sets, unpacked(group["sig"].tolist()), group["label"].tolist(), threshold, left, every)
+            found = confirm([np.frombuffer(s, np.uint64) for s in group["shingles"]], unpacked(group["sig"].tolist()), threshold)
             rid = group["rid"].to_numpy()
             yield pd.DataFrame({"a": np.array([rid[i] for i, _ in found], np.int64), "b": np.array([rid[j] for _, j in found], np.int64)})
 
@@ -275,7 +256,7 @@ def settle(threshold: int, by: list[str]) -> Callable[[Iterator[pd.DataFrame]],
 
 
 def grouped(rows: DataFrame, by: list[str], threshold: int) -> DataFrame:
-    wanted = rows.select(*by, "rid", "label", "outside", "sig", "shingles")
+    wanted = rows.select(*by, "rid", "sig", "shingles")
     return wanted.repartition(spread(rows.sparkSession), *by).sortWithinPartitions(*by, "rid").mapInPandas(settle(threshold, by), "a long, b long")
 
 
@@ -297,31 +278,68 @@ def with_sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str, id_c
     return stored(found.mapInArrow(made, schema), "dup-sets")
 
 
+def rare_pairs(sets: DataFrame, threshold: int) -> DataFrame:
+    """All pairs (a, b) of rows (rid, label, size, shingles) of different labels that may be linked; stored.
+
+    Shingles are put in one order, the rarest first.  Sets x and y have an intersection of at least
+    m = ceil(t * (|x| + |y|) / (100 + t)) if they are linked, and then share a shingle within the first |x| - m + 1 of
+    x and the first |y| - m + 1 of y.  Shingles that one row alone has come first and need no partner; those that
+    only rows of one label have there make no pair.  Of the others the rows outside each shingle's commonest label meet
+    all its rows, in a join of two fresh shuffles, so that a hot shingle can be split.
+    """
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                each = [np.frombuffer(s, np.int64) for s in part.column("shingles").to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(each)), [len(s) for s in each]))
+                columns = [part.column(c).take(owner) for c in ("rid", "label", "size")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(each) if each else np.empty(0, np.int64))], names=["rid", "label", "size", "shingle"])
+
+    each = sets.select("rid", "label", "size", "shingles").mapInArrow(spelt, "rid long, label long, size long, shingle long")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).where("n > 1")
+    found = each.join(stored(counts, "dup-shingles"), "shingle")
+    of_row = W.partitionBy("rid")
+    place = F.col("size") - F.count("*").over(of_row) + F.row_number().over(of_row.orderBy("n", "shingle"))
+    most = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1  # for a partner of the least size
+    postings = stored(found.withColumn("place", place).where((F.col("place") <= most) & F.col("mixed")).select("shingle", "rid", "label", "size", "place"), "dup-postings")
+    labels = postings.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle")
+    main = labels.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    outside = stored(postings.join(main, "shingle").where("label <> main").drop("main"), "dup-outside")
+    x, y = outside.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("rid", "label", "size", "place")]), postings.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("rid", "label", "size", "place")])
+    need = F.ceil((F.col("x_size") + F.col("y_size")) * threshold / (100 + threshold))
+    fits = (F.col("x_place") <= F.col("x_size") - need + 1) & (F.col("y_place") <= F.col("y_size") - need + 1) & (F.least("x_size", "y_size") >= need)
+    pairs = x.join(y, "shingle").where((F.col("x_label") != F.col("y_label")) & fits)
+    return stored(pairs.select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct(), "dup-pairs")
+
+
+def confirmed_pairs(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that are linked, on their full sets."""
+
+    def checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(frame["x"], frame["y"])]
+            yield frame.loc[ok, ["a", "b"]]
+
+    x, y = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(checked, "a long, b long")
+
+
 def confirmed_edges(sets: DataFrame, threshold: int) -> DataFrame:
-    """Links that connect each cluster's nodes as all its links would.  ``sets``: cluster, n, rid, sig, shingles."""
-    alone = sets.withColumns({"label": F.col("rid"), "outside": F.lit(False)})
-    edges = grouped(alone.where(F.col("n") <= CLUSTER), ["cluster"], threshold)
-    large = sets.where(F.col("n") > CLUSTER)
-    if large.isEmpty():
+    """Links that connect the nodes as all links would.  ``sets``: cluster, n (its nodes; null without one), dense, rid,
+    sig, shingles."""
+    edges = grouped(sets.where(F.col("n") <= CLUSTER), ["cluster"], threshold)
+    rest = sets.where(F.col("dense") | (F.col("n") > CLUSTER))
+    if rest.isEmpty():
         return edges
-    chunks = F.ceil(F.col("n") / (CLUSTER // 2)).cast("int")
-    chunk = lambda deal: F.pmod(F.xxhash64(F.col("rid"), deal), chunks).cast("int")
-    dealt = alone.where(F.col("n") > CLUSTER).withColumn("deal", F.explode(F.sequence(F.lit(1), F.lit(DEALS)))).withColumn("chunk", chunk(F.col("deal")))
-    first = stored(grouped(dealt, ["cluster", "deal", "chunk"], threshold), "dup-dealt")
-    labels = stored(components(first), "dup-labels", SHARE)
-    labelled = large.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    chunk = F.pmod(F.xxhash64(F.col("rid"), F.col("deal")), F.ceil(F.col("n") / (CLUSTER // 2))).cast("int")
+    dealt = sets.where(F.col("n") > CLUSTER).withColumn("deal", F.explode(F.sequence(F.lit(1), F.lit(DEALS)))).withColumn("chunk", chunk)
+    first = stored(edges.union(grouped(dealt, ["cluster", "deal", "chunk"], threshold)), "dup-first", SHARE)
+    labels = stored(components(first), "dup-labels", SHARE).withColumnRenamed("node", "rid")
+    labelled = rest.join(labels, "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"), (F.octet_length("shingles") / 8).cast("long").alias("size"), "shingles")
     labelled = stored(labelled, "dup-labelled")
-    # The main component of each cluster; whoever is outside it meets all chunks, in groups of bounded size.
-    sizes = labelled.groupBy("cluster", "label").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    main = stored(main.select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / CLUSTER).cast("int").alias("parts")), "dup-main", SHARE)
-    marked = labelled.join(main, "cluster").where("parts > 0").withColumn("outside", F.col("label") != F.col("main"))
-    part = F.pmod(F.xxhash64(F.col("rid"), F.lit(-1)), F.col("parts")).cast("int")
-    inside = marked.withColumns({"chunk": chunk(F.lit(0)), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "outside": F.lit(False)})
-    outside = marked.where("outside").withColumns({"chunk": F.explode(F.sequence(F.lit(0), chunks - 1)), "part": part})
-    columns = ["cluster", "chunk", "part", "rid", "label", "outside", "sig", "shingles"]
-    second = grouped(inside.select(*columns).union(outside.select(*columns)), ["cluster", "chunk", "part"], threshold)
-    return edges.union(first).union(second)
+    return first.union(confirmed_pairs(rare_pairs(labelled, threshold), labelled, threshold))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -344,9 +362,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, text
         .select("set_id", "r.*", "low"),
         "dup-nodes",
     )
-    candidates = stored(components(candidate_edges(nodes, threshold)), "dup-clusters", SHARE).select(F.col("node").alias("rid"), F.col("label").alias("cluster"))
+    members = regions(nodes)
+    candidates = stored(components(candidate_edges(members, threshold)), "dup-clusters", SHARE).select(F.col("node").alias("rid"), F.col("label").alias("cluster"))
     sizes = stored(candidates.groupBy("cluster").agg(F.count("*").alias("n")), "dup-sizes", SHARE)
-    wanted = candidates.join(sizes, "cluster").join(nodes.select("rid", "doc_id", "text_hash", "sig"), "rid")
+    dense = stored(members.where(F.col("n") > RUN).select("rid", F.lit(True).alias("dense")).distinct(), "dup-dense", SHARE)
+    asked = candidates.join(sizes, "cluster").join(dense, "rid", "full_outer").select("rid", "cluster", "n", F.coalesce("dense", F.lit(False)).alias("dense"))
+    wanted = asked.join(nodes.select("rid", "doc_id", "text_hash", "sig"), "rid")
     sets = with_sets(docs, stored(wanted, "dup-wanted"), shingle, text_col, id_col)
     labels = stored(components(confirmed_edges(sets, threshold)), "dup-components", SHARE).withColumnRenamed("node", "rid")
     labelled = nodes.join(labels, "rid", "left").select("set_id", F.coalesce("label", "rid").alias("label"), "low")
@@ -367,13 +388,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, text
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents with one row of each group; their columns stay as they were."""
-    found = near_duplicates(docs, text_col=text_col, id_col=id_col, **how)
-    keepers = stored(found.where("rid = keeper").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")), "dup-keepers")
-    hashed = docs.withColumn("granary_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = (hashed["granary_hash"] == keepers["keep_hash"]) & hashed[id_col].cast("long").eqNullSafe(keepers["keep_id"])
-    left = hashed.join(keepers, same, "left_semi")
-    # Rows that agree in id and text all match their keeper; only where there are such is one picked.
-    if keepers.count() < left.count():
-        left = left.dropDuplicates([id_col, "granary_hash"])
-    return left.drop("granary_hash")
+    """The documents with one row of each group; their columns stay as they were, whatever their names.
+
+    Rows without words, null and empty texts among them, are all kept.  Of rows that agree in id and text, which
+    nothing tells apart, one is kept where their group's keeper is among them, whatever their other columns hold;
+    a null id is like any other there, and an empty table gives no rows.
+    """
+    found = near_duplicates(docs, text_col=text_col, id_col=id_col, **how).groupBy("doc_id", "text_hash").agg(F.count_if(F.col("rid") == F.col("keeper")).alias("keepers"), F.count("*").alias("rows"))
+    spare = lambda name: name if name not in docs.columns else spare(name + "_")
+    mark, ident = spare("granary_hash"), spare("granary_id")
+    # All of them where each is its own keeper, as rows without words are; else the one.
+    keepers = stored(found.where("keepers > 0").select(F.col("doc_id").alias(ident), F.col("text_hash").alias(mark), (F.col("keepers") == F.col("rows")).alias("every")), "dup-keepers")
+    hashed = docs.withColumns({mark: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = lambda some: hashed.join(some, (hashed[mark] == some[mark]) & hashed[id_col].cast("long").eqNullSafe(some[ident]), "left_semi")
+    left, twice = kept(keepers.where("every")), keepers.where("not every")
+    if not twice.isEmpty():
+        left = left.union(kept(twice).dropDuplicates([id_col, mark]))
+    return left.drop(mark)
