@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
+KINDS = {"binary": T.BinaryType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
 
 
 def fields(text: str) -> T.StructType:
@@ -28,6 +28,8 @@ def fields(text: str) -> T.StructType:
 
 #: Bytes sampled at the head of each stride, and the limits of bits per byte.
 HEAD, STRIDE, SAMPLE_LIMIT, FULL_LIMIT = 4096, 65536, 7.5, 7.95
+#: Bytes of a file that decide its class: for statistics, and for signatures and entropy.
+SAMPLE, BLOCK = 1 << 16, 1 << 20
 
 
 def entropy_of(data: bytes) -> float:
@@ -87,28 +89,82 @@ def features_of(data: bytes) -> tuple:
 
 #: Classes by what files begin with.
 MAGIC = [
-    ("Jpeg", b"\xff\xd8\xff"), ("Png", b"\x89PNG\r\n\x1a\n"), ("Compressed", b"\x1f\x8b"), ("Compressed", b"BZh"), ("Compressed", b"\xfd7zXZ\x00"),
-    ("Compressed", b"(\xb5/\xfd"), ("Archive", b"PK\x03\x04"), ("Archive", b"7z\xbc\xaf\x27\x1c"), ("Archive", b"Rar!\x1a\x07"), ("Pdf", b"%PDF-"),
-    ("Executable", b"MZ"), ("Executable", b"\x7fELF"), ("Video", b"\x1aE\xdf\xa3"), ("Audio", b"ID3"), ("Audio", b"fLaC"), ("Audio", b"OggS"),
+    ("jpeg", b"\xff\xd8\xff"), ("png", b"\x89PNG\r\n\x1a\n"), ("deflate-container", b"PK\x03\x04"), ("deflate-container", b"PK\x05\x06"),
+    ("deflate-container", b"PK\x07\x08"), ("deflate-container", b"\x1f\x8b\x08"), ("deflate-container", b"%PDF-"), ("executable", b"\x7fELF"),
+    ("executable", b"\xfe\xed\xfa\xce"), ("executable", b"\xfe\xed\xfa\xcf"), ("executable", b"\xce\xfa\xed\xfe"), ("executable", b"\xcf\xfa\xed\xfe"),
+    ("audio", b"fLaC"), ("audio", b"OggS"), ("video", b"\x1aE\xdf\xa3"), ("image-raw", b"II*\x00"), ("image-raw", b"MM\x00*"),
+    ("image-raw", b"GIF87a"), ("image-raw", b"GIF89a"), ("compressed", b"7z\xbc\xaf\x27\x1c"), ("compressed", b"\xfd7zXZ\x00"),
+    ("compressed", b"\x28\xb5\x2f\xfd"), ("compressed", b"Rar!\x1a\x07"), ("compressed", b"\xff\x0a"), ("compressed", b"\x00\x00\x00\x0cJXL "),
 ]
-STORED = ["HighEntropy", "Video", "Compressed", "Jpeg", "Png"]
+CLASSES = ["text", "jpeg", "deflate-container", "png", "executable", "audio", "image-raw", "video", "compressed", "high-entropy", "other"]
+#: Classes that are stored as they are.
+STORED = ["high-entropy", "video", "compressed", "jpeg", "png"]
+#: Kilobits a second of MPEG audio frames by version 1 layer III, version 1 layer II and version 2, by index
+#: 1 to 14; and samples a second of versions 1, 2 and 2.5, by index.
+RATES_1_3 = [32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+RATES_1_2 = [32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384]
+RATES_2 = [8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]
+SAMPLES = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8000]}
+
+
+def mpeg_frame(data: bytes, at: int = 0) -> int:
+    """Length of the MPEG audio frame (layer II or III) whose header is there; 0 for none."""
+    if len(data) < at + 3:
+        return 0
+    bits = int.from_bytes(data[at : at + 3], "big")
+    version, layer, rate, samples, pad = bits >> 11 & 3, bits >> 9 & 3, bits >> 4 & 15, bits >> 2 & 3, bits >> 1 & 1
+    # Layer 3 in these bits is layer I, which a UTF-16 mark looks like; version 1 is reserved.
+    if bits >> 13 != 0x7FF or version not in SAMPLES or layer not in (1, 2) or rate in (0, 15) or samples == 3:
+        return 0
+    kilobits = (RATES_2 if version != 3 else RATES_1_3 if layer == 1 else RATES_1_2)[rate - 1]
+    per_bit = 72 if version != 3 and layer == 1 else 144
+    return per_bit * kilobits * 1000 // SAMPLES[version][samples] + pad
+
+
+def is_mpeg(data: bytes) -> bool:
+    """A frame that leads to another, or beyond the end."""
+    length = mpeg_frame(data)
+    return bool(length) and (len(data) < length + 4 or mpeg_frame(data, length) > 0)
+
+
+def signed_class(data: bytes) -> str | None:
+    """The class by signature, as far as one tells."""
+    for name, magic in MAGIC:
+        if data.startswith(magic):
+            return name
+    if data[:2] == b"MZ":  # a header that points to another
+        at = int.from_bytes(data[60:64], "little")
+        return "executable" if len(data) >= 64 and data[at : at + 4] == b"PE\0\0" else None
+    if data[:3] == b"ID3":
+        right = len(data) >= 10 and 2 <= data[3] <= 4 and data[4] != 0xFF and max(data[6:10]) < 0x80
+        return "audio" if right else None
+    if data[:4] == b"\xca\xfe\xba\xbe":  # few architectures, or a Java class of some version
+        return "executable" if len(data) >= 8 and int.from_bytes(data[4:8], "big") < 0x20 else "other"
+    if data[:4] == b"RIFF" and len(data) >= 12:
+        return {b"WAVE": "audio", b"AVI ": "video", b"WEBP": "compressed"}.get(data[8:12])
+    if data[4:8] == b"ftyp" and len(data) >= 12:
+        return {b"M4A ": "audio", b"avif": "compressed", b"heic": "compressed", b"mif1": "compressed"}.get(data[8:12], "video")
+    if re.match(rb"BZh[1-9]", data):
+        return "compressed"
+    if data[:2] == b"BM" and len(data) >= 14 and data[6:10] == bytes(4):
+        return "image-raw"
+    if re.match(rb"P[1-6][ \t\n\r][0-9#]", data):
+        return "image-raw"
+    return "audio" if is_mpeg(data) else None
 
 
 def class_of(data: bytes) -> str:
     """Signature, then text (no NUL, valid UTF-8, hardly any controls), then by entropy."""
-    for name, magic in MAGIC:
-        if data.startswith(magic):
-            return name
-    if data[4:8] == b"ftyp":
-        return "Video"
-    if data[:4] == b"RIFF" and data[8:12] in (b"WAVE", b"AVI "):
-        return "Audio" if data[8:12] == b"WAVE" else "Video"
     if not data:
-        return "Other"
-    _, bits, _, nul, control, _, utf8, _ = features_of(data)
+        return "other"
+    head = data[:BLOCK]
+    found = signed_class(head)
+    if found:
+        return found
+    _, _, _, nul, control, _, utf8, _ = features_of(data[:SAMPLE])
     if not nul and utf8 and control < 0.005:
-        return "Text"
-    return "HighEntropy" if bits >= FULL_LIMIT else "Other"
+        return "text"
+    return "high-entropy" if is_incompressible(head) else "other"
 
 
 @F.pandas_udf(fields(FEATURES))
@@ -121,50 +177,53 @@ def classify(content: pd.Series) -> pd.Series:
     return content.map(lambda b: class_of(bytes(b) if b is not None else b""))
 
 
-#: Container formats by magic and its offset.
+#: Container formats by patterns of their first bytes, the first that fits deciding.
 FORMATS = [
-    ("zip", 0, b"PK\x03\x04"), ("zip", 0, b"PK\x05\x06"), ("7z", 0, b"7z\xbc\xaf\x27\x1c"), ("gzip", 0, b"\x1f\x8b"), ("bzip2", 0, b"BZh"), ("xz", 0, b"\xfd7zXZ\x00"),
-    ("zstd", 0, b"(\xb5/\xfd"), ("lzip", 0, b"LZIP"), ("rar", 0, b"Rar!\x1a\x07"), ("cab", 0, b"MSCF"), ("ar", 0, b"!<arch>\n"), ("cpio", 0, b"070701"),
-    ("cpio", 0, b"070707"), ("rpm", 0, b"\xed\xab\xee\xdb"), ("compress", 0, b"\x1f\x9d"), ("uue", 0, b"begin "), ("tar", 257, b"ustar"), ("lha", 2, b"-lh"), ("iso", 32769, b"CD001"),
+    ("7z", rb"7z\xbc\xaf\x27\x1c"), ("rar", rb"Rar!\x1a\x07(\x00|\x01\x00)"), ("zip", rb"PK(\x03\x04|\x05\x06|\x07\x08PK\x03\x04)"), ("gzip", rb"\x1f\x8b\x08"),
+    ("bzip2", rb"BZh[1-9](\x31\x41\x59\x26\x53\x59|\x17\x72\x45\x38\x50\x90)"), ("xz", rb"\xfd7zXZ\x00"), ("zstd", rb"\x28\xb5\x2f\xfd"), ("lzip", rb"LZIP"),
+    ("cab", rb"MSCF\x00{4}.{16}\x03\x01"), ("ar", rb"!<arch>\n"), ("rpm", rb"\xed\xab\xee\xdb"), ("cpio", rb"07070[127]|(\xc7\x71|\x71\xc7).{24}"),
+    ("compress", rb"\x1f\x9d"), ("lha", rb"..(-lh[0-7d]-|-lz[s45]-).{13}[\x00-\x03]"), ("tar", rb".{257}ustar"),
 ]
+ISO_AT, ISO = 0x8001, b"CD001"
+_FORMATS = [(name, re.compile(pattern, re.DOTALL)) for name, pattern in FORMATS]
+#: A line that begins a uuencoded or base64 file, with its octal mode.
+_BEGIN = re.compile(rb"(?:\A|\n)begin(?:-base64)? [0-7]{3,4} ")
+#: Bytes in which such a line is looked for.
+BEGIN_WITHIN = 1 << 16
 
 
-@F.pandas_udf(T.StringType())
-def container_format(head: pd.Series) -> pd.Series:
-    """The format by magic, never by name; null for none."""
-
-    def of(data):
-        raw = bytes(data) if data is not None else b""
-        return next((name for name, at, magic in FORMATS if raw[at : at + len(magic)] == magic), None)
-
-    return head.map(of)
+def tar_sum_fits(data: bytes) -> bool:
+    """Whether a block is a tar header without a name of its format: its octal sum is that of its bytes."""
+    stated = re.fullmatch(rb" *([0-7]+)[ \0]*", data[148:156])
+    return len(data) >= 512 and bool(stated) and data[0] != 0 and int(stated[1], 8) == sum(data[:148]) + sum(data[156:512]) + 8 * 32
 
 
-# ---- links
+def lzma_alone(data: bytes) -> bool:
+    """The header of a bare LZMA stream: sane properties, dictionary and size."""
+    if len(data) < 13 or data[0] >= 9 * 5 * 5:
+        return False
+    dictionary, size = int.from_bytes(data[1:5], "little"), int.from_bytes(data[5:13], "little")
+    low = dictionary & -dictionary
+    return dictionary >= 4096 and dictionary in (low, 3 * low) and (size == (1 << 64) - 1 or size < 1 << 48)
 
 
-@F.pandas_udf(fields("target_path string, fault string"))
-def link_target(path: pd.Series, target: pd.Series) -> pd.DataFrame:
-    """Where a link leads within the tree, or why it isn't followed."""
+def format_of(data: bytes) -> str | None:
+    for name, pattern in _FORMATS:
+        if pattern.match(data):
+            return name
+    if tar_sum_fits(data):
+        return "tar"
+    if lzma_alone(data):
+        return "lzma"
+    if _BEGIN.search(data[:BEGIN_WITHIN]):
+        return "uue"
+    return "iso" if data[ISO_AT : ISO_AT + len(ISO)] == ISO else None
 
-    def of(link: str, to: str | None) -> tuple:
-        if not to:
-            return None, "empty"
-        if "\x00" in to or "\\" in to:
-            return None, "forbidden sign"
-        if to.startswith("/") or re.match("[A-Za-z]:", to):
-            return None, "absolute"
-        at = link.split("/")[:-1]
-        for part in to.split("/"):
-            if part == "..":
-                if not at:
-                    return None, "leaves the tree"
-                at.pop()
-            elif part not in ("", "."):
-                at.append(part)
-        return "/".join(at), "points to itself" if "/".join(at) == link else None
 
-    return pd.DataFrame([of(*x) for x in zip(path, target)], columns=["target_path", "fault"])
+@F.pandas_udf(T.StringType())
+def container_format(content: pd.Series) -> pd.Series:
+    """The format by magic, never by name; null for none.  Needs 32,774 bytes to tell an ISO image."""
+    return content.map(lambda b: format_of(bytes(b)) if b is not None else None)
 
 
 # ---- embedded text
@@ -199,64 +258,147 @@ def base64_spans(content: pd.Series) -> pd.Series:
     return content.map(lambda b: [dict(zip(("start", "length", "decoded"), r)) for r in base64_runs(bytes(b) if b is not None else b"")])
 
 
+#: Bytes that tell the byte order of text without a mark, and units of a run inside other content.
+UTF16_SAMPLE, RUN_UNITS = 1 << 16, 32
+_PRINTABLE = np.zeros(256, bool)
+_PRINTABLE[[9, 10, 13, *range(0x20, 0x7F)]] = True
+
+
 def utf16_kind(data: bytes) -> str | None:
-    """le or be, by mark or by which half of the pairs is mostly zero; null if neither."""
+    """le or be, by mark, or if half of one half's bytes are zero, hardly any of the other's, and nine units in ten
+    are printable ASCII; null if neither."""
+    if len(data) < 4:
+        return None
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "le" if data[:2] == b"\xff\xfe" else "be"
-    pairs = np.frombuffer(data[: len(data) // 2 * 2], np.uint8).reshape(-1, 2)
-    if len(pairs) < 8:
-        return None
-    zero = (pairs == 0).mean(0)
-    return "le" if zero[1] > 0.5 > 0.1 > zero[0] else "be" if zero[0] > 0.5 > 0.1 > zero[1] else None
+    pairs = np.frombuffer(data[: min(len(data), UTF16_SAMPLE) // 2 * 2], np.uint8).reshape(-1, 2)
+    zero, shown, n = pairs == 0, _PRINTABLE[pairs], len(pairs)
+    for kind, low, high in (("le", 0, 1), ("be", 1, 0)):
+        if 2 * zero[:, high].sum() >= n and 50 * zero[:, low].sum() <= n and 10 * (zero[:, high] & shown[:, low]).sum() >= 9 * n:
+            return kind
+    return None
+
+
+def utf16_runs(data: bytes) -> list[tuple[int, int]]:
+    """(start, length) of runs of at least 32 printable ASCII units in either byte order, at any place, in order; of
+    runs that overlap, as one run's two orders do, the first."""
+    x = np.frombuffer(data, np.uint8)
+    found = []
+    for align in (0, 1):
+        pairs = x[align : align + (len(x) - align) // 2 * 2].reshape(-1, 2)
+        for low, high in ((0, 1), (1, 0)):
+            unit = np.concatenate([[False], (pairs[:, high] == 0) & _PRINTABLE[pairs[:, low]], [False]])
+            edges = np.flatnonzero(unit[1:] != unit[:-1]).reshape(-1, 2)
+            found += [(align + 2 * a, 2 * (b - a)) for a, b in edges.tolist() if b - a >= RUN_UNITS]
+    kept: list[tuple[int, int]] = []
+    for start, length in sorted(found):
+        if not kept or sum(kept[-1]) <= start:
+            kept.append((start, length))
+    return kept
+
+
+def utf16_text(data: bytes, kind: str) -> bytes:
+    """The text as generalized UTF-8, in which a lone surrogate is three bytes of its own."""
+    return data.decode(f"utf-16-{kind}", "surrogatepass").encode("utf-8", "surrogatepass")
 
 
-@F.pandas_udf(fields("kind string, text string, exact boolean"))
+def utf16_bytes(text: bytes, kind: str) -> bytes:
+    """The way back."""
+    return text.decode("utf-8", "surrogatepass").encode(f"utf-16-{kind}", "surrogatepass")
+
+
+@F.pandas_udf(fields("kind string, text binary, exact boolean"))
 def utf16(content: pd.Series) -> pd.DataFrame:
-    """UTF-16 as text; exact tells whether encoding it again gives the same bytes (lone surrogates don't)."""
+    """UTF-16 as generalized UTF-8; exact tells whether the way back gives the same bytes (an odd byte at the end
+    has no way back, and no text)."""
     rows = []
     for b in content:
         data = bytes(b) if b is not None else b""
         kind = utf16_kind(data)
-        text = data.decode(f"utf-16-{kind}", "replace") if kind else None
-        rows.append((kind, text, text.encode(f"utf-16-{kind}") == data if kind else False))
+        text = utf16_text(data, kind) if kind and len(data) % 2 == 0 else None
+        rows.append((kind, text, text is not None and utf16_bytes(text, kind) == data))
     return pd.DataFrame(rows, columns=["kind", "text", "exact"])
 
 
-# ---- content-defined chunks
+@F.pandas_udf(T.ArrayType(fields("start long, length long")))
+def utf16_spans(content: pd.Series) -> pd.Series:
+    """The runs inside other content."""
+    return content.map(lambda b: [dict(zip(("start", "length"), r)) for r in utf16_runs(bytes(b) if b is not None else b"")])
 
-LEAST, AVERAGE, MOST = 4 << 10, 64 << 10, 512 << 10
 
+# ---- content-defined chunks
 
-def gear_table(seed: bytes = b"granary gear") -> np.ndarray:
-    """A 64-bit number per byte, from a hash."""
-    return np.array([int.from_bytes(hashlib.blake2b(seed + bytes([i]), digest_size=8).digest(), "big") for i in range(256)], np.uint64)
+#: FastCDC 2020 (Xia and others), normalized by one level.
+LEAST, AVERAGE, MOST = 4 << 10, 64 << 10, 512 << 10
+#: The published masks by their number of bits, from 5 on.
+MASKS = [
+    0x0000000001804110, 0x0000000001803110, 0x0000000018035100, 0x0000001800035300, 0x0000019000353000, 0x0000590003530000, 0x0000D90003530000,
+    0x0000D90103530000, 0x0000D90303530000, 0x0000D90313530000, 0x0000D90F03530000, 0x0000D90303537000, 0x0000D90703537000, 0x0000D90707537000,
+    0x0000D91707537000, 0x0000D91747537000, 0x0000D91767537000, 0x0000D93767537000, 0x0000D93777537000, 0x0000D93777577000, 0x0000DB3777577000,
+]
+#: The published gear table by its rule: the first eight bytes of the MD5 of 64 times each byte.
+GEAR = np.array([int.from_bytes(hashlib.md5(bytes([i]) * 64, usedforsecurity=False).digest()[:8], "big") for i in range(256)], np.uint64)
+#: No mask looks at a higher bit, and a byte's share of the hash moves up a bit with each byte after it.
+MEMORY = 64
+#: Bytes hashed at once, which with their hashes stay in a core's cache.
+CACHED = 1 << 15
+
+
+def rolled(gears: np.ndarray) -> np.ndarray:
+    """The hash after each byte, over it and the 63 before: sums of 1, 2, 4, ... terms, each of two halves."""
+    out = gears.copy()
+    for bits in (1, 2, 4, 8, 16, 32):
+        out[bits:] += out[:-bits] << np.uint64(bits)  # the right side is computed before it is added
+    return out
 
 
 def cut_points(data: bytes, least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> list[int]:
-    """Ends of chunks.  A rolling hash of the last 64 bytes marks where to cut: rarely before the average
-    length, often after.  Marks depend on those bytes alone, so equal content is cut alike wherever it lies."""
-    x = gear_table()[np.frombuffer(data, np.uint8)]
-    rolled = np.zeros(len(x), np.uint64)
-    for back in range(min(64, len(x))):  # the hash shifts by a bit per byte, so 64 bytes matter
-        rolled[back:] += x[: len(x) - back] << np.uint64(back)
-    bits = max(1, average.bit_length() - 1)
-    strict, loose = ((1 << b) - 1 << 64 - b for b in (min(63, bits + 2), max(1, bits - 2)))
-    hard, soft = (np.flatnonzero((rolled & np.uint64(m)) == 0) + 1 for m in (strict, loose))
-    out, at = [], 0
-    while at < len(data):
-        end = min(at + most, len(data))
-        i = np.searchsorted(hard, at + least)
-        cut = int(hard[i]) if i < len(hard) else end
-        if cut > at + average:
-            j = np.searchsorted(soft, at + average)
-            cut = min(cut, int(soft[j]) if j < len(soft) else end)
-        out.append(min(cut, end))
-        at = out[-1]
+    """Ends of chunks.
+
+    A chunk's hash starts anew at its least length.  Up to the average length the stricter of two masks must be
+    met to cut, beyond it the looser.  But for the first bytes after that start the hash depends on the last 64
+    bytes alone, so it is computed for all of the data at once and only those first bytes once for each chunk.
+    """
+    if not 64 <= least <= average <= most or least % 2 or average % 2 or most % 2:
+        raise ValueError("sizes must be even, 64 at least, and least <= average <= most")
+    raw = np.frombuffer(data, np.uint8)
+    bits = round(float(np.log2(average)))
+    strict, loose = (np.uint64(MASKS[b - 5]) for b in (bits + 1, bits - 1))
+    marks: tuple[list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+    for at in range(0, len(raw), CACHED):
+        before = min(at, MEMORY - 1)
+        hashes = rolled(GEAR[raw[at - before : at + CACHED]])[before:]
+        for found, mask in zip(marks, (strict, loose)):
+            found.append(np.flatnonzero((hashes & mask) == 0) + at)
+    hard, soft = map(np.concatenate, marks)
+
+    def first(near: np.ndarray, at: int, marks: np.ndarray, mask: np.uint64, begin: int, end: int) -> int | None:
+        """The first place in [begin, end) whose hash meets the mask; ``near`` are the hashes from ``at`` on."""
+        known = at + len(near)
+        for place in (np.flatnonzero((near[begin - at : max(0, end - at)] & mask) == 0) + begin).tolist() if begin < known else ():
+            return place
+        i = int(np.searchsorted(marks, max(begin, known)))
+        return int(marks[i]) if i < len(marks) and marks[i] < end else None
+
+    out, start = [], 0
+    while start < len(data):
+        left = min(len(data) - start, most)
+        if left > least:
+            # The places tried come in pairs, so an odd last one isn't.
+            middle, end = start + min(average, left) // 2 * 2, start + left // 2 * 2
+            at = start + least
+            near = rolled(GEAR[raw[at : min(at + MEMORY, end)]])
+            cut = first(near, at, hard, strict, at, middle)
+            if cut is None:
+                cut = first(near, at, soft, loose, max(at, middle), end)
+            left = left if cut is None else cut - start
+        out.append(start + left)
+        start = out[-1]
     return out
 
 
 def cdc_chunks(files, sizes: tuple[int, int, int] = (LEAST, AVERAGE, MOST), key: str = "path"):
-    """(key, pos, start, len, hash) of content-defined chunks of ``content`` (binary)."""
+    """(key, pos, start, len, hash) of content-defined chunks of ``content`` (binary); none for null and empty."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -274,22 +416,27 @@ def cdc_chunks(files, sizes: tuple[int, int, int] = (LEAST, AVERAGE, MOST), key:
 # ---- codecs
 
 
-def stripes(data: bytes, n: int = 4, size: int = 1 << 16) -> bytes:
-    """``n`` stretches spread evenly; all of it, where it is short."""
-    if len(data) <= n * size:
-        return data
-    return b"".join(data[(len(data) - size) * i // (n - 1) :][:size] for i in range(n))
+#: Stripes and bytes of a trial's sample.
+STRIPES, TRIAL = 4, 1 << 18
+
+
+def stripes(data: bytes, sample: int = TRIAL) -> list[bytes]:
+    """Stretches at 0, 1/4, 1/2 and 3/4, each a quarter of the sample; all in one, where the sample holds it."""
+    if len(data) <= sample:
+        return [data]
+    return [data[len(data) // STRIPES * i :][: sample // STRIPES] for i in range(STRIPES)]
 
 
-def trial_of(data: bytes) -> tuple:
-    """Codec by trial: bzip2 only if strictly smaller than both others; lzma wins ties with zstd; store if none helps."""
-    sample = stripes(data)
-    sizes = {"zstd": len(zstandard.ZstdCompressor(level=9).compress(sample)), "lzma": len(lzma.compress(sample)), "bzip2": len(bz2.compress(sample))}
+def trial_of(data: bytes, sample: int = TRIAL) -> tuple:
+    """Codec by trial on stripes, each packed by itself: bzip2 only if strictly smaller than both others; lzma wins
+    ties with zstd; store if none helps."""
+    some, zstd = stripes(data, sample), zstandard.ZstdCompressor(level=9)
+    sizes = {name: sum(len(pack(s)) for s in some) for name, pack in (("zstd", zstd.compress), ("lzma", lzma.compress), ("bzip2", bz2.compress))}
     if sizes["bzip2"] < min(sizes["zstd"], sizes["lzma"]):
         pick = "bzip2"
     else:
         pick = "lzma" if sizes["lzma"] <= sizes["zstd"] else "zstd"
-    return ("store" if sizes[pick] >= len(sample) else pick, *sizes.values())
+    return ("store" if sizes[pick] >= sum(map(len, some)) else pick, *sizes.values())
 
 
 @F.pandas_udf(fields("codec string, zstd long, lzma long, bzip2 long"))

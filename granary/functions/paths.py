@@ -88,26 +88,91 @@ def path_fault(path: Column) -> Column:
     )
 
 
-#: Names that Windows keeps for devices.
-DEVICES = "CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]"
+#: Names that Windows keeps for devices, in capitals; spaces and what follows a dot don't count.
+DEVICES = r"^(CON|PRN|AUX|NUL|CONIN\$|CONOUT\$|(COM|LPT)[1-9\u00b9\u00b2\u00b3])\x20*(\..*)?$"
+#: UTF-16 units of a name and of a whole path.
+NAME_UNITS, PATH_UNITS = 255, 32_767
 
 
-def unsafe(path: Column, most: int = 200) -> Column:
-    """Why a path isn't safe to extract: the first reason."""
+def is_device(part: Column) -> Column:
+    return F.upper(part).rlike(f"(?s){DEVICES}")
+
+
+def units(text: Column) -> Column:
+    """Length in UTF-16 units."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def first_fault(parts: Column, fault) -> Column:
+    """The fault of the first part that has one."""
+    return F.get(F.array_compact(F.transform(parts, fault)), F.lit(0))
+
+
+def unsafe(path: Column, folder_units: int = 0) -> Column:
+    """Why a path isn't safe to extract below a folder whose own name has ``folder_units``: the first reason, else null."""
+
+    def fault(p: Column) -> Column:
+        return (
+            F.when((p == ".") | (p == ".."), "dot component")
+            .when(p.contains(":"), "colon")
+            .when(p.endswith(".") | p.endswith(" "), "trailing dot or space")
+            .when(is_device(p), "reserved device name")
+        )
+
     parts = F.split(path, "/")
+    total = F.lit(folder_units) + units(path) + 1
     return (
-        F.when(path.startswith("/") | path.rlike("^[A-Za-z]:"), "absolute")
-        .when(F.exists(parts, lambda p: p == ".."), "climbs")
-        .when(F.exists(parts, lambda p: F.upper(p).rlike(rf"^({DEVICES})(\..*)?$")), "device")
-        .when(F.exists(parts, lambda p: p.rlike(r"[ .]$")), "trailing dot or space")
-        .when(path.rlike(r'[<>:"|?*\x00-\x1f]'), "forbidden sign")
-        .when(F.length(path) > most, "too long")
+        F.when(path.startswith("/"), "leading slash")
+        .when(path.contains("\\"), "backslash")
+        .otherwise(
+            F.coalesce(
+                first_fault(parts, fault),
+                F.when(F.exists(parts, lambda p: units(p) > NAME_UNITS), "name too long").when(total > PATH_UNITS, "path too long"),
+            )
+        )
+    )
+
+
+def link_target(link: Column, target: Column) -> tuple[Column, Column]:
+    """Where a link leads within the tree, and why it isn't followed; one of them is null.
+
+    Nothing is looked up: a target may climb first, no higher than the tree, and then only descend.
+    """
+    parts = F.filter(F.split(target, "/"), lambda p: ~p.isin("", "."))
+    first = F.array_position(F.transform(parts, lambda p: p != ".."), F.lit(True)).cast("int")
+    ups = F.when(first == 0, F.size(parts)).otherwise(first - 1)
+    names = F.slice(parts, ups + 1, F.greatest(F.size(parts), F.lit(1)))
+    above = F.size(F.split(link, "/")) - 1
+
+    def fault(p: Column) -> Column:
+        return (
+            F.when(p == "..", "climbs after a name")
+            .when(p.contains(":"), "colon")
+            .when(p.endswith(".") | p.endswith(" "), "trailing dot or space")
+            .when(is_device(p), "reserved device name")
+        )
+
+    why = (
+        F.when(F.coalesce(target, F.lit("")) == "", "empty")
+        .when(target.contains("\x00"), "nul")
+        .when(target.rlike(r"^[/\\]([/\\][?.]|\?\?)[/\\]"), "device path")
+        .when(target.rlike(r"^[/\\]{2}"), "network path")
+        .when(target.rlike(r"^[/\\]"), "rooted")
+        .when(target.rlike(r"^[A-Za-z]:[/\\]"), "absolute")
+        .when(target.rlike(r"^[A-Za-z]:"), "drive-relative")
+        .when(target.contains("\\"), "backslash")
+        .otherwise(F.coalesce(first_fault(names, fault), F.when(ups > above, "leaves the tree")))
     )
+    to = F.array_join(F.concat(F.slice(F.split(link, "/"), F.lit(1), F.greatest(above - ups, F.lit(0))), names), "/")
+    return F.when(why.isNull(), to), why
+
 
+def natural_key(text: Column) -> Column:
+    """A key whose order takes runs of digits as numbers of any length, and the rest by bytes; ties go by the text.
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """A key whose order takes runs of digits as numbers; leading zeros don't count.  Ties go by the text."""
-    bare = F.regexp_replace(text, r"0*(\d+)", "$1")
-    # Every run of digits, filled up on the left, sorts by length and then by digits.
-    filled = F.regexp_replace(bare, r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(filled, rf"0*(\d{{{width}}})(?!\d)", "$1")
+    A number is written as its length and its digits without zeros before them, so that longer ones come later;
+    other runs end with a sign below all others, so that the shorter of two comes first.
+    """
+    bare = lambda p: F.regexp_replace(p, "^0+", "")
+    one = lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p))).otherwise(F.concat(p, F.lit("\x00")))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)")), one), "")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import paths
 from granary.operators import catalog as ops
-from granary.plans.registry import ANCESTORS, ENTRIES, NAME, entries, files, query, table
+from granary.plans.registry import ANCESTORS, ENTRIES, NAME, entries, query, table
 from granary.store import numbered
 
 E = F.col
@@ -204,6 +204,33 @@ def _(spark, d):
 
 
 FAULTY = "SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '/abs' WHEN 2 THEN 'a' || chr(92) || 'b' WHEN 3 THEN 'a//b' WHEN 4 THEN 'a/../b' WHEN 5 THEN 'x/CON.txt' WHEN 6 THEN 'dir./x' WHEN 7 THEN 'a:b' ELSE 'ok/' || doc_id END AS path FROM {docs}"
+#: Paths, safe and unsafe; {} is the id.
+RISKY = [
+    "ok/{}", "/abs/{}", "a/b\\{}", "a/../{}", "./{}", "x/con", "x/NUL .txt", "Aux.{}", "x/COM7", "com¹.x", "lpt³", "COM0", "conin$", "CONOUT$.log", "CONSOLE", "dir./{}", "sp /{}", "{}.", "c:/{}", "a/{}:s",
+    "what?{}", "a<b>|*{}", "con/..", "../con", "aux:", "n" * 255 + "/{}", "n" * 256, "é" * 255, "😀" * 128, "nn/" * 11000 + "{}", " lead/{}", "LPT", "x/prn  .tar.gz/{}",
+]
+RISKS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(RISKY))
+RISKY_SQL = f"WITH t(k, shape) AS (VALUES {RISKS}), p AS (SELECT doc_id AS id, replace(shape, '{{}}', doc_id::VARCHAR) AS path FROM documents JOIN t ON k = doc_id % {len(RISKY)})"
+#: A unit more for each character that takes four bytes in UTF-8.
+UNITS = "(length({0}) + len(regexp_extract_all({0}, '[\U00010000-\U0010FFFF]')))"
+DEVICE = r"regexp_matches(upper({}), '^(CON|PRN|AUX|NUL|CONIN\$|CONOUT\$|COM[1-9¹²³]|LPT[1-9¹²³]) *(\.|$)')"
+PART = f"CASE WHEN x IN ('.', '..') THEN 'dot component' WHEN strpos(x, ':') > 0 THEN 'colon' WHEN regexp_matches(x, '[. ]$') THEN 'trailing dot or space' WHEN {DEVICE.format('x')} THEN 'reserved device name' END"
+#: Links over ``documents``: where the link stands and where it points.
+LINKS = [
+    ("l", "plain"), ("d/l", "../up{}"), ("d/l", ".."), ("l", "."), ("l", "below/"), ("a/b/l", "../../c/./{}/"), ("a/b/l", "./../s"), ("l", "../out"), ("a/l", "../../out"), ("l", "in/../{}"), ("a/b/l", "../x/.."),
+    ("l", "//host/share"), ("l", "\\\\host\\share"), ("l", "\\/host"), ("l", "C:\\dir"), ("l", "d:/dir"), ("l", "E:file"), ("l", "/etc/{}"), ("l", "\\dir"), ("l", "//?/C:/x"), ("l", "\\\\.\\pipe"), ("l", "\\??\\C:"),
+    ("l", "x/file:stream"), ("l", "x./y"), ("l", "end "), ("l", "..."), ("l", "s/CON"), ("l", "nul.txt"), ("l", ""), ("l", "back\\slash"), ("d/e/l", "..\\x"), ("l", "a//b"), ("a/b/l", "../../.."),
+]
+LINK_ROWS = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(LINKS))
+LINK_SQL = rf"""WITH t(k, link, shape) AS (VALUES {LINK_ROWS}), p AS (SELECT doc_id AS id, link, replace(shape, '{{}}', doc_id::VARCHAR) AS target FROM documents JOIN t ON k = doc_id % {len(LINKS)}),
+q AS (SELECT *, list_filter(string_split(target, '/'), lambda x: x NOT IN ('', '.')) AS parts, string_split(link, '/') AS own FROM p),
+r AS (SELECT *, length(regexp_extract(array_to_string(parts, '/') || '/', '^((\.\./)*)', 1)) // 3 AS ups FROM q),
+s AS (SELECT *, parts[ups + 1:] AS names FROM r),
+w AS (SELECT id, link, target, own, ups, names, CASE WHEN target = '' THEN 'empty' WHEN regexp_matches(target, '^[/\\]([/\\][?.]|\?\?)[/\\]') THEN 'device path' WHEN regexp_matches(target, '^[/\\][/\\]') THEN 'network path'
+  WHEN regexp_matches(target, '^[/\\]') THEN 'rooted' WHEN regexp_matches(target, '^[A-Za-z]:[/\\]') THEN 'absolute' WHEN regexp_matches(target, '^[A-Za-z]:') THEN 'drive-relative' WHEN strpos(target, '\') > 0 THEN 'backslash'
+  ELSE coalesce(list_filter(list_transform(names, lambda x: CASE WHEN x = '..' THEN 'climbs after a name' WHEN strpos(x, ':') > 0 THEN 'colon' WHEN regexp_matches(x, '[. ]$') THEN 'trailing dot or space' WHEN {DEVICE.format('x')} THEN 'reserved device name' END), lambda x: x IS NOT NULL)[1],
+    CASE WHEN ups > len(own) - 1 THEN 'leaves the tree' END) END AS fault FROM s)
+SELECT id, fault, CASE WHEN fault IS NULL THEN array_to_string(list_concat(own[1:len(own) - 1 - ups], names), '/') END AS resolved FROM w"""
 
 
 @query("flt_path_valid", f"WITH p AS ({FAULTY.format(docs='documents')}) " + r"SELECT id, CASE WHEN path = '' THEN 'empty' WHEN path LIKE '/%' THEN 'absolute' WHEN strpos(path, '\') > 0 THEN 'backslash' WHEN regexp_matches(path, '(^|/)(/|$)') THEN 'empty component' WHEN regexp_matches(path, '(^|/)\.\.?(/|$)') THEN 'dot component' END AS fault FROM p")
@@ -211,17 +238,23 @@ def _(spark, d):
     return spark.sql(FAULTY, docs=table(spark, d, "documents")).select("id", paths.path_fault(E("path")).alias("fault"))
 
 
-@query("flt_unsafe", f"WITH p AS ({FAULTY.format(docs='documents')}) " + r"SELECT id, CASE WHEN path LIKE '/%' OR regexp_matches(path, '^[A-Za-z]:') THEN 'absolute' WHEN regexp_matches(path, '(^|/)\.\.(/|$)') THEN 'climbs' WHEN regexp_matches(path, '(?i)(^|/)(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\.[^/]*)?(/|$)') THEN 'device' WHEN regexp_matches(path, '[ .](/|$)') THEN 'trailing dot or space' WHEN regexp_matches(path, '[<>:\"|?*]') THEN 'forbidden sign' WHEN length(path) > 200 THEN 'too long' END AS fault FROM p")
-def _(spark, d):
-    return spark.sql(FAULTY, docs=table(spark, d, "documents")).select("id", paths.unsafe(E("path")).alias("fault"))
+def shaped(spark, d, rows, columns):
+    """(id, columns…): a row of shapes per document, with its id put in."""
+    made = spark.createDataFrame([(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], "k int, " + ", ".join(f"{c} string" for c in columns))
+    docs = table(spark, d, "documents").select(E("doc_id").alias("id"), (E("doc_id") % len(rows)).cast("int").alias("k")).join(F.broadcast(made), "k")
+    return docs.select("id", *[F.replace(c, F.lit("{}"), E("id").cast("string")).alias(c) for c in columns])
 
 
-@query("flt_link_target")
+@query("flt_unsafe", RISKY_SQL + rf""" SELECT id, CASE WHEN starts_with(path, '/') THEN 'leading slash' WHEN strpos(path, '\') > 0 THEN 'backslash' ELSE coalesce(list_filter(list_transform(string_split(path, '/'), lambda x: {PART}), lambda x: x IS NOT NULL)[1],
+ CASE WHEN list_max(list_transform(string_split(path, '/'), lambda x: {UNITS.format('x')})) > 255 THEN 'name too long' WHEN {UNITS.format('path')} + 1 > 32767 THEN 'path too long' END) END AS fault FROM p""")
 def _(spark, d):
-    from granary.functions.content import link_target
+    return shaped(spark, d, RISKY, ["path"]).select("id", paths.unsafe(E("path")).alias("fault"))
+
 
-    links = files(spark, d).where("kind = 'Symlink'").select("path", F.concat(F.lit("../"), "source", F.lit("/./x/../"), E("doc_id").cast("string")).alias("target"))
-    return links.withColumn("resolved", link_target("path", "target")).select("path", "target", "resolved.*")
+@query("flt_link_target", LINK_SQL)
+def _(spark, d):
+    to, why = paths.link_target(E("link"), E("target"))
+    return shaped(spark, d, LINKS, ["link", "target"]).select("id", why.alias("fault"), to.alias("resolved"))
 
 
 @query("flt_information", "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY event_type")
@@ -330,10 +363,15 @@ def _(spark, d):
     return ops.view(entries(spark, d), "kind", True).select("id", "pos")
 
 
-@query("srt_natural", ranked(f"regexp_extract({NAME}, '^([^0-9]*)', 1) || CASE WHEN regexp_matches({NAME}, '[0-9]') THEN lpad(regexp_extract({NAME}, '0*([0-9]+)', 1), 20, '0') ELSE '' END || regexp_replace({NAME}, '^[^0-9]*[0-9]*', ''), {NAME}, path"))
+#: Names whose numbers differ in length, in zeros before them, and beyond any machine's word; {} is the id.
+NUMBERED = ["v{}", "v0{}", "v{}.10", "v{}.9", "part{}of{}", "{}", "v", "x{}{}{}{}{}{}{}{}{}{}", "x9999999999999999999999999{}", "v.{}", "é{}", "a b{}c"]
+NUMBERED_ROWS = ", ".join(f"({i}, '{n}')" for i, n in enumerate(NUMBERED))
+
+
+@query("srt_natural", f"WITH t(k, shape) AS (VALUES {NUMBERED_ROWS}), n AS (SELECT doc_id AS id, replace(shape, '{{}}', doc_id::VARCHAR) AS name FROM documents JOIN t ON k = doc_id % {len(NUMBERED)}), l AS (SELECT id, name, list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN '0' || lpad(length(ltrim(p, '0'))::VARCHAR, 10, '0') || ltrim(p, '0') ELSE p END) AS parts FROM n) SELECT id, row_number() OVER (ORDER BY parts, name, id) - 1 AS pos FROM l")
 def _(spark, d):
-    found = entries(spark, d).withColumn("n", paths.name(E("path")))
-    return numbered(found, paths.natural_key(E("n")), E("n"), E("path"), column="pos").select("id", "pos")
+    found = shaped(spark, d, NUMBERED, ["name"])
+    return numbered(found, paths.natural_key(E("name")), E("name"), E("id"), column="pos").select("id", "pos")
 
 
 @query("srt_ext", ranked(f"CASE WHEN strpos(substr({NAME}, 2), '.') > 0 THEN lower(split_part({NAME}, '.', -1)) ELSE '' END, lower({NAME}), path"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.operators import catalog
-from granary.plans import catalog_queries, dedup_queries, measure_queries, stream_queries, version_queries  # noqa: F401
+from granary.plans import catalog_queries, content_queries, dedup_queries, measure_queries, stream_queries, version_queries  # noqa: F401
 from granary.plans.registry import QUERIES, SQL, entries
 
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.functions import content, kinds
 from granary.operators import dedup as ops
-from granary.plans.registry import NAME, ENTRIES, entries, files, once, query, table
+from granary.plans.registry import once, query, table
 from granary.store import numbered, stored
 
 E = F.col
@@ -183,11 +182,20 @@ def _(spark, d):
     return ops.verify(docs, rows.select(E("doc_id").cast("string").alias("path"), "pos", "hash"), blobs)
 
 
-@query("dom_consistency", "SELECT source AS class, 'duplicates are fewer than files' AS rule FROM documents WHERE source = 'src3' GROUP BY source UNION ALL SELECT '(corpus)', 'corpus files are the sum'")
+RULES = f""", s AS ({savings_sql("class")} UNION ALL {savings_sql("")}),
+planted AS (SELECT class, CASE WHEN class = '(corpus)' THEN files + 1 ELSE files END AS files, bytes, CASE WHEN class = 'src3' THEN files ELSE dup_files END AS dup_files, dup_bytes, chunks, unique_chunks, unique_chunk_bytes FROM s),
+w AS (SELECT * FROM planted WHERE class = '(corpus)'), c AS (SELECT sum(files) AS files, sum(bytes) AS bytes, sum(dup_files) AS dup_files, sum(unique_chunks) AS unique_chunks, max(unique_chunks) AS most FROM planted WHERE class <> '(corpus)')
+SELECT class, 'duplicates are fewer than files' AS rule FROM planted WHERE dup_files >= files AND files > 0 UNION ALL SELECT class, 'duplicate bytes are within bytes' FROM planted WHERE dup_bytes > bytes
+UNION ALL SELECT class, 'distinct chunks are within chunks' FROM planted WHERE unique_chunks > chunks UNION ALL SELECT class, 'distinct bytes are within bytes' FROM planted WHERE unique_chunk_bytes > bytes
+UNION ALL SELECT w.class, 'corpus files are the sum' FROM w, c WHERE w.files <> c.files UNION ALL SELECT w.class, 'corpus bytes are the sum' FROM w, c WHERE w.bytes <> c.bytes
+UNION ALL SELECT w.class, 'corpus duplicates are at least the sum' FROM w, c WHERE w.dup_files < c.dup_files UNION ALL SELECT w.class, 'corpus chunks lie between most and sum' FROM w, c WHERE w.unique_chunks < c.most OR w.unique_chunks > c.unique_chunks"""
+
+
+@query("dom_consistency", with_chunks("", RULES))
 def _(spark, d):
-    """The rules hold; two are broken on purpose."""
+    """Savings with two faults: a class that has duplicates only, and a file too many in the corpus row."""
     rows = ops.savings(file_rows(spark, d), chunks(spark, d)).withColumn("dup_files", F.when(E("class") == "src3", E("files")).otherwise(E("dup_files")))
-    return ops.consistency(rows.withColumn("files", F.when(E("class") == "(corpus)", E("files") + 1).otherwise(E("files")))).where("rule <> 'corpus duplicates are at least the sum'")
+    return ops.consistency(rows.withColumn("files", F.when(E("class") == "(corpus)", E("files") + 1).otherwise(E("files"))))
 
 
 @query("dom_blocks")
@@ -196,35 +204,6 @@ def _(spark, d):
     return ops.pack_blocks(rows, 16 * SIZE)
 
 
-@query("dom_cluster", f"WITH {ENTRIES} SELECT CASE WHEN {NAME} LIKE '%.md' OR {NAME} LIKE '%.txt' OR lower({NAME}) LIKE '%.txt' THEN 'Text/Prose' ELSE 'Other' END AS cluster, count(*) AS files, sum(size)::BIGINT AS bytes, CASE WHEN lower({NAME}) LIKE '%.txt' OR {NAME} LIKE '%.md' THEN 2 ELSE 5 END AS rank FROM entries WHERE kind = 'File' GROUP BY ALL")
-def _(spark, d):
-    from granary.functions.paths import extension
-
-    label = F.when(extension(E("path")).isin("txt", "md"), F.concat(F.lit("Text/"), kinds.text_kind(E("path")))).otherwise("Other")
-    return entries(spark, d).where("kind = 'File'").groupBy(label.alias("cluster")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).withColumn("rank", kinds.cluster_rank(E("cluster")))
-
-
-@query("srt_cluster", "SELECT label, rank FROM (VALUES ('Text/Source', 0), ('Pdf', 4), ('HighEntropy', 12), ('unknown', 13)) v(label, rank)")
-def _(spark, d):
-    return spark.createDataFrame([("Text/Source",), ("Pdf",), ("HighEntropy",), ("unknown",)], "label string").withColumn("rank", kinds.cluster_rank(E("label")))
-
-
-@query("flt_class_store", "SELECT class FROM (VALUES ('Jpeg'), ('Png'), ('Video'), ('Compressed'), ('HighEntropy')) v(class)")
-def _(spark, d):
-    names = sorted({n for n, _ in content.MAGIC} | {"HighEntropy", "Other", "Text"})
-    return spark.createDataFrame([(n,) for n in names], "class string").where(E("class").isin(content.STORED))
-
-
-@query("fn_corpus_class", f"WITH {ENTRIES} SELECT id, CASE WHEN lower({NAME}) LIKE 'readme%' THEN 'text-prose' WHEN lower({NAME}) LIKE '%.gz' THEN 'archives-nested' WHEN lower({NAME}) LIKE '%.md' OR lower({NAME}) LIKE '%.txt' THEN 'text-prose' ELSE 'small-files' END AS class FROM entries")
-def _(spark, d):
-    return entries(spark, d).select("id", kinds.corpus_class(E("path")).alias("class"))
-
-
-@query("fn_text_kind", "SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'Structured' ELSE 'Prose' END AS kind FROM pages")
-def _(spark, d):
-    return table(spark, d, "pages").select("page_id", kinds.text_kind(E("url")).alias("kind"))
-
-
 @query("src_scan_private", "SELECT lang AS class, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes_total, sum(('0x' || substr(sha256(doc_id || chr(0) || octet_length(encode(text)) || chr(0) || sha256(text)), 1, 8))::BIGINT)::BIGINT AS digest FROM documents GROUP BY lang")
 def _(spark, d):
     from granary.sources.walk import scan
@@ -232,70 +211,6 @@ def _(spark, d):
     return scan(table(spark, d, "documents").select(E("doc_id").cast("string").alias("path"), E("text").alias("content"), "lang"), E("lang"))
 
 
-# ---- bytes (no SQL: rows only; the tests hold them against plain Python)
-
-
-def raw(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
-
-
-@query("fn_entropy", "WITH b AS (SELECT doc_id, unnest(string_split(hex(encode(text)), '')) AS h, unnest(range(0, 2 * octet_length(encode(text)))) AS i FROM documents), c AS (SELECT doc_id, string_agg(h, '' ORDER BY i) AS byte FROM b GROUP BY doc_id, i // 2), n AS (SELECT doc_id, byte, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS total FROM n GROUP BY doc_id) SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM n JOIN t USING (doc_id) GROUP BY doc_id")
-def _(spark, d):
-    return raw(spark, d).select("doc_id", F.round(content.entropy("content"), 6).alias("entropy"))
-
-
-@query("fn_entropy_sampled")
-def _(spark, d):
-    return raw(spark, d).select("doc_id", content.entropy_sampled("content").alias("entropy"))
-
-
-@query("fn_incompressible")
-def _(spark, d):
-    return raw(spark, d).select("doc_id", content.incompressible("content").alias("incompressible"))
-
-
-@query("fn_features")
-def _(spark, d):
-    return raw(spark, d).withColumn("f", content.features("content")).select("doc_id", "f.*")
-
-
-@query("fn_classify")
-def _(spark, d):
-    return raw(spark, d).select("doc_id", content.classify("content").alias("class"))
-
-
-@query("src_foreign_detect")
-def _(spark, d):
-    return raw(spark, d).select("doc_id", content.container_format("content").alias("format"))
-
-
-@query("fn_base64")
-def _(spark, d):
-    packed = F.concat(F.lit("x: "), F.base64(F.encode(F.concat("text", F.lit(" "), "text"), "utf-8")), F.lit(" !"))
-    return table(spark, d, "documents").select("doc_id", content.base64_spans(F.encode(packed, "utf-8")).alias("runs"))
-
-
-@query("fn_utf16")
-def _(spark, d):
-    return table(spark, d, "documents").withColumn("u", content.utf16(F.encode("text", "UTF-16LE"))).select("doc_id", "u.kind", "u.exact", F.length("u.text").alias("chars"))
-
-
-@query("dom_cdc")
-def _(spark, d):
-    return content.cdc_chunks(raw(spark, d), (256, 1024, 8192), key="doc_id")
-
-
-@query("dom_trial")
-def _(spark, d):
-    return raw(spark, d).withColumn("t", content.trial("content")).select("doc_id", "t.*")
-
-
-@query("dom_delta")
-def _(spark, d):
-    twin = raw(spark, d).select((E("doc_id") + 1).alias("doc_id"), E("content").alias("old"))
-    return raw(spark, d).join(twin, "doc_id").withColumn("x", content.delta("old", "content")).select("doc_id", "x.*")
-
-
 @query("dom_shard_scan", "SELECT doc_id % 4 AS frame, count(*) AS shards, count(*) FILTER (WHERE doc_id % 50 = 0) AS damaged FROM documents GROUP BY 1")
 def _(spark, d):
     """Shards whose hash isn't the expected one, per frame; every fiftieth is damaged on purpose."""
