@@ -212,21 +212,20 @@ def adjacent_duplicates(entries: DataFrame, key: str = "path") -> DataFrame:
 def free_name(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """(path, free): the path itself, or ``stem (k).ext`` with the smallest k from 1 on that no taken path has.
 
-    With n taken names of its shape, one of k = 1 .. n + 1 is free, so no more are tried.
+    The numbers taken of a shape are ranked; the first that isn't its own rank leaves its rank free.  The extension is
+    what follows the last dot of the name, if that isn't its first sign.
     """
-    stem = F.regexp_extract("path", r"^(.*?)(\.[^./]*)?$", 1)
-    shaped = wanted.select("path", stem.alias("stem"), F.substring(F.col("path"), F.length(stem) + 1, F.lit(1 << 20)).alias("ext"))
-    numbers = taken.select(
-        F.regexp_extract("path", r"^(.*) \((\d+)\)(\.[^./]*)?$", 1).alias("stem"),
-        F.regexp_extract("path", r"^(.*) \((\d+)\)(\.[^./]*)?$", 2).try_cast("int").alias("k"),
-        F.regexp_extract("path", r"^(.*) \((\d+)\)(\.[^./]*)?$", 3).alias("ext"),
-    ).where("k is not null and k > 0")
-    used = numbers.groupBy("stem", "ext").agg(F.collect_set("k").alias("ks"))
+    shape = r"^(.*?[^/.][^/]*?|.*?/?\.[^/.]*)(\.[^./]*)?$"
+    stem, ext = F.regexp_extract("path", shape, 1), F.regexp_extract("path", shape, 2)
+    shaped = wanted.select("path", stem.alias("stem"), ext.alias("ext"))
+    number = r"^(.*) \(([1-9][0-9]{0,17})\)(\.[^./]*)?$"
+    used = taken.select(*[F.regexp_extract("path", number, i).alias(c) for i, c in ((1, "stem"), (3, "ext"))], F.regexp_extract("path", number, 2).try_cast("long").alias("k"))
+    ranked = used.where("k is not null").distinct().withColumn("rank", F.row_number().over(W.partitionBy("stem", "ext").orderBy("k")))
+    gaps = ranked.groupBy("stem", "ext").agg(F.coalesce(F.min(F.when(F.col("k") != F.col("rank"), F.col("rank"))), F.max("rank") + 1).alias("gap"))
     clash = taken.select("path").distinct().withColumn("clash", F.lit(True))
-    found = shaped.join(used, ["stem", "ext"], "left").join(clash, "path", "left")
-    ks = F.coalesce("ks", F.array().cast("array<int>"))
-    least = F.filter(F.sequence(F.lit(1), F.size(ks) + 1), lambda k: ~F.array_contains(ks, k))[0]
-    return found.select("path", F.when(F.col("clash"), F.concat("stem", F.lit(" ("), least.cast("string"), F.lit(")"), "ext")).otherwise(F.col("path")).alias("free"))
+    found = shaped.join(gaps, ["stem", "ext"], "left").join(clash, "path", "left")
+    other = F.concat("stem", F.lit(" ("), F.coalesce("gap", F.lit(1)).cast("string"), F.lit(")"), "ext")
+    return found.select("path", F.when(F.col("clash"), other).otherwise(F.col("path")).alias("free"))
 
 
 def overlaps(blocks: DataFrame) -> DataFrame:

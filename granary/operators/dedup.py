@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.store import numbered, stored
+
 
 def fixed_chunks(files: DataFrame, size: int = 1024, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Chunks of ``size`` characters, the last shorter: keys, pos, content, len, hash.  An empty file has none."""
@@ -56,25 +59,24 @@ def by_hash(chunks: DataFrame) -> DataFrame:
 def savings(files: DataFrame, chunks: DataFrame, corpus: bool = True) -> DataFrame:
     """Per class (and over all, as ``(corpus)``): files, bytes, duplicates, chunks and distinct chunks.
 
-    files: class, size, hash; chunks: class, len, hash.  Each level is made distinct first, so the distinct
-    counts are plain sums, and the corpus counts across classes rather than adding theirs up.
+    files: class, size, hash; chunks: class, len, hash.  Each is read once, made distinct by class, and then by
+    class and over all in one grouping, so the distinct counts are plain sums, and the corpus counts across
+    classes rather than adding theirs up.  A class has no null name.
     """
 
-    def level(by: str | None) -> DataFrame:
-        label = F.col("class") if by else F.lit("(corpus)")
-        f = files.groupBy(label.alias("class"), "hash", "size").agg(F.count("*").alias("n"))
-        f = f.groupBy("class").agg(
-            F.sum("n").alias("files"),
-            F.sum(F.col("n") * F.col("size")).alias("bytes"),
-            F.sum(F.col("n") - 1).alias("dup_files"),
-            F.sum((F.col("n") - 1) * F.col("size")).alias("dup_bytes"),
-        )
-        c = chunks.groupBy(label.alias("class"), "hash", "len").agg(F.count("*").alias("n"))
-        c = c.groupBy("class").agg(F.sum("n").alias("chunks"), F.count("*").alias("unique_chunks"), F.sum("len").alias("unique_chunk_bytes"))
-        zero = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("chunks", "unique_chunks", "unique_chunk_bytes")]
-        return f.join(c, "class", "left").select("class", "files", "bytes", "dup_files", "dup_bytes", *zero)
-
-    return level("class").union(level(None)) if corpus else level("class")
+    label = F.coalesce("class", F.lit("(corpus)"))
+    levels = (lambda df, *keys: df.groupingSets([["class", *keys], list(keys)], "class", *keys)) if corpus else (lambda df, *keys: df.groupBy("class", *keys))
+    sized = files.groupBy("class", "hash", "size").agg(F.count("*").alias("c"))
+    f = levels(sized, "hash", "size").agg(F.sum("c").alias("n")).groupBy(label.alias("class")).agg(
+        F.sum("n").alias("files"),
+        F.sum(F.col("n") * F.col("size")).alias("bytes"),
+        F.sum(F.col("n") - 1).alias("dup_files"),
+        F.sum((F.col("n") - 1) * F.col("size")).alias("dup_bytes"),
+    )
+    pieces = chunks.groupBy("class", "hash", "len").agg(F.count("*").alias("c"))
+    c = levels(pieces, "hash", "len").agg(F.sum("c").alias("n")).groupBy(label.alias("class")).agg(F.sum("n").alias("chunks"), F.count("*").alias("unique_chunks"), F.sum("len").alias("unique_chunk_bytes"))
+    zero = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("chunks", "unique_chunks", "unique_chunk_bytes")]
+    return f.join(c, "class", "left").select("class", "files", "bytes", "dup_files", "dup_bytes", *zero)
 
 
 def growth(chunks: DataFrame) -> DataFrame:
@@ -109,33 +111,93 @@ def in_range(placed: DataFrame, offset: int, length: int) -> DataFrame:
     return placed.where((F.lit(length) > 0) & (F.col("len") > 0) & (F.col("in_file") < offset + length) & (F.col("in_file") + F.col("len") > offset))
 
 
+#: Chunks of a stretch that one task packs by itself.
+STRETCH = 50_000
+
+
+def block_starts(lengths: np.ndarray, block_size: int) -> np.ndarray:
+    """Of each chunk where the block would end that begins with it: before the chunk that would take it over."""
+    ends = np.cumsum(lengths)
+    own = ends - lengths
+    return np.maximum(np.searchsorted(ends, own + block_size, "right"), np.arange(len(lengths)) + 1)
+
+
+def stretches(frames: Iterator[pd.DataFrame], by: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that come sorted by ``by``."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for _, part in frame.groupby(list(by), sort=False):
+            if held and tuple(held[-1][list(by)].iloc[-1]) != tuple(part[list(by)].iloc[0]):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def pack_blocks(chunks: DataFrame, block_size: int) -> DataFrame:
     """Blocks of consecutive chunks per cluster: cluster, block, first, n, bytes.
 
-    A block closes before the chunk that would take it over ``block_size``; a larger chunk stands alone.  The
-    rule looks at each chunk in turn, so it runs in Python, but over rows streamed in order, not gathered.
+    A block closes before the chunk that would take it over ``block_size``; a larger chunk stands alone.  Where a
+    block begins depends on all before it, but only through the first begin in a stretch: so each stretch of
+    ``STRETCH`` chunks tells, for every place where that may be, how many blocks follow and what its last one holds.
+    One pass over these small rows, a cluster at a time, finds the true begins, and then each stretch cuts its own
+    blocks.  Pieces of a block in several stretches are added up.  A cluster has no null name.
     """
-
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        at: list | None = None
+    spark = chunks.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = numbered(chunks.select("cluster", "chunk", "len"), "cluster", "chunk", column="at").withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    key = ("cluster", "stretch")
+    dealt = rows.repartition(parts, *key).sortWithinPartitions(*key, "chunk")
+
+    def outlined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in stretches(frames, key):
+            lengths = group["len"].to_numpy()
+            n, ends, following = len(lengths), np.cumsum(lengths), block_starts(lengths, block_size).tolist()
+            last, count = list(range(n)), [1] * n
+            for i in range(n - 1, -1, -1):
+                if following[i] < n:
+                    last[i], count[i] = last[following[i]], 1 + count[following[i]]
+            most = min(n, int(np.searchsorted(ends, block_size, "right")) + 1)  # the first block begins no later
+            held = ends[-1] - (ends - lengths)[last[:most]]
+            yield pd.DataFrame({"cluster": [group["cluster"].iat[0]], "stretch": [group["stretch"].iat[0]], "n": [n], "total": [int(ends[-1])], "ends": [ends[:most].tolist()], "held": [held.tolist()], "count": [count[:most]]})
+
+    outline = stored(dealt.mapInPandas(outlined, "cluster string, stretch long, n long, total long, ends array<long>, held array<long>, count array<long>"), "block-outline")
+
+    def begun(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cluster, block, open_bytes = None, 0, 0
         for frame in frames:
-            for cluster, chunk, length in zip(frame["cluster"], frame["chunk"], frame["len"]):
-                if at and at[0] == cluster and at[4] + length <= block_size:
-                    at[3], at[4] = at[3] + 1, at[4] + length
-                    continue
-                if at:
-                    rows.append(tuple(at))
-                at = [cluster, at[1] + 1 if at and at[0] == cluster else 0, chunk, 1, length]
-            if rows:
-                yield pd.DataFrame(rows, columns=["cluster", "block", "first", "n", "bytes"])
-                rows = []
-        if at:
-            yield pd.DataFrame([tuple(at)], columns=["cluster", "block", "first", "n", "bytes"])
-
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = chunks.select("cluster", "chunk", "len").repartition(parts, "cluster").sortWithinPartitions("cluster", "chunk")
-    return rows.mapInPandas(packed, "cluster string, block long, first long, n long, bytes long")
+            out = []
+            for r in frame.itertuples(index=False):
+                if r.cluster != cluster:
+                    cluster, block, begin = r.cluster, 0, 0
+                else:
+                    begin = int(np.searchsorted(r.ends, block_size - open_bytes, "right"))
+                out.append((r.cluster, r.stretch, begin, block))
+                if begin < len(r.ends):
+                    block, open_bytes = block + int(r.count[begin]), int(r.held[begin])
+                else:
+                    open_bytes += r.total
+            yield pd.DataFrame(out, columns=["cluster", "stretch", "begin", "block"])
+
+    begins = stored(outline.repartition(parts, "cluster").sortWithinPartitions(*key).mapInPandas(begun, "cluster string, stretch long, begin long, block long"), "block-begins")
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in stretches(frames, key):
+            lengths, chunk = group["len"].to_numpy(), group["chunk"].to_numpy()
+            following, at, starts = block_starts(lengths, block_size), int(group["begin"].iat[0]), []
+            while at < len(lengths):
+                starts.append(at)
+                at = int(following[at])
+            block = int(group["block"].iat[0])
+            numbers = np.arange(block, block + len(starts))
+            if not starts or starts[0] > 0:  # the end of a block that began before
+                starts, numbers = [0, *starts], np.append(block - 1, numbers)
+            yield pd.DataFrame({"cluster": group["cluster"].iat[0], "block": numbers, "first": chunk[starts], "n": np.diff([*starts, len(lengths)]), "bytes": np.add.reduceat(lengths, starts)})
+
+    placed = rows.join(begins, list(key)).repartition(parts, *key).sortWithinPartitions(*key, "chunk")
+    pieces = placed.select("cluster", "stretch", "chunk", "len", "begin", "block").mapInPandas(cut, "cluster string, block long, first long, n long, bytes long")
+    return pieces.groupBy("cluster", "block").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 def verify(files: DataFrame, members: DataFrame, blobs: DataFrame) -> DataFrame:

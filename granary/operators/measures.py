@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.store import stored
+from granary.store import numbered, stored
 
 INF = float("inf")
 
@@ -22,14 +22,23 @@ def median_double(x: Column) -> Column:
     return F.coalesce(F.median(x), F.lit(0.0))
 
 
-def median_whole(x: Column) -> Column:
-    """The same in whole numbers, the mean rounded down, without leaving 64 bits; 0 for none."""
-    values = F.array_sort(F.collect_list(x.cast("long")))
-    n = F.size(values)
-    low, high = F.get(values, ((n - 1) / 2).cast("int")), F.get(values, (n / 2).cast("int"))
+def medians_whole(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Of whole numbers the same, a column each, in whole numbers: the mean rounded down, without leaving 64 bits; 0 for
+    none, nulls not counting.
+
+    Equal values are counted first, before the shuffle; running counts over them then tell the middle ones, so no
+    group is gathered in memory.
+    """
+    each = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).cast("long").alias("value")) for i, c in enumerate(columns)])))
+    counted = each.groupBy(*by, "which", "value").agg(F.count("value").alias("n"))
+    group = W.partitionBy(*by, "which")
+    so_far, total = F.sum("n").over(group.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), F.sum("n").over(group)
+    ranked = counted.withColumns({"so_far": so_far, "total": total})
+    reached = lambda place: F.min(F.when((F.col("n") > 0) & (F.col("so_far") >= F.floor(place)), F.col("value")))
+    middle = ranked.groupBy(*by, "which").agg(reached((F.col("total") + 1) / 2).alias("low"), reached(F.col("total") / 2 + 1).alias("high"))
     # Half of either, and the half that both leave over.
-    mean = F.shiftright(low, 1) + F.shiftright(high, 1) + low.bitwiseAND(1).bitwiseAND(high)
-    return F.when(n == 0, F.lit(0).cast("long")).when(n % 2 == 1, low).otherwise(mean)
+    mean = F.shiftright("low", 1) + F.shiftright("high", 1) + F.col("low").bitwiseAND(1).bitwiseAND(F.col("high"))
+    return middle.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("which") == i, mean)), F.lit(0)).cast("long").alias(c) for i, c in enumerate(columns)])
 
 
 def median_if_all(x: Column) -> Column:
@@ -39,9 +48,14 @@ def median_if_all(x: Column) -> Column:
 
 def median_struct(rows: DataFrame, by: list[str], doubles: list[str], wholes: list[str], flags: list[str]) -> DataFrame:
     """Field by field over repeats; a flag is set if any repeat sets it."""
-    return rows.groupBy(*by).agg(
-        *[median_double(F.col(c)).alias(c) for c in doubles], *[median_whole(F.col(c)).alias(c) for c in wholes], *[F.bool_or(c).alias(c) for c in flags]
-    )
+    simple = rows.groupBy(*by).agg(*[median_double(F.col(c)).alias(c) for c in doubles], *[F.bool_or(c).alias(c) for c in flags])
+    if not wholes:
+        return simple
+    whole = medians_whole(rows, by, wholes)
+    if not by:
+        return simple.crossJoin(whole)  # a row each
+    same = [simple[c].eqNullSafe(whole[c]) for c in by]
+    return simple.join(whole, same).select(*[simple[c] for c in [*by, *doubles]], *[whole[c] for c in wholes], *[simple[c] for c in flags])
 
 
 # ---- rates and blends
@@ -238,22 +252,32 @@ def verdict(gates: DataFrame) -> DataFrame:
 # ---- accounting
 
 
-def accounting(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """Per source: expected and found files and bytes, and the paths that are missing or altered."""
+def accounted(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Both lists (source, path, bytes, digest) by path: eb and fb, their bytes, and fault: missing, altered or null."""
     both = expected.select("source", "path", F.col("bytes").alias("eb"), F.col("digest").alias("ed")).join(
         found.select("source", "path", F.col("bytes").alias("fb"), F.col("digest").alias("fd")), ["source", "path"], "full_outer"
     )
-    lost, other = F.col("fb").isNull(), F.col("fd") != F.col("ed")
-    return both.groupBy("source").agg(
+    fault = F.when(F.col("fb").isNull(), "missing").when(F.col("fd") != F.col("ed"), "altered")
+    return both.select("source", "path", "eb", "fb", fault.alias("fault"))
+
+
+def accounting(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Per source: expected and found files and bytes, and how many paths are missing or altered."""
+    return accounted(expected, found).groupBy("source").agg(
         F.count("eb").alias("expected"),
         F.count("fb").alias("found"),
         F.coalesce(F.sum("eb"), F.lit(0)).alias("expected_bytes"),
         F.coalesce(F.sum("fb"), F.lit(0)).alias("found_bytes"),
-        F.array_sort(F.collect_list(F.when(lost, F.col("path")))).alias("missing"),
-        F.array_sort(F.collect_list(F.when(~lost & other, F.col("path")))).alias("altered"),
+        F.count_if(F.col("fault") == "missing").alias("missing"),
+        F.count_if(F.col("fault") == "altered").alias("altered"),
     )
 
 
+def accounting_faults(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """The paths behind those counts, a row each: source, path, fault."""
+    return accounted(expected, found).where(F.col("fault").isNotNull()).select("source", "path", "fault")
+
+
 def digest_check(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """(reason, n): ok, differs, no digest, no class, over rows (class, digest) and a manifest."""
     joined = rows.join(manifest.select("class", F.col("digest").alias("md"), F.lit(True).alias("there")), "class", "left")
@@ -282,14 +306,17 @@ def two_level(locks: DataFrame, sources: DataFrame, classes: DataFrame) -> DataF
     return classes.join(per_class, "class", "left").select("class", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "bytes")])
 
 
+#: Upper limits in percent and names of the shares' buckets.
+SHARES = [(1, "under_1_pct"), (5, "1_to_5_pct"), (10, "5_to_10_pct"), (25, "10_to_25_pct"), (50, "25_to_50_pct"), (None, "50_pct_or_more")]
+
+
 def bucket(part: Column, whole: Column) -> Column:
-    """The share's bucket: below 1, 5, 10, 25 or 50 percent, or above; whole numbers, divisor at least 1."""
+    """The share's bucket, in whole numbers; a whole of 0 counts as 1."""
     big = lambda c: c.cast("decimal(38,0)")
-    share = lambda pct: big(part) * 100 < big(F.greatest(whole, F.lit(1))) * pct
-    out = F.when(share(1), "<1")
-    for pct in (5, 10, 25, 50):
-        out = out.when(share(pct), f"<{pct}")
-    return out.otherwise(">=50")
+    out = F.lit(SHARES[-1][1])
+    for pct, name in reversed(SHARES[:-1]):
+        out = F.when(big(part) * 100 < big(F.greatest(whole, F.lit(1))) * pct, name).otherwise(out)
+    return out
 
 
 def map_sum(rows: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -374,11 +401,21 @@ def corpus_totals(rows: DataFrame) -> DataFrame:
     return first.agg(F.count("*").alias("classes"), F.sum("f.class_files").alias("files"), F.sum("f.class_bytes").alias("bytes"))
 
 
-def class_digest(rows: DataFrame) -> DataFrame:
-    """A digest per class over its members in path order (path, bytes, hash, each ended by NUL)."""
+def class_digest(rows: DataFrame, fan: int = 256) -> DataFrame:
+    """A digest per class over its members in path order: a tree whose leaves are (path, bytes, hash, each ended by NUL)
+    and whose nodes are the digests of up to ``fan`` nodes below, joined.  No task holds more of a class than that."""
     line = F.concat(F.col("path"), F.lit("\x00"), F.col("bytes").cast("string"), F.lit("\x00"), F.col("hash"), F.lit("\x00"))
-    listed = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
-    return rows.groupBy("class").agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["line"]), ""), 256).alias("digest"))
+    members = numbered(rows.select("class", "path", line.alias("part")), "class", "path", "part", column="at")
+    first = stored(members.groupBy(F.col("class").alias("of")).agg(F.min("at").alias("first"), F.count("*").alias("n")), "class-starts")
+    level = members.join(first, F.col("class").eqNullSafe(F.col("of"))).select("class", (F.col("at") - F.col("first")).alias("i"), "part")
+    left = first.agg(F.max("n")).first()[0] or 1
+    while True:
+        listed = F.array_sort(F.collect_list(F.struct("i", "part")))  # at most fan of them
+        node = F.sha2(F.array_join(F.transform(listed, lambda x: x["part"]), ""), 256)
+        level = stored(level.groupBy("class", F.floor(F.col("i") / fan).alias("i")).agg(node.alias("part")), "class-digest")
+        left = -(-left // fan)
+        if left <= 1:
+            return level.select("class", F.col("part").alias("digest"))
 
 
 def merkle(rows: DataFrame) -> DataFrame:
@@ -417,8 +454,8 @@ def combined(a: Column, b: Column, value: Column) -> Column:
 
 
 def sources_of(sources: Column) -> Column:
-    """The sources of an aggregate over traced values."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(sources))))
+    """The sources of an aggregate over traced values; equal lists are kept once, from the first task on."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(sources))))
 
 
 def bracketed(sources: Column) -> Column:

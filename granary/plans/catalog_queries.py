@@ -29,12 +29,17 @@ def _(spark, d):
     return entries(spark, d)
 
 
-@query("src_walk", with_entries("SELECT path, size FROM entries WHERE kind = 'File' AND path NOT IN (SELECT path FROM entries GROUP BY path HAVING count(*) > 1)"))
+@query("src_walk", "SELECT lang || '/' || source || '/' || doc_id || '.txt' AS path, octet_length(encode(text)) AS size FROM documents WHERE doc_id % 3 <> 0 OR lang <> 'en'")
 def _(spark, d):
-    """The walk's result: files in path order; a path that comes twice is an error."""
-    from granary.sources.walk import checked
+    """The documents are written as files, and their folder is walked, without what a pattern excludes."""
+    from granary.sources.sinks import write_files
+    from granary.sources.walk import walk
+    from granary.store import fresh_path
 
-    return checked(entries(spark, d).where("kind = 'File'")).orderBy("path").select("path", "size")
+    folder, name = fresh_path(spark, "tree"), F.when((E("doc_id") % 3 == 0) & (E("lang") == "en"), ".tmp").otherwise(".txt")
+    docs = table(spark, d, "documents").select(F.concat("lang", F.lit("/"), "source", F.lit("/"), E("doc_id").cast("string"), name).alias("path"), "text")
+    write_files(docs.withColumnRenamed("text", "content"), folder)
+    return walk(spark, folder, exclude=("**/*.tmp",)).select("path", "size")
 
 
 @query("src_walk_multi", "WITH r AS (SELECT 'left' AS root, lang || '/' || doc_id AS path FROM documents WHERE lang IN ('en', 'fr') UNION ALL SELECT 'right', lang || '/' || doc_id FROM documents WHERE lang = 'de') SELECT root, root || '/' || path AS path FROM r")
@@ -179,11 +184,12 @@ def _(spark, d):
     return ops.picked_range(ops.view(entries(spark, d), "size", True), 30, 10).select("id", "pos")
 
 
-@query("flt_stale", "SELECT 2 AS asked, 3 AS current, true AS stale UNION ALL SELECT 3, 3, false")
+@query("flt_stale", "SELECT event_id, user_id % 4 < 3 AS stale FROM events")
 def _(spark, d):
+    """Requests against views of several generations, of which the third is current."""
     from granary.operators.versions import is_stale
 
-    return spark.createDataFrame([(2, 3), (3, 3)], "asked int, current int").withColumn("stale", is_stale(E("asked"), E("current")))
+    return table(spark, d, "events").select("event_id", is_stale(E("user_id") % 4, F.lit(3)).alias("stale"))
 
 
 @query("flt_exclude", with_entries(r"SELECT id FROM entries WHERE NOT regexp_matches(path, '^(es|en/src[0-4])(/|$)') AND NOT regexp_matches(path, '\.md$')"))

@@ -56,7 +56,7 @@ def _(spark, d):
 
 @query("agg_median_u64", sql("SELECT class, (s[(len(s) + 1) // 2] + s[len(s) // 2 + 1]) // 2 AS bytes FROM (SELECT class, list_sort(list(archive_bytes + 4503599627370497)) AS s FROM m GROUP BY class)", base=M))
 def _(spark, d):
-    return lines(spark, d).groupBy("class").agg(ops.median_whole(E("archive_bytes") + 4503599627370497).alias("bytes"))
+    return ops.medians_whole(lines(spark, d).select("class", (E("archive_bytes") + 4503599627370497).alias("bytes")), ["class"], ["bytes"])
 
 
 @query("agg_median_opt", sql("SELECT tool, setting, class, CASE WHEN count(*) = count(nullif(threads, 50)) THEN median(nullif(threads, 50)) END AS threads FROM m GROUP BY ALL", base=M))
@@ -145,9 +145,10 @@ def _(spark, d):
     return ops.size_gate(a, b, 0.001).select("tool", "setting", "class", "verdict")
 
 
-@query("agg_growth_pct", "SELECT old, new, pct FROM (VALUES (0, 0, 0.0::DOUBLE), (0, 5, 'inf'::DOUBLE), (100, 103, 3.0), (200, 150, -25.0)) v(old, new, pct)")
+@query("agg_growth_pct", "SELECT o_orderkey AS id, CASE WHEN old = 0 AND new = 0 THEN 0.0::DOUBLE WHEN old = 0 THEN 'inf'::DOUBLE ELSE round((new - old) * 100.0::DOUBLE / old, 9) END AS pct FROM (SELECT o_orderkey, o_orderkey % 7 AS old, o_custkey % 11 AS new FROM orders)")
 def _(spark, d):
-    return spark.createDataFrame([(0, 0), (0, 5), (100, 103), (200, 150)], "old int, new int").withColumn("pct", ops.growth_pct(E("old"), E("new")))
+    rows = table(spark, d, "orders").select(E("o_orderkey").alias("id"), (E("o_orderkey") % 7).alias("old"), (E("o_custkey") % 11).alias("new"))
+    return rows.select("id", F.round(ops.growth_pct(E("old"), E("new")), 9).alias("pct"))
 
 
 TREES = ", x AS (SELECT doc_id::VARCHAR AS path, n_chars AS size, sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 3), y AS (SELECT doc_id::VARCHAR AS path, n_chars + CASE WHEN doc_id % 10 = 4 THEN 1 ELSE 0 END AS size, CASE doc_id % 10 WHEN 5 THEN NULL WHEN 6 THEN 'other' ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 10 <> 7)"
@@ -262,9 +263,12 @@ def _(spark, d):
 # ---- accounting
 
 
-@query("agg_manifest", "SELECT source AS class, count(*) AS files, sum(n_chars)::BIGINT AS bytes_total, list_sort(list(doc_id)) AS members FROM documents GROUP BY source")
+@query("agg_manifest", "SELECT source AS class, count(*) OVER (PARTITION BY source) AS files, (sum(n_chars) OVER (PARTITION BY source))::BIGINT AS bytes_total, doc_id AS member FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy(E("source").alias("class")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes_total"), F.array_sort(F.collect_list("doc_id")).alias("members"))
+    """A row per member beside its class's totals."""
+    docs = table(spark, d, "documents").select(E("source").alias("class"), "n_chars", E("doc_id").alias("member"))
+    totals = docs.groupBy("class").agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes_total"))
+    return docs.join(totals, "class").select("class", "files", "bytes_total", "member")
 
 
 def manifest_rows(docs, most=1000):
@@ -283,40 +287,49 @@ def manifests_read(docs):
     return manifest(manifest_rows(docs)).select("class", "bytes_total", "bytes", "path", "source")
 
 
-@query("src_manifest", "SELECT lang AS class, sum(n_chars) OVER (PARTITION BY lang)::BIGINT AS bytes_total, n_chars AS bytes, doc_id::VARCHAR AS path, source FROM documents WHERE doc_id % 4 = 0")
+@query("src_manifest", "SELECT lang AS class, sum(n_chars) OVER (PARTITION BY lang)::BIGINT AS bytes_total, n_chars AS bytes, doc_id::VARCHAR AS path, source FROM documents")
 def _(spark, d):
-    return manifests_read(table(spark, d, "documents").where("doc_id % 4 = 0"))
-
-
-@query("src_manifest_all", "SELECT lang AS class, sum(n_chars) OVER (PARTITION BY lang)::BIGINT AS bytes_total, n_chars AS bytes, doc_id::VARCHAR AS path, source FROM documents")
-def _(spark, d):
-    """All documents; the SQL of src_manifest has a quarter of them."""
     return manifests_read(table(spark, d, "documents"))
 
 
-@query("src_results_json", "SELECT user_id::VARCHAR AS run, count(*) AS n, user_id % 5 = 0 AS aborted, sum(event_id)::BIGINT AS bytes FROM events GROUP BY user_id")
+@query("src_results_json", "SELECT user_id::VARCHAR AS run, event_type || '.json' AS file, user_id % 5 = 0 AS aborted, event_type AS tool, sum(event_id)::BIGINT AS bytes FROM events GROUP BY user_id, event_type")
 def _(spark, d):
-    from granary.sources.walk import parsed_results
+    """Run folders are written, a file per result and a mark in each that was finished, and read as they lie there."""
+    from granary.sources.sinks import write_files
+    from granary.sources.walk import results
+    from granary.store import fresh_path
 
-    events = table(spark, d, "events")
-    one = F.to_json(F.struct(F.struct(E("event_type").alias("id")).alias("tool"), F.lit("c").alias("class"), F.array(F.struct(E("event_id").alias("archive_bytes"))).alias("repeats")))
-    rows = events.select(E("user_id").cast("string").alias("run"), F.concat(E("event_id").cast("string"), F.lit(".json")).alias("file"), one.alias("json"))
-    marks = events.where("user_id % 5 <> 0").select(E("user_id").cast("string").alias("run"), F.lit("run.json").alias("file"), F.lit("{}").alias("json")).distinct()
-    return parsed_results(rows.union(marks)).groupBy("run", "aborted").agg(F.count("*").alias("n"), F.sum(E("repeats")[0]["archive_bytes"]).alias("bytes")).select("run", "n", "aborted", "bytes")
+    rows = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.sum("event_id").alias("bytes"))
+    one = F.to_json(F.struct(F.struct(E("event_type").alias("id")).alias("tool"), F.lit("c").alias("class"), F.array(F.struct(E("bytes").alias("archive_bytes"))).alias("repeats")))
+    files = rows.select(F.format_string("%d/%s.json", "user_id", "event_type").alias("path"), one.alias("content"))
+    marks = rows.where("user_id % 5 <> 0").select(F.format_string("%d/run.json", "user_id"), F.lit("{}")).distinct()
+    folder = fresh_path(spark, "runs")
+    write_files(files.union(marks), folder)
+    return results(spark, folder).select("run", "file", "aborted", E("tool.id").alias("tool"), E("repeats")[0]["archive_bytes"].alias("bytes"))
 
 
-@query("src_registry", "SELECT p_partkey AS id, p_brand AS class FROM part WHERE p_size % 2 = 0 AND p_partkey IN (2, 3, 4, 5, 6, 7, 8, 9)")
+@query("src_registry", "SELECT p_partkey AS id, p_brand AS class FROM part WHERE p_size % 2 = 0")
 def _(spark, d):
     from granary.sources.walk import registry_select
 
     sources = table(spark, d, "part").select(E("p_partkey").alias("id"), E("p_brand").alias("class"), F.when(E("p_size") % 2 == 0, F.array(F.lit("full"), F.lit("quick"))).otherwise(F.array(F.lit("full"))).alias("profiles"))
-    return registry_select(sources, "quick", list(range(2, 10))).select("id", "class")
+    return registry_select(sources, "quick").select("id", "class")
 
 
-@query("agg_accounting", "SELECT source, count(*) FILTER (WHERE doc_id % 13 <> 1) AS expected, count(*) FILTER (WHERE doc_id % 13 <> 2) AS found, coalesce(sum(n_chars) FILTER (WHERE doc_id % 13 <> 1), 0)::BIGINT AS expected_bytes, coalesce(sum(n_chars) FILTER (WHERE doc_id % 13 <> 2), 0)::BIGINT AS found_bytes, coalesce(list_sort(list(doc_id::VARCHAR) FILTER (WHERE doc_id % 13 = 2)), []) AS missing, coalesce(list_sort(list(doc_id::VARCHAR) FILTER (WHERE doc_id % 13 = 3)), []) AS altered FROM documents GROUP BY source")
-def _(spark, d):
+def two_lists(spark, d):
+    """Expected and found files: of thirteen one isn't expected, one is missing and one altered."""
     docs = table(spark, d, "documents").select("source", E("doc_id").cast("string").alias("path"), E("n_chars").alias("bytes"), F.sha2("text", 256).alias("digest"), (E("doc_id") % 13).alias("k"))
-    return ops.accounting(docs.where("k <> 1"), docs.where("k <> 2").withColumn("digest", F.when(E("k") == 3, "other").otherwise(E("digest"))))
+    return docs.where("k <> 1"), docs.where("k <> 2").withColumn("digest", F.when(E("k") == 3, "other").otherwise(E("digest")))
+
+
+@query("agg_accounting", "SELECT source, count(*) FILTER (WHERE doc_id % 13 <> 1) AS expected, count(*) FILTER (WHERE doc_id % 13 <> 2) AS found, coalesce(sum(n_chars) FILTER (WHERE doc_id % 13 <> 1), 0)::BIGINT AS expected_bytes, coalesce(sum(n_chars) FILTER (WHERE doc_id % 13 <> 2), 0)::BIGINT AS found_bytes, count(*) FILTER (WHERE doc_id % 13 = 2) AS missing, count(*) FILTER (WHERE doc_id % 13 = 3) AS altered FROM documents GROUP BY source")
+def _(spark, d):
+    return ops.accounting(*two_lists(spark, d))
+
+
+@query("agg_accounting_faults", "SELECT source, doc_id::VARCHAR AS path, CASE doc_id % 13 WHEN 2 THEN 'missing' ELSE 'altered' END AS fault FROM documents WHERE doc_id % 13 IN (2, 3)")
+def _(spark, d):
+    return ops.accounting_faults(*two_lists(spark, d))
 
 
 @query("agg_digest_check", "SELECT CASE WHEN doc_id % 11 = 1 THEN 'no class' WHEN doc_id % 11 = 2 THEN 'no digest' WHEN doc_id % 11 = 3 THEN 'differs' ELSE 'ok' END AS reason, count(*) AS n FROM documents GROUP BY 1")
@@ -338,7 +351,7 @@ def _(spark, d):
     return ops.two_level(locks, sources, sources.select("class").distinct().union(spark.createDataFrame([(99,)], "class int")))
 
 
-@query("agg_bucket", sql("SELECT CASE WHEN discount = 0 THEN '<1' WHEN x < 1 THEN '<1' WHEN x < 5 THEN '<5' WHEN x < 10 THEN '<10' WHEN x < 25 THEN '<25' WHEN x < 50 THEN '<50' ELSE '>=50' END AS bucket, count(*) AS n FROM (SELECT discount, ord % 97 * threads * 100 / archive_bytes::DOUBLE * 100 AS x FROM m) GROUP BY 1", base=M).replace("WHEN discount = 0 THEN '<1' ", ""))
+@query("agg_bucket", sql("SELECT CASE WHEN x < 1 THEN 'under_1_pct' WHEN x < 5 THEN '1_to_5_pct' WHEN x < 10 THEN '5_to_10_pct' WHEN x < 25 THEN '10_to_25_pct' WHEN x < 50 THEN '25_to_50_pct' ELSE '50_pct_or_more' END AS bucket, count(*) AS n FROM (SELECT ord % 97 * threads * 100 / archive_bytes::DOUBLE * 100 AS x FROM m) GROUP BY 1", base=M))
 def _(spark, d):
     part = E("ord") % 97 * E("threads") * 100
     return lines(spark, d).groupBy(ops.bucket(part, E("archive_bytes")).alias("bucket")).agg(F.count("*").alias("n"))
@@ -403,19 +416,19 @@ def _(spark, d):
     return ops.corpus_totals(combos(spark, d).withColumns({"class_files": E("class_bytes") % 1000, "ord": F.struct("ord", "tool", "setting")}))
 
 
-@query("agg_digest", "SELECT source AS class, sha256(string_agg(doc_id::VARCHAR || chr(0) || n_chars || chr(0) || sha256(text) || chr(0), '' ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY source")
-def _(spark, d):
-    return ops.class_digest(table(spark, d, "documents").select(E("source").alias("class"), E("doc_id").cast("string").alias("path"), E("n_chars").alias("bytes"), F.sha2("text", 256).alias("hash")))
+TREE = """WITH RECURSIVE m AS (SELECT source AS class, row_number() OVER (PARTITION BY source ORDER BY doc_id::VARCHAR) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, doc_id::VARCHAR || chr(0) || n_chars || chr(0) || sha256(text) || chr(0) AS part FROM documents),
+t AS (SELECT class, i // 256 AS i, (min(n) + 255) // 256 AS n, sha256(string_agg(part, '' ORDER BY i)) AS part FROM m GROUP BY class, i // 256
+  UNION ALL SELECT class, i // 256, (min(n) + 255) // 256, sha256(string_agg(part, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY class, i // 256) SELECT class, part AS digest FROM t WHERE n = 1"""
 
 
-@query("agg_merkle", "WITH RECURSIVE t AS (SELECT 0 AS level, doc_id AS i, sha256(text) AS hash, (SELECT count(*) FROM documents WHERE doc_id < 64) AS n FROM documents WHERE doc_id < 64 UNION ALL SELECT level + 1, i // 2, sha256(hash || nxt), n // 2 FROM (SELECT *, lead(hash) OVER (ORDER BY i) AS nxt FROM t) WHERE i % 2 = 0 AND n > 1) SELECT level, i, hash FROM t")
+@query("agg_digest", TREE)
 def _(spark, d):
-    return ops.merkle(table(spark, d, "documents").where("doc_id < 64").select(E("doc_id").alias("i"), F.sha2("text", 256).alias("hash")))
+    return ops.class_digest(table(spark, d, "documents").select(E("source").alias("class"), E("doc_id").cast("string").alias("path"), E("n_chars").alias("bytes"), F.sha2("text", 256).alias("hash")))
 
 
-@query("agg_merkle_all")
+@query("agg_merkle", "WITH RECURSIVE t AS (SELECT 0 AS level, row_number() OVER (ORDER BY doc_id) - 1 AS i, sha256(text) AS hash, count(*) OVER () AS n FROM documents UNION ALL SELECT level + 1, i // 2, CASE WHEN nxt IS NULL THEN hash ELSE sha256(hash || nxt) END, (n + 1) // 2 FROM (SELECT *, lead(hash) OVER (ORDER BY i) AS nxt FROM t) WHERE i % 2 = 0 AND n > 1) SELECT level, i, hash FROM t")
 def _(spark, d):
-    """The tree over all documents in order; the SQL above can't follow odd levels, so it has the first 64 alone."""
+    """The tree over all documents in order, with odd levels."""
     leaves = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
     return ops.merkle(numbered(leaves, "doc_id", "hash", column="i").select("i", "hash"))
 
@@ -446,10 +459,14 @@ def _(spark, d):
     return combos(spark, d).select("tool", "setting", "class", ops.at_least_pct(E("archive_bytes"), E("class_bytes"), 99).alias("enough"))
 
 
-@query("fn_size", "SELECT text, bytes FROM (VALUES ('512M', 536870912), ('2G', 2147483648), ('64K', 65536), ('17', 17), ('x', NULL), ('1T', NULL), ('', NULL), ('999999999999G', NULL)) v(text, bytes)")
+SHAPES = ["", "K", "M", "G", "T", " K", "k", "000000000000000000000K", "00000000000G", "x"]
+
+
+@query("fn_size", f"WITH s(k, unit) AS (VALUES {', '.join(f'({i}, {chr(39)}{u}{chr(39)})' for i, u in enumerate(SHAPES))}), t AS (SELECT doc_id, CASE doc_id % 11 WHEN 10 THEN '' ELSE doc_id || unit END AS text FROM documents JOIN s ON k = doc_id % 10) SELECT doc_id, CASE WHEN regexp_matches(text, '^[0-9]{{1,18}}[KMG]?$') THEN TRY_CAST(regexp_extract(text, '^[0-9]*')::HUGEINT * CASE right(text, 1) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'G' THEN 1073741824 ELSE 1 END AS BIGINT) END AS bytes FROM t")
 def _(spark, d):
-    rows = spark.createDataFrame([(t,) for t in ("512M", "2G", "64K", "17", "x", "1T", "", "999999999999G")], "text string")
-    return rows.withColumn("bytes", ops.parsed_size(E("text")))
+    units = F.array(*[F.lit(u) for u in SHAPES])
+    text = F.when(E("doc_id") % 11 == 10, "").otherwise(F.concat(E("doc_id").cast("string"), F.element_at(units, (E("doc_id") % 10 + 1).cast("int"))))
+    return table(spark, d, "documents").select("doc_id", ops.parsed_size(text).alias("bytes"))
 
 
 @query("fn_civil", "SELECT o_orderkey, year(x)::INTEGER AS y, month(x)::INTEGER AS m, day(x)::INTEGER AS d FROM (SELECT o_orderkey, DATE '1970-01-01' + (o_orderkey - 5000)::INTEGER AS x FROM orders)")
@@ -458,10 +475,11 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.year(day).alias("y"), F.month(day).alias("m"), F.dayofmonth(day).alias("d"))
 
 
-@query("fn_valid_date", "SELECT text, ok FROM (VALUES ('2026-10-30', true), ('2026-02-30', false), ('x', false), ('2024-02-29', true)) v(text, ok)")
+@query("fn_valid_date", "SELECT o_orderkey, TRY_CAST(text AS DATE) IS NOT NULL AND regexp_matches(text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS ok FROM (SELECT o_orderkey, CASE o_orderkey % 13 WHEN 0 THEN 'x' WHEN 1 THEN '2024/01/02' ELSE printf('%04d-%02d-%02d', 1999 + o_orderkey % 9, o_orderkey % 14, o_orderkey % 33) END AS text FROM orders)")
 def _(spark, d):
-    rows = spark.createDataFrame([(t,) for t in ("2026-10-30", "2026-02-30", "x", "2024-02-29")], "text string")
-    return rows.withColumn("ok", F.try_to_timestamp("text", F.lit("yyyy-MM-dd")).isNotNull())
+    k = E("o_orderkey")
+    text = F.when(k % 13 == 0, "x").when(k % 13 == 1, "2024/01/02").otherwise(F.format_string("%04d-%02d-%02d", 1999 + k % 9, k % 14, k % 33))
+    return table(spark, d, "orders").select("o_orderkey", F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull().alias("ok"))
 
 
 @query("fn_hash", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -485,7 +503,7 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("fn_json_diff")
+@query("fn_json_diff", "SELECT event_id, CASE WHEN (json_extract(props, '$.k'))::BIGINT = 69 THEN [] ELSE ['/k: differs'] END AS diff FROM events")
 def _(spark, d):
     from granary.functions.content import json_diff
 

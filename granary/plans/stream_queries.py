@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from granary.plans.registry import query, table
+from granary.store import fresh_path
 from granary.streaming import ingest
 
 
 def stream(spark, d, name):
     """The table as a stream of the files that its folder holds."""
-    from granary.store import fresh_path
-
     path = fresh_path(spark, f"arriving-{name}")
     table(spark, d, name).write.parquet(path)
     return ingest.arriving(spark, path, table(spark, d, name).schema, 4), fresh_path(spark, "stream-state")
@@ -21,13 +18,14 @@ def stream(spark, d, name):
 
 @query("str_new_chunks", "SELECT DISTINCT sha256(text) AS hash FROM documents")
 def _(spark, d):
+    """All rows bear one time here, so the state keeps them to the end."""
     rows, state = stream(spark, d, "documents")
-    return ingest.drain(ingest.new_chunks(rows.select(F.sha2("text", 256).alias("hash"))), f"chunks_{uuid.uuid4().hex}", state)
+    chunks = rows.select(F.sha2("text", 256).alias("hash"), F.timestamp_seconds(F.lit(946_684_800)).alias("ts"))
+    return ingest.drain(ingest.new_chunks(chunks, "ts"), fresh_path(spark, "new-chunks"), state).select("hash")
 
 
 @query("str_window", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
     rows, state = stream(spark, d, "events")
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    found = ingest.drain(ingest.windowed_counts(rows, "ts", "event_type"), f"windows_{uuid.uuid4().hex}", state, "complete")
-    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    hours = rows.withColumn("start", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz"))
+    return ingest.totals(hours, ["start", "event_type"], fresh_path(spark, "windows"), state)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +27,29 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Files (path, content) below a folder that all executors share.
+
+    Each is written under a name of its own attempt and then moved, so a task that runs again leaves whole files."""
+
+    def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(folder)
+        task, made = TaskContext.get().taskAttemptId(), set()
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                at = f"{root}/{path}"
+                above = at.rpartition("/")[0]
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
+                with system.open_output_stream(f"{above}/.{task}.part") as out:
+                    out.write(content)
+                system.move(f"{above}/.{task}.part", at)
+        yield pd.DataFrame({"n": [0]})
+
+    files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(written, "n long").write.format("noop").mode("overwrite").save()
+
+
 def markdown(small: DataFrame) -> str:
     """A small result as a Markdown table; ``|`` is escaped."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|")

@@ -168,9 +168,12 @@ def test_json_differences(spark, small):
     assert content.json_diff_of({"a": [1, {"b": 2}], "c": 1, "t": True}, {"a": [1, {"b": "2"}, 3], "d": 1, "t": 1}) == ["/c: missing", "/d: extra", "/a: 2 and 3 items", "/a/1/b: differs", "/t: differs"]
 
 
-def test_blocks(spark):
+@pytest.mark.parametrize(("stretch", "sizes"), [(50_000, [0, 1, 10, 400, 999, 1000, 1500]), (7, [0, 1, 10, 400, 999, 1000, 1500]), (5, [0, 1, 30]), (3, [2000]), (4, [0])])
+def test_blocks(spark, monkeypatch, stretch, sizes):
+    """One chunk after another, against stretches that blocks run through, end in and begin with."""
+    monkeypatch.setattr(dedup, "STRETCH", stretch)
     rng = random.Random(8)
-    rows = [(f"c{i % 3}", i, rng.choice([0, 1, 10, 400, 999, 1000, 1500])) for i in range(4000)]
+    rows = [(f"c{i % 3 if i < 600 else 0}", i, rng.choice(sizes)) for i in range(1200)]
     want = []
     for cluster in ("c0", "c1", "c2"):
         at = None
@@ -182,3 +185,34 @@ def test_blocks(spark):
                 want.append(at)
     frame = spark.createDataFrame(rows, "cluster string, chunk long, len long").repartition(4)
     assert sorted(map(list, dedup.pack_blocks(frame, 1000).collect())) == want
+    assert dedup.pack_blocks(frame.limit(0), 1000).count() == 0
+
+
+def test_generations_grow_batch_by_batch(spark, tmp_path):
+    from granary.sources import sinks
+    from granary.streaming import ingest
+
+    for i, rows in enumerate([[("a", "x" * 10), ("b", "y" * 7)], [("a", "x" * 8 + "zz"), ("c", "")]]):
+        spark.createDataFrame(rows, "path string, content string").coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+        q = ingest.append_generations(ingest.arriving(spark, f"{tmp_path}/in", "path string, content string"), f"{tmp_path}/out", f"{tmp_path}/state", 4)
+        q.processAllAvailable()
+        q.stop()
+    assert sinks.committed(spark, f"{tmp_path}/out") == [1, 2]
+    for generation, want in ((1, {"a": "x" * 10, "b": "y" * 7}), (2, {"a": "x" * 8 + "zz", "b": "y" * 7})):
+        entries, members, blobs = sinks.read_container(spark, f"{tmp_path}/out", generation)
+        assert {r["path"]: r["size"] for r in entries.collect()} == {k: len(v) for k, v in want.items()} | ({"c": 0} if generation == 2 else {})
+        assert {r["path"]: r["content"] for r in sinks.extract(members, blobs).collect()} == want
+    assert blobs.count() == blobs.select("hash").distinct().count() == 5
+
+
+def test_streams_write_files_and_count_late_rows(spark, tmp_path):
+    from granary.streaming import ingest
+
+    rows = [(1, "a"), (9000, "a"), (2, "a"), (3, "b")]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "t long, k string").coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    stream = ingest.arriving(spark, f"{tmp_path}/in", "t long, k string")
+    assert {tuple(r) for r in ingest.totals(stream, ["k"], f"{tmp_path}/sums", f"{tmp_path}/s1").collect()} == {("a", 3), ("b", 1)}
+    timed = stream.withColumn("ts", F.timestamp_seconds(F.col("t") + 10**9))
+    new = ingest.drain(ingest.new_chunks(timed, "ts", "k"), f"{tmp_path}/new", f"{tmp_path}/s2")
+    assert sorted(r["k"] for r in new.collect()) == ["a", "b"]

@@ -16,7 +16,9 @@ def one(spark, values, kind, agg):
 
 def test_medians(spark):
     big = 2**53 + 1
-    assert [one(spark, v, "long", ops.median_whole) for v in ([1, 2], [big, big], [], [3, 1, 2], [2**63 - 1, 2**63 - 1])] == [1, big, 0, 2, 2**63 - 1]
+    groups = {"a": [1, 2], "b": [big, big], "c": [None], "d": [3, 1, 2, None], "e": [2**63 - 1, 2**63 - 1], "f": [-3, -2], None: [5, 5, 5, 7, 9]}
+    frame = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, x long")
+    assert {r["g"]: r["x"] for r in ops.medians_whole(frame, ["g"], ["x"]).collect()} == {"a": 1, "b": big, "c": 0, "d": 2, "e": 2**63 - 1, "f": -3, None: 5}
     assert [one(spark, v, "double", ops.median_double) for v in ([1.0, 2.0], [], [5.0])] == [1.5, 0.0, 5.0]
     assert [one(spark, v, "long", ops.median_if_all) for v in ([1, None], [1, 3])] == [None, 2.0]
 

@@ -22,7 +22,7 @@ def test_merkle_of_all_documents(spark, small):
             break
         level = [h(level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         at += 1
-    assert sorted(map(tuple, queries()["agg_merkle_all"](spark, small).collect())) == want
+    assert sorted(map(tuple, queries()["agg_merkle"](spark, small).collect())) == want
 
 
 def test_delta_of_all_neighbours(spark, small):
@@ -38,7 +38,7 @@ def test_manifests_of_all_documents(spark, small):
     for r in docs:
         total[r["lang"]] += r["n_chars"]
     want = sorted((r["lang"], total[r["lang"]], r["n_chars"], str(r["doc_id"]), r["source"]) for r in docs)
-    assert sorted(map(tuple, queries()["src_manifest_all"](spark, small).collect())) == want
+    assert sorted(map(tuple, queries()["src_manifest"](spark, small).collect())) == want
     sizes = [len(c["files"]) for r in measure_queries.manifest_rows(documents(spark, small), 7).collect() for c in json.loads(r["json"]).values()]
     assert max(sizes) <= 7 and sum(sizes) == len(docs)
 
