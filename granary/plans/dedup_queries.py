@@ -220,22 +220,44 @@ def _(spark, d):
 
 
 def zips(spark, d):
-    from granary.sources.archives import write_zip
+    """The folder of archives that the documents are packed to, and what was written."""
+    from granary.sources.archives import write_zips
+    from granary.store import fresh_path
 
-    name = F.concat(F.lit("part"), (E("doc_id") % 20).cast("string"), F.lit(".zip"))
-    return write_zip(table(spark, d, "documents").select(name.alias("archive"), F.concat("lang", F.lit("/"), E("doc_id").cast("string")).alias("member"), F.encode("text", "utf-8").alias("content")))
+    name, folder = F.concat(F.lit("part"), (E("doc_id") % 20).cast("string"), F.lit(".zip")), fresh_path(spark, "zips")
+    docs = table(spark, d, "documents").select(name.alias("archive"), F.concat("lang", F.lit("/"), E("doc_id").cast("string")).alias("member"), F.encode("text", "utf-8").alias("content"))
+    return folder, stored(write_zips(docs, folder), "zip-list")
 
 
 @query("snk_export", "SELECT 'part' || (doc_id % 20) || '.zip' AS path, count(*) AS members FROM documents GROUP BY 1")
 def _(spark, d):
-    from granary.sources.archives import read_archives
-
-    return read_archives(zips(spark, d)).groupBy(E("archive").alias("path")).agg(F.count("member").alias("members"))
+    return zips(spark, d)[1].select("path", "members")
 
 
 @query("src_foreign_read", "SELECT 'part' || (doc_id % 20) || '.zip' AS archive, lang || '/' || doc_id AS member, 'File' AS kind, octet_length(encode(text))::BIGINT AS size, sha256(text) AS digest FROM documents")
 def _(spark, d):
-    """Documents are packed to archives and read from them again."""
+    """Documents are packed to archives, whose files are read again."""
     from granary.sources.archives import read_archives
 
-    return read_archives(zips(spark, d), content=True).select("archive", "member", "kind", "size", F.sha2("content", 256).alias("digest"))
+    files = spark.read.format("binaryFile").load(f"{zips(spark, d)[0]}/*.zip").select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+    return read_archives(files, content=True).select("archive", "member", "kind", "size", F.sha2("content", 256).alias("digest"))
+
+
+VOLUMES = "SELECT 'd' || doc_id % 50 || CASE doc_id % 4 WHEN 0 THEN '.7z.' || lpad((doc_id // 50 + 1)::VARCHAR, 3, '0') WHEN 1 THEN '.part' || (doc_id // 50 + 1) || '.rar' WHEN 2 THEN CASE WHEN doc_id < 50 THEN '.zip' ELSE '.z' || lpad((doc_id // 50)::VARCHAR, 2, '0') END ELSE CASE WHEN doc_id < 50 THEN '.RAR' ELSE '.r' || lpad((doc_id // 50 - 1)::VARCHAR, 2, '0') END END AS path, doc_id, doc_id % 50 AS stem, doc_id % 4 AS k, doc_id // 50 AS nth FROM documents WHERE doc_id // 50 < 90 AND doc_id % 37 <> 0"
+
+
+@query("src_volumes", f"WITH v AS ({VOLUMES}), n AS (SELECT *, CASE WHEN k = 2 AND nth = 0 THEN 1000 ELSE nth END AS place FROM v), s AS (SELECT stem, k, count(*) AS n, min(nth) AS low, max(nth) AS high FROM n GROUP BY stem, k) SELECT n.path, row_number() OVER (PARTITION BY n.stem, n.k ORDER BY place) AS volume, CASE WHEN s.k = 2 THEN s.low = 0 AND s.high = s.n - 1 ELSE s.low = 0 AND s.high = s.n - 1 END AS complete FROM n JOIN s ON s.stem = n.stem AND s.k = n.k WHERE s.n > 1")
+def _(spark, d):
+    """Volumes of sets in four ways of naming; some are missing."""
+    from granary.sources.archives import volume_sets
+
+    docs, nth = table(spark, d, "documents").where("doc_id < 4500 and doc_id % 37 <> 0"), F.floor(E("doc_id") / 50)
+    padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    name = (
+        F.when(E("doc_id") % 4 == 0, F.concat(F.lit(".7z."), padded(nth + 1, 3)))
+        .when(E("doc_id") % 4 == 1, F.concat(F.lit(".part"), (nth + 1).cast("string"), F.lit(".rar")))
+        .when(E("doc_id") % 4 == 2, F.when(nth == 0, ".zip").otherwise(F.concat(F.lit(".z"), padded(nth, 2))))
+        .otherwise(F.when(nth == 0, ".RAR").otherwise(F.concat(F.lit(".r"), padded(nth - 1, 2))))
+    )
+    files = docs.select(F.concat(F.lit("d"), (E("doc_id") % 50).cast("string"), name).alias("path"))
+    return volume_sets(files).select("path", F.col("volume").cast("long").alias("volume"), "complete")
