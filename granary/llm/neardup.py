@@ -23,7 +23,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +35,8 @@ ORDERS, DEPTH = 24, 4
 MINIMA = ORDERS * DEPTH
 #: Nodes of a run, of a cluster that one task settles, and how often a larger cluster is dealt into chunks.
 RUN, CLUSTER, DEALS = 128, 128, 3
+#: Shingles that a posting carries of those before it; counters of shingles, and of a block of them.
+RECENT, COUNTERS, COUNTER_BLOCK = 32, 1 << 20, 1 << 12
 #: How far below the threshold, in standard deviations, a signature's estimate may lie.
 MARGIN = 4.0
 
@@ -278,39 +279,91 @@ def with_sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str, id_c
     return stored(found.mapInArrow(made, schema), "dup-sets")
 
 
+def commonness(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, counted in ``COUNTERS`` slots that many may share: never less than the truth.
+
+    Tasks count for themselves and hand on blocks of counters; what reaches the driver is one array of fixed size.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in batch.column("shingles"):
+                np.add.at(total, slots(np.frombuffer(s.as_buffer(), np.uint64)), 1)
+        blocks = total.reshape(-1, COUNTER_BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "counts"])
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum((np.frombuffer(c, np.int64) for c in frame["counts"]), np.zeros(COUNTER_BLOCK, np.int64))
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.tobytes()]})
+
+    schema = "block int, counts binary"
+    out = np.zeros(COUNTERS, np.int64)
+    for row in sets.select("shingles").mapInArrow(counted, schema).groupBy("block").applyInPandas(summed, schema).collect():
+        out[row["block"] * COUNTER_BLOCK :][:COUNTER_BLOCK] = np.frombuffer(row["counts"], np.int64)
+    return out
+
+
+def slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places, from 1, and shingles of a set's prefix, the rarest first, without those that no other set has."""
+    c = counts[slots(shingles)]
+    order = np.lexsort((shingles, c))
+    n = len(order)
+    order = order[: n - -(-n * threshold // 100) + 1]  # enough for a partner of the least size
+    shared = np.flatnonzero(c[order] > 1)
+    return shared + 1, shingles[order[shared]]
+
+
 def rare_pairs(sets: DataFrame, threshold: int) -> DataFrame:
     """All pairs (a, b) of rows (rid, label, size, shingles) of different labels that may be linked; stored.
 
-    Shingles are put in one order, the rarest first.  Sets x and y have an intersection of at least
+    Shingles are put in one order, those of the least counts first.  Sets x and y have an intersection of at least
     m = ceil(t * (|x| + |y|) / (100 + t)) if they are linked, and then share a shingle within the first |x| - m + 1 of
-    x and the first |y| - m + 1 of y.  Shingles that one row alone has come first and need no partner; those that
-    only rows of one label have there make no pair.  Of the others the rows outside each shingle's commonest label meet
-    all its rows, in a join of two fresh shuffles, so that a hot shingle can be split.
+    x and the first |y| - m + 1 of y.  That holds in any order; counts only make it a short search.  Shingles that one
+    row alone has need no partner; those that only rows of one label have there make no pair.  Of the others the rows
+    outside each shingle's commonest label meet all its rows, in a join of two fresh shuffles, so that a hot shingle
+    can be split.  Each row carries the ``RECENT`` shingles before it, so that a pair is seldom made more than once.
     """
+    shared = sets.sparkSession.sparkContext.broadcast(commonness(sets))  # of fixed size
+    columns = ["rid", "label", "size", "place", "recent"]
 
-    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                each = [np.frombuffer(s, np.int64) for s in part.column("shingles").to_pylist()]
-                owner = pa.array(np.repeat(np.arange(len(each)), [len(s) for s in each]))
-                columns = [part.column(c).take(owner) for c in ("rid", "label", "size")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(each) if each else np.empty(0, np.int64))], names=["rid", "label", "size", "shingle"])
-
-    each = sets.select("rid", "label", "size", "shingles").mapInArrow(spelt, "rid long, label long, size long, shingle long")
-    counts = each.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).where("n > 1")
-    found = each.join(stored(counts, "dup-shingles"), "shingle")
-    of_row = W.partitionBy("rid")
-    place = F.col("size") - F.count("*").over(of_row) + F.row_number().over(of_row.orderBy("n", "shingle"))
-    most = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1  # for a partner of the least size
-    postings = stored(found.withColumn("place", place).where((F.col("place") <= most) & F.col("mixed")).select("shingle", "rid", "label", "size", "place"), "dup-postings")
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                owner, places, posts, recent, ends = [], [], [], [], [0]
+                for i, s in enumerate(part.column("shingles")):
+                    place, own = rarest(np.frombuffer(s.as_buffer(), np.uint64), counts, threshold)
+                    owner.append(np.full(len(own), i))
+                    places.append(place)
+                    posts.append(own.view(np.int64))
+                    for k in range(len(own)):
+                        recent.append(posts[-1][max(0, k - RECENT) : k])
+                        ends.append(ends[-1] + len(recent[-1]))
+                owner, empty = pa.array(np.concatenate(owner)), np.empty(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([empty, *recent])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([empty, *posts])), *[part.column(c).take(owner) for c in ("rid", "label", "size")], pa.array(np.concatenate([empty, *places])), lists],
+                    names=["shingle", *columns],
+                )
+
+    rows = sets.select("rid", "label", "size", "shingles").mapInArrow(posted, "shingle long, rid long, label long, size long, place long, recent array<long>")
+    postings = stored(rows, "dup-postings")
     labels = postings.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle")
     main = labels.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    outside = stored(postings.join(main, "shingle").where("label <> main").drop("main"), "dup-outside")
-    x, y = outside.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("rid", "label", "size", "place")]), postings.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("rid", "label", "size", "place")])
+    outside = stored(postings.join(stored(main, "dup-mains", SHARE), "shingle").where("label <> main").drop("main"), "dup-outside")
+    x, y = (side.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in columns]) for side, name in ((outside, "x"), (postings, "y")))
     need = F.ceil((F.col("x_size") + F.col("y_size")) * threshold / (100 + threshold))
     fits = (F.col("x_place") <= F.col("x_size") - need + 1) & (F.col("y_place") <= F.col("y_size") - need + 1) & (F.least("x_size", "y_size") >= need)
-    pairs = x.join(y, "shingle").where((F.col("x_label") != F.col("y_label")) & fits)
+    # A pair is made at the first shingle that both have: what stands just before tells most others.
+    first = ~F.arrays_overlap("x_recent", "y_recent")
+    pairs = x.join(y, "shingle").where((F.col("x_label") != F.col("y_label")) & fits & first)
     return stored(pairs.select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct(), "dup-pairs")
 
 
@@ -335,7 +388,7 @@ def confirmed_edges(sets: DataFrame, threshold: int) -> DataFrame:
         return edges
     chunk = F.pmod(F.xxhash64(F.col("rid"), F.col("deal")), F.ceil(F.col("n") / (CLUSTER // 2))).cast("int")
     dealt = sets.where(F.col("n") > CLUSTER).withColumn("deal", F.explode(F.sequence(F.lit(1), F.lit(DEALS)))).withColumn("chunk", chunk)
-    first = stored(edges.union(grouped(dealt, ["cluster", "deal", "chunk"], threshold)), "dup-first", SHARE)
+    first = stored(edges.union(grouped(dealt, ["cluster", "deal", "chunk"], threshold)), "dup-first")
     labels = stored(components(first), "dup-labels", SHARE).withColumnRenamed("node", "rid")
     labelled = rest.join(labels, "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"), (F.octet_length("shingles") / 8).cast("long").alias("size"), "shingles")
     labelled = stored(labelled, "dup-labelled")

@@ -89,6 +89,49 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2)
 
 
+def test_pages_that_share_most_of_their_words(spark, monkeypatch):
+    """Boilerplate below the threshold in regions and clusters of many runs: only planted copies are paired."""
+    made = []
+    pairs_of = neardup.rare_pairs
+    monkeypatch.setattr(neardup, "rare_pairs", lambda *a: made.append(pairs_of(*a)) or made[-1])
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    common, rows = [word() for _ in range(173)], []
+    for i in range(900):
+        own = [word() for _ in range(37)]
+        rows.append((2 * i, " ".join(own + common)))
+        if i % 20 == 0:  # 18 of the 37 words anew: 0.83 alike
+            rows.append((2 * i + 1, " ".join(own[:19] + [word() for _ in range(18)] + common)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = neardup.near_duplicates(docs, shingle=2).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i - i % 2) for i, _ in rows}
+    assert sum(p.count() for p in made) <= 3 * 45
+
+
+def test_regions_beyond_a_run_lose_no_pair(spark, monkeypatch):
+    """At the constants in use: half of every text is shared, so regions hold several hundred nodes."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    common, rows = [word() for _ in range(90)], []
+    for i in range(3000):
+        own = [word() for _ in range(60)]
+        rows.append((2 * i, " ".join(common + own)))
+        if i % 15 == 0:
+            rows.append((2 * i + 1, " ".join(common + own[:44] + [word() for _ in range(14)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = neardup.profiles(docs, 2, "text", "doc_id")
+    assert neardup.regions(nodes.where("set_id is not null")).where(F.col("n") > neardup.RUN).count() > 0
+    compare(docs, 2)
+
+
+def test_names_of_input_columns_are_left_alone(spark):
+    rows = [(1, "a b c d e f g", "x", 1), (2, "a b c d e f g", "y", 2), (None, "", None, 3), (3, None, "z", 4), (3, None, "z", 5), (4, "k l m", "w", 6), (4, "k l m", "w", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, granary_hash string, granary_id long")
+    left = neardup.deduplicated(docs)
+    assert left.columns == docs.columns
+    assert sorted(str((r["doc_id"], r["granary_hash"])) for r in left.collect()) == sorted(["(1, 'x')", "(None, None)", "(3, 'z')", "(3, 'z')", "(4, 'w')"])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + rng.randrange(1, 99)) for _ in range(80)] + [(5000 - i, 5001 - i) for i in range(50)] + [(7, 7)]
