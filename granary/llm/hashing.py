@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at once.
-SLICE = 1 << 20
+#: Bytes of text hashed at once, and of a piece of it that is worked on at a time.
+SLICE, PIECE = 1 << 20, 1 << 20
 
 
 def random_words(n: int, seed: int) -> np.ndarray:
@@ -33,27 +33,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of texts laid end to end: 64-bit hashes, starts, lengths, and the text number of each.
 
-    With ``lower``, A-Z count as a-z.
+    With ``lower``, A-Z count as a-z.  A word's hash is a sum over its bytes, so the bytes are gone through in pieces, which
+    bounds the memory that a very long text needs beside its words; a word cut by a piece's end goes on in the next.
     """
-    if not len(data):
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-    letter = ~_SPACE[data]
-    before, after = np.empty_like(letter), np.empty_like(letter)
-    before[0], before[1:] = False, letter[:-1]
-    after[-1], after[:-1] = False, letter[1:]
-    bounds = ends[ends < len(data)]
-    before[bounds] = False
-    after[bounds[bounds > 0] - 1] = False
-    starts = np.flatnonzero(letter & ~before)
-    if not len(starts):
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-    lengths = np.flatnonzero(letter & ~after) + 1 - starts
-    # Only the words' own bytes, each times a power of its place in the word.
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), FACTOR, np.uint64))
-    inner = data[letter]
-    values = _LETTER[_LOWER[inner] if lower else inner] * powers[place]
-    return mixed(np.add.reduceat(values, np.cumsum(lengths) - lengths)), starts, lengths, np.searchsorted(ends, starts, "right")
+    raws, begins, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(data), PIECE):
+        piece = data[at : at + PIECE]
+        letter = ~_SPACE[piece]
+        inner = np.flatnonzero(letter)
+        if not len(inner):
+            continue
+        begin = letter.copy()
+        begin[1:] &= ~letter[:-1]
+        bounds = ends[np.searchsorted(ends, at) : np.searchsorted(ends, at + len(piece))] - at
+        begin[bounds] = letter[bounds]
+        goes_on = at > 0 and letter[0] and not _SPACE[data[at - 1]] and not (len(bounds) and bounds[0] == 0)
+        starts = np.flatnonzero(begin)
+        # Only the words' own bytes, each times a power of its place in the word.
+        first = np.searchsorted(inner, starts)
+        lengths = np.diff(np.append(first, len(inner)))
+        powers = np.cumprod(np.append(np.uint64(1), np.full(int(lengths.max()) - 1, FACTOR, np.uint64)))
+        own = piece[inner]
+        values = _LETTER[_LOWER[own] if lower else own] * powers[np.arange(len(inner)) - np.repeat(first, lengths)]
+        raw = np.add.reduceat(values, first)
+        if goes_on:
+            shifted = int(raw[0]) * pow(int(FACTOR), int(sizes[-1][-1]), 1 << 64)
+            raws[-1][-1] = (int(raws[-1][-1]) + shifted) % (1 << 64)
+            sizes[-1][-1] += lengths[0]
+            raw, starts, lengths = raw[1:], starts[1:], lengths[1:]
+        if len(raw):
+            raws.append(raw)
+            begins.append(starts + at)
+            sizes.append(lengths)
+    starts = np.concatenate(begins)
+    return mixed(np.concatenate(raws)), starts, np.concatenate(sizes), np.searchsorted(ends, starts, "right")
 
 
 def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

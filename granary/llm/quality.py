@@ -13,23 +13,28 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import modest_batches
+from granary.llm.common import modest_batches, stored
+from granary.llm.hashing import slices, words_of
 
-#: Bounds of the training sample: labelled rows, and bytes of their texts.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24_000_000
+#: Bound of the training sample, and the tasks that go through it.
+SAMPLE_ROWS, SAMPLE_TASKS = 6000, 4
 WORDS, SHAPES, DIM, ONES, REACH = 1 << 15, 1 << 10, 48, 6, 2
+BUCKETS = WORDS + SHAPES
+WIDE = 2 * DIM + 2
 HIDDEN, ROUNDS, BATCH, RATE, DECAY = 32, 40, 64, 3e-3, 1e-4
-SAME = WORDS + SHAPES  # the bucket that marks a word equal to the one before
+#: Words whose vectors are gathered at once.
+GATHERED = 1 << 15
 SEED = 20240607
 
 
-class Buckets:
-    """Words to bucket numbers: one for the word without its edges, one for its shape."""
+class Codes:
+    """Words to bucket numbers: one for the word without its edges, one for its shape.  A bounded memory of words
+    holds what was computed before."""
 
     def __init__(self, room: int = 300_000):
         self.room, self.known = room, {}
@@ -42,72 +47,75 @@ class Buckets:
         raw = lambda s: zlib.crc32(s.encode("utf-8", "replace"))
         return raw(bare) % WORDS * SHAPES + raw(shape) % SHAPES
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words, known = (text or "").split(), self.known
-        for w in set(words).difference(known):
-            known[w] = self.code(w)
-        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every word of texts laid end to end: its two buckets, and its text's number."""
+        hashes, starts, lengths, text = words_of(data, ends, lower=False)
+        different, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        known, codes = self.known, np.empty(len(different), np.int64)
+        for i, h in enumerate(different.tolist()):
+            c = known.get(h)
+            if c is None:
+                at = starts[first[i]]
+                c = known[h] = self.code(data[at : at + lengths[first[i]]].tobytes().decode("utf-8", "replace"))
+            codes[i] = c
         if len(known) > self.room:
             known.clear()
-        return out
-
-
-def ids(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Word buckets, shape buckets, and how many words repeat the one before."""
-    return codes // SHAPES, WORDS + codes % SHAPES, int((codes[1:] == codes[:-1]).sum())
+        word, shape = np.divmod(codes, SHAPES)
+        return word[of], WORDS + shape[of], text
 
 
 def index_vectors() -> np.ndarray:
     """Sparse ternary vectors, the same in every run."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((SAME + 1, DIM), np.float32)
-    rows = np.arange(SAME + 1)
+    out = np.zeros((BUCKETS, DIM), np.float32)
+    rows = np.arange(BUCKETS)
     for _ in range(ONES):
-        out[rows, rng.integers(0, DIM, SAME + 1)] += rng.choice(np.array([-1, 1], np.float32), SAME + 1)
+        out[rows, rng.integers(0, DIM, BUCKETS)] += rng.choice(np.array([-1, 1], np.float32), BUCKETS)
     return out
 
 
-def word_vectors(sample: list[np.ndarray]) -> np.ndarray:
-    """Weighted vector of each bucket, with its weight as the last column."""
-    index = index_vectors()
-    context = np.zeros((SAME + 1, DIM))
-    counts = np.zeros(SAME + 1)
-    size = WORDS * SHAPES
-    for part in np.array_split(np.arange(len(sample)), max(1, len(sample) // 100)):
-        # A run of other buckets keeps the documents apart.
-        joined = np.concatenate([np.append(sample[i], np.full(REACH, size)) for i in part]) if len(part) else np.empty(0, np.int64)
-        real = joined < size
-        word, shape = np.where(real, joined // SHAPES, 0), np.where(real, WORDS + joined % SHAPES, 0)
-        same = np.append(False, joined[1:] == joined[:-1]) & real
-        counts += np.bincount(word[real], minlength=SAME + 1) + np.bincount(shape[real], minlength=SAME + 1)
-        counts[SAME] += same.sum()
+def add_contexts(word: np.ndarray, shape: np.ndarray, text: np.ndarray, index: np.ndarray, context: np.ndarray, counts: np.ndarray) -> None:
+    """Add to each bucket's context the index vectors of the words up to ``REACH`` before and after, and count it."""
+    for at in range(0, len(word), GATHERED):
+        low, high = max(0, at - REACH), min(len(word), at + GATHERED + REACH)
+        own, t = index[word[low:high]] + index[shape[low:high]], text[low:high]
+        near = np.zeros_like(own)
         for step in range(1, REACH + 1):
-            for a, b in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-                both = real[a] & real[b]
-                near = index[word[b][both]] + index[shape[b][both]]
-                for target in (word[a][both], shape[a][both]):
-                    for d in range(DIM):
-                        context[:, d] += np.bincount(target, near[:, d], SAME + 1)
+            together = (t[step:] == t[:-step])[:, None]
+            near[:-step] += own[step:] * together
+            near[step:] += own[:-step] * together
+        inside = slice(at - low, min(len(word), at + GATHERED) - low)
+        for bucket in (word[low:high][inside], shape[low:high][inside]):
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+            context[bucket[order][first]] += np.add.reduceat(near[inside][order], first, axis=0, dtype=np.float64)
+            counts += np.bincount(bucket, minlength=BUCKETS)
+
+
+def word_vectors(context: np.ndarray, counts: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Weighted vector of each bucket, with its weight as the last column."""
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     vectors = context / np.maximum(norm, 1e-9) + index / np.sqrt(ONES)
     weight = 1e-3 / (1e-3 + counts / max(1.0, counts.sum()))
-    # Shapes and the mark are few and frequent, and all the more telling for it.
+    # Shapes are few and frequent, and all the more telling for it.
     weight[WORDS:] = 1.0
     return np.hstack([vectors * weight[:, None], weight[:, None]]).astype(np.float32)
 
 
-def pooled(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The mean word vector, the mean shape vector, and the share of repeats; zeros without words."""
-    if not len(codes):
-        return np.zeros(2 * DIM + 2, np.float32)
-    word, shape, same = ids(codes)
+def pooled(word: np.ndarray, shape: np.ndarray, text: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """Of each of ``n`` texts the mean word vector, the mean shape vector, and of its words the shares that repeat the one
+    before and that are different; zeros without words."""
     out = []
-    for kind in (word, shape):
-        # Summed by bucket, so that a long document costs no more memory than its distinct buckets.
-        seen, n = np.unique(kind, return_counts=True)
-        total = n.astype(np.float32) @ table[seen]
-        out.append(total[:DIM] / max(float(total[DIM]), 1e-9))
-    return np.concatenate([*out, [same / len(codes), len(set(word.tolist())) / len(codes)]]).astype(np.float32)
+    for bucket in (word, shape):
+        total = np.zeros((n, DIM + 1))
+        for at in range(0, len(bucket), GATHERED):
+            t = text[at : at + GATHERED]
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            total[t[first]] += np.add.reduceat(table[bucket[at : at + GATHERED]], first, axis=0, dtype=np.float64)
+        out.append(total[:, :DIM] / np.maximum(total[:, DIM:], 1e-9))
+    same = (word[1:] == word[:-1]) & (shape[1:] == shape[:-1]) & (text[1:] == text[:-1])
+    count = lambda t: np.bincount(t, minlength=n) / np.maximum(np.bincount(text, minlength=n), 1)
+    return np.column_stack([*out, count(text[1:][same]), count(np.unique(text * WORDS + word) // WORDS)])
 
 
 @dataclass
@@ -166,11 +174,14 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Learn from at most ``sample_rows`` labelled documents of at most ``sample_bytes`` of text.
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Learn from at most ``sample_rows`` labelled documents, whole, however long they are.
 
     The sample is the labelled ids, not held out, that come first by hash; ids with contradicting or null
-    labels are left out.  It fits the model and nothing else, and is small enough for the driver.
+    labels are left out, and rows without words teach nothing about words.  Repeated rows of an id all count.
+    Without labels, or with those of one kind, every score is the share of good ones.  The texts stay on the
+    executors: what reaches the driver are the ids, a matrix of fixed size from each of a few tasks, and a row of
+    features for each text.
     """
     modest_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -181,22 +192,47 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         .where("low = high")
     )
     chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", F.col("low").cast("double").alias("y")).collect()
-    texts, y, total = [], [], 0
-    if chosen:
-        named = spark.createDataFrame(chosen, "doc_id long, y double")
-        wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(named), "doc_id")
-        sized = wanted.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "text")
-        for row in sized.select("text", "y").toLocalIterator():
-            total += len(row["text"].encode())
-            if total > sample_bytes:
-                break
-            texts.append(row["text"])
-            y.append(row["y"])
-    buckets = Buckets()
-    sample = [buckets(t) for t in texts]
-    table = word_vectors(sample)
-    x = np.array([pooled(c, table) for c in sample], np.float64).reshape(-1, 2 * DIM + 2)
-    return network(x, np.array(y, float), table)
+    index = index_vectors()
+    context, counts = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS)
+    if not chosen:
+        return network(np.zeros((0, WIDE)), np.zeros(0), word_vectors(context, counts, index))
+    named = spark.createDataFrame(chosen, "doc_id long, y double")
+    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(named), "doc_id")  # at most sample_rows
+    sample = stored(wanted.repartition(SAMPLE_TASKS, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text"), "quality-sample")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, sums, seen, codes = index_vectors(), np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS), Codes()
+        for batch in batches:
+            for _, _, data, ends in slices(batch.column("text")):
+                add_contexts(*codes(data, ends), vectors, sums, seen)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["context", "counts"])
+
+    for row in sample.select("text").mapInArrow(contexts, "context binary, counts binary").toLocalIterator():
+        context += np.frombuffer(row["context"], np.float32).reshape(BUCKETS, DIM)
+        counts += np.frombuffer(row["counts"])
+    table = word_vectors(context, counts, index)
+    rows = with_features(sample.select("doc_id", "y", F.xxhash64("text").alias("h"), "text"), table).drop("text").orderBy("doc_id", "h").collect()
+    x = np.array([np.frombuffer(r["x"]) for r in rows]).reshape(-1, WIDE)
+    return network(x, np.array([r["y"] for r in rows], float), table)
+
+
+def with_features(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """``rows`` with their ``text``'s pooled vectors as x, doubles in a binary."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    schema = T.StructType([*rows.schema.fields, T.StructField("x", T.BinaryType())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            x = features(batch.column("text"), codes, shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v.tobytes() for v in x], pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(made, schema)
+
+
+def features(texts: pa.Array, codes: Codes, table: np.ndarray) -> np.ndarray:
+    parts = [pooled(*codes(data, ends), last - first, table) for first, last, data, ends in slices(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, WIDE))
 
 
 def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -211,22 +247,21 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), text_col
     rows = docs.select(
         F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep]
     )
-    kept = [T.StructField(f"kept_{c}", docs.schema[c].dataType) for c in keep]
-    schema = T.StructType(
-        [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *kept]
-    )
+    types = [("doc_id", docs.schema[id_col].dataType), ("held_out", T.BooleanType()), ("score", T.DoubleType()), ("predicted", T.IntegerType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in types] + [T.StructField(f"kept_{c}", docs.schema[c].dataType) for c in keep])
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        learned, buckets = shared.value, Buckets()
-        for frame in frames:
-            x = np.array([pooled(buckets(t), learned.table) for t in frame["text"]], np.float64).reshape(-1, 2 * DIM + 2)
-            score = learned.score(x)
-            yield frame.drop(columns="text").assign(score=score, predicted=(score >= 0.5).astype(np.int32))[schema.names]
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned, codes = shared.value, Codes()
+        for batch in batches:
+            score = learned.score(features(batch.column("text"), codes, learned.table))
+            made = {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in schema.names], names=schema.names)
 
-    return rows.mapInPandas(scored, schema)
+    return rows.mapInArrow(scored, schema)
 
 
 def reject(docs: DataFrame, model: Model, **how) -> DataFrame:
-    """The documents of predicted good quality, with their columns as they were."""
+    """The documents of predicted good quality, with their columns as they were, whatever their names; rows as in
+    :func:`classify`, null and empty texts among them."""
     columns = docs.columns
     return classify(docs, model, keep=tuple(columns), **how).where("predicted = 1").select(*[F.col(f"kept_{c}").alias(c) for c in columns])

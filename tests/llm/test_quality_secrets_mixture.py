@@ -163,6 +163,23 @@ def test_mixture_of_nothing(nothing, edges):
     assert [(r["taken"], r["target"]) for r in empty] == [(0, 0.0)] * 3
 
 
+def test_rows_of_one_id_are_dealt_apart(spark):
+    """A third of all rows without an id: the ranges of hashes stay even, and the result is as for any ids."""
+    rows = [(None if i % 3 == 0 else i, " ".join(["w"] * (1 + i % 7)) + f" t{i}", f"s{i % 2}", "x") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key string").repartition(4)
+    found = mixture.mix(docs).collect()
+    sizes = {f"s{k}": sum(2 + i % 7 for i in range(k, 3000, 2)) for k in (0, 1)}
+    want = shares(sizes)
+    assert sum(r["taken"] for r in found) == pytest.approx(sum(want.values()), abs=1)
+    assert sorted(map(str, found)) == sorted(map(str, mixture.mix(docs.repartition(7)).collect()))
+    drawn = mixture.draw(docs, position_col="at")
+    assert drawn.columns == [*docs.columns, "at"]
+    at = [r["at"] for r in drawn.collect()]
+    assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1 and len(at) > 2000
+    with pytest.raises(ValueError):
+        mixture.draw(docs, position_col="key")
+
+
 def test_drawn_rows_are_in_order_of_training(spark, small, tmp_path):
     """Read file by file, the stored stage goes through the copies by position."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
