@@ -57,10 +57,10 @@ def span_table(data: np.ndarray, ends: np.ndarray, least_sentences: int, least_w
     hashes, starts, lengths, text = words_of(data, ends)
     if not len(hashes):
         return {}
-    lines = np.cumsum(data == 10)
+    lines = np.flatnonzero(data == 10)
     stops = starts + lengths
     last = np.append(text[1:] != text[:-1], True)
-    broken = np.append(lines[starts[1:]] > lines[stops[:-1] - 1], True)
+    broken = np.append(np.searchsorted(lines, starts[1:]) > np.searchsorted(lines, stops[:-1]), True)
     closed = last | broken | _STOP[data[stops - 1]]
     if whole:
         closed[content_cuts(hashes, text, closed)] = True
@@ -83,9 +83,10 @@ def span_table(data: np.ndarray, ends: np.ndarray, least_sentences: int, least_w
         n, final = np.divmod(pairs, len(closing))
     a, b = opening[n], closing[final] + 1
     out = {"text": owner[n], "first": n - first_of[n], "last": final - first_of[n], "words": b - a}
-    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    base = points[np.append(0, ends[:-1])[out["text"]]]
-    out["start"], out["stop"] = points[starts[a]] - base, points[stops[b - 1]] - base
+    follows = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that begin no character
+    points = lambda at: at - np.searchsorted(follows, at)
+    base = points(np.append(0, ends[:-1])[out["text"]])
+    out["start"], out["stop"] = points(starts[a]) - base, points(stops[b - 1]) - base
     for i, factor in enumerate(_BASES):
         # Prefix sums of the words times powers of an odd number, whose inverse takes the start out again.
         powers = np.cumprod(np.append(np.uint64(1), np.full(len(hashes) - 1, factor, np.uint64)))
