@@ -80,20 +80,21 @@ def mix(
     id; the mix passes over them in that order until the target is met, cutting the last document, so a
     source's taken words equal its rounded target.  A null text has size 0, null is a source of its own that
     sorts last, empty documents are never taken, repeated rows count each, an empty table gives no rows.
+    Sources are few beside documents: the windows over them run in one task.  The order is by id and text, so
+    rows of one id, null ids among them, are dealt apart unless their texts agree too.
     """
     text, ident = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    key = F.md5(ident)
+    key = F.md5(F.concat(ident, F.lit("/"), F.md5(text)))
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("sk"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         key.alias("key"),
-        F.xxhash64(text).alias("tie"),
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
     # Sizes are counted once; with texts to carry they are read again rather than stored twice.
-    small = stored(base.select("doc_id", "source", "sk", "size", "key", "tie"), "mix-sizes")
+    small = stored(base.select("doc_id", "source", "sk", "size", "key"), "mix-sizes")
     rows = (base if keep else small).drop("source")
     sums = small.groupBy("sk", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     aims = stored(targets(sums, weights, slopes, most), "mix-targets")
@@ -110,7 +111,7 @@ def mix(
         .join(aims, "sk")
         .select("sk", "fine", (F.col("left_of") + F.col("inner")).alias("start"), "source_size", "g", "target")
     )
-    local = W.partitionBy("sk", "fine").orderBy("key", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    local = W.partitionBy("sk", "fine").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("fine", fine).join(stored(starts, "mix-ranges"), ["sk", "fine"]).withColumn(
         "start", F.col("start") + F.coalesce(F.sum("size").over(local), F.lit(0))
     )
@@ -140,22 +141,29 @@ def mix(
     return stored(timed, "mix-timed").orderBy(F.col("position").asc_nulls_last(), "key").drop("key", "part")
 
 
-def draw(docs: DataFrame, **how) -> DataFrame:
+def draw(docs: DataFrame, position_col: str | None = None, **how) -> DataFrame:
     """The mixed corpus itself: the documents' columns, a row per copy, range-sorted in order of training.
 
     Copies are whole here: the one document that the mix would cut is taken if at least half of it is wanted.
+    ``position_col`` names a column for each copy's position in training, from 0 to 1; without it the order of the
+    rows alone tells.  Null and empty texts hold no words and are never drawn; a null id or source is like any
+    other; repeated rows are drawn each; ties, which are equal in id and text, stand in any order; an empty
+    table gives no rows; columns of any name are carried along.
     """
     columns = docs.columns
+    if position_col in columns:
+        raise ValueError(f"{position_col} is a column of the documents")
     mixed = mix(docs, keep=tuple(columns), **how)
     n = (F.col("taken") - F.col("part")) / F.greatest("size", F.lit(1)) + (F.col("part") * 2 >= F.greatest("size", F.lit(1))).cast("int")
     each = mixed.withColumn("n", n.cast("int")).where("n > 0").withColumn("at", F.explode(F.slice("positions", F.lit(1), F.col("n"))))
-    return each.orderBy("at", "key").select(*[F.col(f"kept_{c}").alias(c) for c in columns])
+    position = [F.col("at").alias(position_col)] if position_col else []
+    return each.orderBy("at", "key").select(*[F.col(f"kept_{c}").alias(c) for c in columns], *position)
 
 
 #: The report in DuckDB's SQL.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS sk, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+                  md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))) AS key FROM documents),
 s0 AS (SELECT sk, source, sum(size)::BIGINT AS source_size FROM d GROUP BY sk, source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS pick FROM s0),
 s2 AS (SELECT *, CASE pick WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, CASE pick WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS g FROM s1),
@@ -166,7 +174,7 @@ s4 AS (SELECT *, (total - caps) * w > 3 * source_size * (all_w - ws) AS capped F
 s5 AS (SELECT *, total - coalesce(sum(3 * source_size) FILTER (WHERE capped) OVER (), 0) AS rest, sum(w) FILTER (WHERE NOT capped) OVER () AS rest_w FROM s4),
 t AS (SELECT sk, source_size, g, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (rest * w)::DOUBLE / rest_w::DOUBLE END AS target FROM s5),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.g, floor(t.target + 0.5)::BIGINT AS aim,
-   coalesce(sum(d.size) OVER (PARTITION BY d.sk ORDER BY d.key, d.size, hash(d.key) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+   coalesce(sum(d.size) OVER (PARTITION BY d.sk ORDER BY d.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
    FROM d JOIN t USING (sk)),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN aim // source_size ELSE 0 END AS passes FROM p),
 r AS (SELECT *, greatest(0, least(size, aim - passes * source_size - start)) AS part FROM q),
