@@ -22,7 +22,7 @@ from granary.llm import tokens
 from granary.llm.common import fresh_path, modest_batches, stored
 
 WINDOW = 4096
-#: Third lengths tried for each first length, steps of the solver, and the bit where ranks end in a key.
+#: Second lengths tried for each first length of a triple, steps of the solver, and the bit where ranks end in a key.
 PARTNERS, STEPS, RANK = 24, 200, 44
 
 
@@ -30,7 +30,11 @@ PARTNERS, STEPS, RANK = 24, 200, 44
 
 
 def combinations(hist: np.ndarray, window: int) -> np.ndarray:
-    """Pairs and triples of lengths that fill the window, as rows of three (0: none), without repeats."""
+    """Pairs and triples of lengths that fill the window, as rows of three (0: none), without repeats.
+
+    All pairs are tried; of triples those whose second length is one of the ``PARTNERS`` commonest.  That bounds the
+    system to solve and loses no document: what no combination takes goes into the stream.
+    """
     have = np.flatnonzero(hist)
     common = have[np.argsort(-hist[have], kind="stable")][:PARTNERS]
     a, b = np.meshgrid(have, common, indexing="ij")
@@ -163,11 +167,10 @@ def make_plan(hist: np.ndarray, first: int = 0, window: int = WINDOW) -> Plan:
 
 def tokenized(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A stored table of rid, doc_id, n and ids (two or four bytes each) of every row."""
-    path = vocabulary or tokens.vocabulary_path()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path)
+        encode = tokens.encoder(vocabulary)
         width = 2 if max(end_id, encode.tokenizer.get_vocab_size(with_added_tokens=True)) < 1 << 16 else 4
         for batch in batches:
             for first, ids, ends in encode(batch.column("text"), end_id):

@@ -26,6 +26,8 @@ from granary.llm import tokens
 from granary.llm.common import fresh_path, modest_batches, spread, stored
 
 MAGIC, BLOCK, BITS, HASHES = b"GRSST01\n", 1 << 16, 10, 7
+#: Bytes of text, each document counting as 64 more, from which there are more shards than tasks of a shuffle.
+SHARD = 64 << 20
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, its length, filter at, its length, entries, ids, bytes an id, magic
 
 
@@ -203,21 +205,25 @@ def opened(path: str):
 def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, end_id: int = 1, shards: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Encode every text, append ``end_id`` and write the shards; returns their manifest.
 
-    Manifest: shard, path, entries, ids, bytes.  Shards are ranges of (id, hash of the text, text), so shard order and
+    Manifest: shard, path, entries, ids, bytes, first, last (keys).  There are as many as tasks of a shuffle, or so many
+    that each holds about ``SHARD`` bytes of text, which bounds what a task keeps.  Shards are ranges of (id, hash of the text, text), so shard order and
     order within give ascending ids, and repeated ids stand in a defined order.  A null text is empty; null
     ids come first; an empty table gives no shards; other columns are ignored.  Each attempt of a task writes
     a file of its own and only the manifest's files count, so lost executors leave nothing wrong behind.
     """
     modest_batches(docs.sparkSession)
     spark = docs.sparkSession
-    folder, path = folder or fresh_path(spark, "shards"), vocabulary or tokens.vocabulary_path()
+    folder = folder or fresh_path(spark, "shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(shards or spread(spark), *order).sortWithinPartitions(*order, "text")
+    if shards is None:
+        size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 64)).first()[0] or 0
+        shards = max(spread(spark), -(-size // SHARD))
+    ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, writer, name = TaskContext.get(), None, ""
-        encode = tokens.encoder(path)
+        encode = tokens.encoder(vocabulary)
         # Two bytes hold an id of any vocabulary of up to 65,536 entries.
         width = 2 if max(end_id, encode.tokenizer.get_vocab_size(with_added_tokens=True)) < 1 << 16 else 4
         for batch in batches:
@@ -234,10 +240,11 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
                     start = end
         if writer is not None:
             writer.close()
-            made = {"shard": [task.partitionId()], "path": [name], "entries": [writer.count], "ids": [writer.ids], "bytes": [writer.at]}
-            yield pa.RecordBatch.from_pydict(made, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
+            made = {"shard": [task.partitionId()], "path": [name], "entries": [writer.count], "ids": [writer.ids], "bytes": [writer.at], "first": [writer.keys[0]], "last": [writer.keys[-1]]}
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_pydict(made, pa.schema(list(zip(made, kinds))))
 
-    return stored(ranged.mapInArrow(write, "shard int, path string, entries long, ids long, bytes long"), "shard-manifest")
+    return stored(ranged.mapInArrow(write, "shard int, path string, entries long, ids long, bytes long, first binary, last binary"), "shard-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -268,9 +275,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, ident: int | None) -> list[np.ndarray]:
-    """Ids of one document, by binary search in each shard whose filter lets it through."""
-    found = []
-    for row in manifest.orderBy("shard").collect():
+    """Ids of one document, by binary search in the shards whose range holds its key: one, or where a repeated id
+    lies across a border, its neighbours too."""
+    found, key = [], F.lit(key_of(ident))
+    for row in manifest.where((F.col("first") <= key) & (key <= F.col("last"))).orderBy("shard").select("path").collect():
         with opened(row["path"]) as file:
             found += Table(file).get(ident)
     return found

@@ -164,6 +164,6 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
-    """One per worker process."""
-    return Encoder(path)
+def encoder(path: str | None = None) -> Encoder:
+    """One per worker process; without a path, for the public vocabulary where that worker has it."""
+    return Encoder(path or vocabulary_path())
