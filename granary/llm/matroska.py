@@ -113,7 +113,7 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Media:
-    """What a file holds.  Packets: track, timestamp in ns, offset, length, key frame, lacing, cluster number."""
+    """What a file holds.  Clusters: where their elements begin.  Packets: track, timestamp in ns, offset, length, key frame, lacing, cluster number."""
 
     tracks: dict[int, dict] = field(default_factory=dict)
     packets: list[tuple[int, int, int, int, bool, str, int]] = field(default_factory=list)
@@ -222,9 +222,9 @@ def read_tracks(media: Media, data: bytes, at: int, end: int) -> None:
         media.tracks[found["number"]] = found
 
 
-def read_cluster(media: Media, data: bytes, at: int, end: int) -> None:
+def read_cluster(media: Media, data: bytes, begin: int, at: int, end: int) -> None:
     cluster, time = len(media.clusters), 0
-    media.clusters.append(at)
+    media.clusters.append(begin)
     for ident, a, b in children(data, at, end):
         if ident == TIMESTAMP:
             time = whole(data, a, b)
@@ -258,15 +258,17 @@ def parse(data: bytes) -> Media:
         for ident, a, b in children(data, 0, len(data)):
             if ident != SEGMENT:
                 continue
+            begin = a  # siblings follow one another, so each begins where the last has ended
             for i, x, y in children(data, a, b):
                 if i == INFO:
                     media.scale = next((whole(data, p, q) for j, p, q in children(data, x, y) if j == SCALE), 1_000_000)
                 elif i == TRACKS:
                     read_tracks(media, data, x, y)
                 elif i == CLUSTER:
-                    read_cluster(media, data, x, y)
+                    read_cluster(media, data, begin, x, y)
                 elif i == CUES:
                     read_cues(media, data, x, y, a)
+                begin = y
     except (ValueError, IndexError, struct.error):
         media.complete = False
     return media
@@ -307,7 +309,7 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
             for ident, data in zip(frame["doc_id"], frame["media"]):
                 found = parse(bytes(data) if data is not None else b"")
                 cued = {p for *_, p in found.cues}
-                starts = [any(s - 12 <= p < s for p in cued) for s in found.clusters]
+                starts = [p in cued for p in found.clusters]
                 rows = [(ident, *p, starts[p[-1]]) for p in found.packets]
                 if rows:
                     yield pd.DataFrame(rows, columns=schema.names)
@@ -332,7 +334,11 @@ def described(data: bytes) -> tuple[bytes, str]:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """What :func:`store_media`'s files hold: lengths, hashes and features, computed from the stored bytes."""
+    """What :func:`store_media`'s files hold: lengths, hashes and features, computed from the stored bytes.
+
+    A null or damaged file holds what stands before the damage, which may be nothing; repeated rows each get their
+    row; an empty table gives no rows; other columns are ignored.
+    """
     modest_batches(media.sparkSession)
     kind = media.schema["doc_id"].dataType
     names = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
@@ -342,7 +348,7 @@ def read_back(media: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for ident, n, data in zip(frame["doc_id"], frame["n_bytes"], frame["media"]):
-                payload, feature = described(data := bytes(data))
+                payload, feature = described(data := bytes(data) if data is not None else b"")
                 rows.append((ident, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=schema.names)
 

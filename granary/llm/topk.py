@@ -221,7 +221,8 @@ def line(vectors: DataFrame, every: int, id_col: str, vector_col: str) -> DataFr
         .where(F.col("id").isNotNull() & F.col("v").isNotNull() & usable)
         .withColumn("q", F.col("id") % every == 0)
     )
-    rows = clean.mapInPandas(packed, "id long, q boolean, v binary, length double, class int, lead string")
+    # Stored, for the range sort reads it twice.
+    rows = stored(clean.mapInPandas(packed, "id long, q boolean, v binary, length double, class int, lead string"), "topk-packed")
     return numbered(rows, F.col("class").desc(), "lead", "id", "v", column="at")
 
 

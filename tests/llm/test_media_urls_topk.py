@@ -20,7 +20,7 @@ def test_files_give_back_their_payload(n):
     assert matroska.described(data)[0] == payload and media.complete
     assert [p[1] for p in media.packets] == [i * 64_000_000 for i in range(len(media.packets))]
     starts = {p for *_, p in media.cues}
-    assert len(starts) == len(media.clusters) and all(data[p : p + 4] == b"\x1f\x43\xb6\x75" for p in starts)
+    assert starts == set(media.clusters) and all(data[p : p + 4] == b"\x1f\x43\xb6\x75" for p in starts)
 
 
 def test_parser_reads_groups_unknown_sizes_voids_and_damage():
@@ -58,7 +58,9 @@ def test_packet_table(spark, edges):
     media = matroska.store_media(edges.where("doc_id = 3"))
     found = matroska.packets(media)
     assert found.agg(F.sum("length")).first()[0] % 64 == 0 and found.where("not cued").count() == 0
-    assert matroska.packets(spark.createDataFrame([(1, None), (2, b""), (3, b"junk")], "doc_id long, media binary")).count() == 0
+    broken = spark.createDataFrame([(1, 5, None), (2, 0, b""), (3, 0, b"junk")], "doc_id long, n_bytes long, media binary")
+    assert matroska.packets(broken).count() == 0
+    assert [(r["doc_id"], r["payload_bytes"]) for r in matroska.read_back(broken).collect()] == [(1, 0), (2, 0), (3, 0)]
 
 
 URLS = [
