@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions import paths
-from granary.store import stored
+from granary.store import numbered, stored
 
 
 def split_root(entries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -17,25 +17,40 @@ def split_root(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return entries.join(first, "path", "left").withColumn("rel", F.expr("substring(path, length(root) + 2)"))
 
 
-def shared(files: DataFrame) -> DataFrame:
-    """(a, b, common, least): roots with common relative paths.  ``files``: root, rel.
-
-    Pairs arise within a path, so a path that all roots have makes a pair of roots each once; there are as
-    many of them as the answer has, not as files.
-    """
-    rows = files.select("root", "rel").distinct()
-    sizes = rows.groupBy("root").agg(F.count("*").alias("n"))
-    pairs = rows.select(F.col("root").alias("a"), "rel").join(rows.select(F.col("root").alias("b"), "rel"), "rel").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    return (
-        pairs.join(sizes.select(F.col("root").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("root").alias("b"), F.col("n").alias("nb")), "b")
-        .select("a", "b", "common", F.least("na", "nb").alias("least"))
-    )
+#: Paths of a root that one array holds.
+GATHERED = 50_000
 
 
 def siblings(files: DataFrame, num: int = 1, den: int = 2) -> DataFrame:
-    """Pairs of roots that share at least num/den of the smaller one's paths (a half, unless told otherwise)."""
-    return shared(files).where(F.col("common") * den >= F.col("least") * num)
+    """Pairs of roots that share at least num/den of the smaller one's paths (a half, unless told otherwise): a, b,
+    common, least.  ``files``: root, rel.
+
+    Paths are numbered, those of the fewest roots first.  Of n paths a smaller root must share ``need``, so one
+    of its n - need + 1 rarest: only these look for partners, among roots at least as large, which makes paths that all
+    roots have the last to be looked at.  The candidates' whole sets are then intersected, in parts of bounded
+    size where a root is large.
+    """
+    rows = stored(files.select("root", "rel").distinct(), "root-paths")
+    held = rows.groupBy("rel").agg(F.count("*").alias("held"))
+    coded = rows.join(numbered(held, "held", "rel", column="word"), "rel").select("root", "word", "held")
+    sizes = coded.groupBy("root").agg(F.count("*").alias("n"))
+    sized = stored(coded.join(sizes, "root"), "root-words")
+    need = F.ceil(F.col("n") * num / den)
+    rank = F.row_number().over(W.partitionBy("root").orderBy("word"))
+    # Stored, so that both sides of the join come fresh from a shuffle and a path that many roots have can be split.
+    rare = stored(sized.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - need + 1) & (F.col("held") > 1)).select(F.col("root").alias("x"), "word", F.col("n").alias("nx")), "root-rare")
+    every = sized.where("held > 1").select(F.col("root").alias("y"), "word", F.col("n").alias("ny"))
+    larger = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    pairs = stored(rare.join(every, "word").where(larger).select("x", "y", "nx").distinct(), "root-pairs")
+    parts = -(-(sizes.agg(F.max("n")).first()[0] or 1) // GATHERED)
+    part = F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part")
+    sets = sized.where("held > 1").groupBy("root", part).agg(F.collect_list("word").alias("words"))
+    xs, ys = sets.select(F.col("root").alias("x"), "part", F.col("words").alias("wx")), sets.select(F.col("root").alias("y"), "part", F.col("words").alias("wy"))
+    common = F.size(F.array_intersect("wx", "wy")).cast("long")
+    both = pairs.join(xs, "x").join(ys, ["y", "part"]).select("x", "y", "nx", common.alias("common"))
+    if parts > 1:
+        both = both.groupBy("x", "y", "nx").agg(F.sum("common").alias("common"))
+    return both.where(F.col("common") * den >= F.col("nx") * num).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", F.col("nx").alias("least"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

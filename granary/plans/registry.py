@@ -50,15 +50,22 @@ entries AS (SELECT row_number() OVER (ORDER BY path) - 1 AS id, * FROM listed)""
 NAME = "split_part(path, '/', -1)"
 ANCESTORS = "list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))"
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple, DataFrame] = {}
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another state is another table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(at))
 
 
 def once(kind: str):
-    """A relation that is built and stored once per session and folder."""
+    """A relation over documents that is built and stored once per session and state of their files."""
 
     def wrap(f):
         def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-            key = (kind, spark.sparkContext.applicationId, sf_dir)
+            key = (kind, spark.sparkContext.applicationId, state_of(spark, f"{sf_dir}/documents.parquet"))
             if key not in _kept:
                 _kept[key] = f(spark, sf_dir)
             return _kept[key]
@@ -68,6 +75,11 @@ def once(kind: str):
     return wrap
 
 
+def forget() -> None:
+    """Build such relations anew from here on."""
+    _kept.clear()
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     statement = FILES.replace("{raw}", "text")
     return spark.sql(statement, docs=table(spark, sf_dir, "documents"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from granary.store import fresh_path
+
+_shipped: set[str] = set()
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -27,6 +34,27 @@ def local_session(app: str = "granary", cpus: int | None = None, **conf: str) ->
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    """One of the input tables, by name."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def ship(spark: SparkSession) -> None:
+    """Give the workers of a cluster this library, from the folder that all machines share; once a session.
+
+    A local master's workers run on this machine: they get the folder itself on their path.
+    """
+    home, sc = Path(__file__).resolve().parents[1], spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    known = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if str(home) not in known:
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(home), *known]))
+    if sc.master == "local" or sc.master.startswith("local["):
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted((home / "granary").rglob("*.py")):
+            z.write(file, file.relative_to(home))
+    # Through Spark's own file systems, so that any store it knows will do.
+    path = sc._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, "library") + "/granary.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(held.getvalue())
+    out.close()
+    sc.addPyFile(path.toString())

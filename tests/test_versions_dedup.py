@@ -21,6 +21,24 @@ def test_siblings(spark):
     assert sorted((r["root"], r["grp"], r["rank"]) for r in chain.collect()) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2)]
 
 
+@pytest.mark.parametrize(("gathered", "num", "den"), [(50_000, 1, 2), (7, 1, 2), (3, 4, 5), (50_000, 1, 10)])
+def test_siblings_are_all_pairs_that_share_enough(spark, monkeypatch, gathered, num, den):
+    """Roots of many sizes, with paths that all of them have and paths that few do, against all pairs."""
+    monkeypatch.setattr(versions, "GATHERED", gathered)
+    rng = random.Random(gathered + num)
+    kinds = [rng.sample(range(60), 25) for _ in range(6)]
+    roots = {f"r{i}": {0, 1, *rng.sample(rng.choice(kinds), rng.randrange(0, 25)), *(1000 + rng.randrange(300) for _ in range(rng.randrange(4)))} for i in range(60)}
+    files = spark.createDataFrame([(r, str(f)) for r, fs in roots.items() for f in fs] * 2, "root string, rel string")
+    want = set()
+    for a in roots:
+        for b in roots:
+            common, least = len(roots[a] & roots[b]), min(len(roots[a]), len(roots[b]))
+            if a < b and common * den >= least * num:
+                want.add((a, b, common, least))
+    assert {tuple(r) for r in versions.siblings(files, num, den).collect()} == want and len(want) > 20
+    assert versions.siblings(files.limit(0)).count() == 0
+
+
 def test_base_and_first(spark):
     rows = [(0, r, root, rel) for r, (root, rels) in enumerate([("a", "12"), ("b", "13"), ("c", "12")]) for rel in rels]
     files = spark.createDataFrame(rows, "grp int, rank int, root string, rel string")
