@@ -77,6 +77,9 @@ URLS = [
     ("http://spam-farmer.org/", "spam-farmer.org", "/", None, "allow"),
     ("http://x.org/free-bonus", "x.org", "/free-bonus", None, "block"),
     ("http://x.org/free-free", "x.org", "/free-free", None, "allow"),
+    ("http://x.org/vip-deal", "x.org", "/vip-deal", None, "allow"),
+    ("http://x.org/vip/deal/seo", "x.org", "/vip/deal/seo", None, "block"),
+    ("http://x.org/vip/bonus", "x.org", "/vip/bonus", None, "allow"),
     ("a.com/en", "", "", None, "allow"),
     ("viagra", "", "", None, "block"),
     ("", "", "", None, "allow"),
@@ -91,6 +94,18 @@ def test_url_rules(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_vocabularies(spark, tmp_path):
+    table = spark.createDataFrame([("Moss", 1000), ("fern", 600), ("fern", 400), ("ivy", 500), (None, 9), ("none", None), ("zero", 0)], "term string, weight long")
+    terms = urls.table_terms(table)
+    assert terms == (("fern", 600), ("ivy", 500), ("moss", 1000))
+    (tmp_path / "terms.tsv").write_text("term\tweight\nMoss\t1000\nfern\t600\n\nivy\t500\n")
+    assert urls.read_terms(tmp_path / "terms.tsv") == terms and len(urls.read_terms(urls.TERMS)) > 100
+    assert urls.hits("http://moss.x/Fern-ivy/ferns?fern", terms) == (1, 2, 2100)
+    pages = spark.createDataFrame([(1, "http://a.x/fern"), (2, "http://a.x/fern/ivy"), (3, "http://a.x/casino")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, terms=terms).collect()} == {1: "allow", 2: "block", 3: "allow"}
+    assert urls.judge_urls(pages, terms=()).where("verdict = 'block'").count() == 0
+
+
 def brute(rows, k=5, every=50):
     good = [(i, [int(np.floor(256.0 * np.float64(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
