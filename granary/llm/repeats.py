@@ -1,12 +1,12 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends with a word that ends in one of . ! ? , ; : or at a line end, or with the text: commas part too, since
-a copied passage seldom begins and ends with whole sentences.  From every sentence starts a span: the fewest
+A sentence ends with a word that ends in a stop (``STOPS``; closing quotes and brackets may follow it), or at a line end,
+or with the text: commas part too, since a copied passage seldom begins and ends with whole sentences.  From every sentence starts a span: the fewest
 consecutive sentences, ``least_sentences`` at least, that hold ``least_words`` words.  Spans are hashed
 and joined over the whole corpus, and the sentences under any span but a first one go.
 
 ``whole`` also parts a sentence where of ``WINDOW`` words in a row none ends it: after the word whose hash, with
-the word before it, is least.  Such cuts depend on the words around them alone, so copies have them in common:
+the word before it, is least, if none of them equals it.  Such cuts depend on the words around them alone, so copies have them in common:
 of 50 words that stand elsewhere too, at least 24 in two pieces or more lie between cuts that all copies share.
 With it a span also ends with every sentence: the fewest that reach back ``least_words`` words.  All that lies between
 the first and last cut that copies share is then under a repeated span, as if every run of sentences were hashed.
@@ -31,24 +31,49 @@ SENTENCES, WORDS = 2, 24
 #: With hashes of two words, the first and last common cut of 50 words leave 50 + 2 - 2 * WINDOW - 2 = 24 between them.
 WINDOW = 13
 
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?,;:"]] = True
+#: What ends a sentence, and what may stand between that and the word's end; no character here is part of another.
+STOPS, CLOSERS = ".!?,;:…。！？，、；：؟؛،।॥", "\"')]}»”’›」』）"
+
+
+def ends_with(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, signs: str) -> np.ndarray:
+    """Of the bytes from ``starts`` to ``stops`` the length of the sign that ends them, 0 where none of the signs does."""
+    out = np.zeros(len(stops), np.int64)
+    coded = [c.encode() for c in signs]
+    for size in sorted({len(c) for c in coded}):
+        value = np.zeros(len(stops), np.int64)
+        for back in range(size, 0, -1):
+            value = value << 8 | data[np.maximum(stops - back, 0)]
+        known = np.isin(value, [int.from_bytes(c, "big") for c in coded if len(c) == size])
+        out[known & (stops - size >= starts)] = size
+    return out
+
+
+def stopped(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether a word ends a sentence, be there closing quotes and brackets after its stop, three at most."""
+    end = stops.copy()
+    for _ in range(3):
+        end -= ends_with(data, starts, end, CLOSERS)
+    return ends_with(data, starts, end, STOPS) > 0
+
+
 _BASES = random_words(2, 11) | np.uint64(1)
 
 
 def content_cuts(hashes: np.ndarray, text: np.ndarray, closed: np.ndarray) -> np.ndarray:
-    """Words after which a sentence is parted: the least, and last, of each ``WINDOW`` words of a text that none ends."""
+    """Words after which a sentence is parted: the least of each ``WINDOW`` words of a text that none ends, if it is alone."""
     if len(hashes) < WINDOW:
         return np.empty(0, np.int64)
     ended = np.append(0, np.cumsum(closed))
     at = np.flatnonzero((ended[WINDOW:] == ended[:-WINDOW]) & (text[WINDOW - 1 :] == text[: len(text) - WINDOW + 1]))
     values = mixed(np.append(hashes[:1], hashes[:-1]) * FACTOR + hashes)
     values[np.append(True, text[1:] != text[:-1])] = np.uint64((1 << 64) - 1)  # no word before
-    least, best = at, values[at]
+    least, best, alone = at, values[at], np.ones(len(at), bool)
     for k in range(1, WINDOW):
         here = values[at + k]
-        lower = here <= best
+        lower = here < best
+        alone = np.where(lower, True, alone & (here != best))
         least, best = np.where(lower, at + k, least), np.where(lower, here, best)
+    least = least[alone]  # of words said over and over none is the least, and content tells no place to cut
     return np.unique(least)
 
 
@@ -61,7 +86,7 @@ def span_table(data: np.ndarray, ends: np.ndarray, least_sentences: int, least_w
     stops = starts + lengths
     last = np.append(text[1:] != text[:-1], True)
     broken = np.append(np.searchsorted(lines, starts[1:]) > np.searchsorted(lines, stops[:-1]), True)
-    closed = last | broken | _STOP[data[stops - 1]]
+    closed = last | broken | stopped(data, starts, stops)
     if whole:
         closed[content_cuts(hashes, text, closed)] = True
     closing = np.flatnonzero(closed)

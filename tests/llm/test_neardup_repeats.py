@@ -146,7 +146,8 @@ def spans_of(text, least_sentences, least_words):
     for i, m in enumerate(found):
         sentence.append(m)
         follows = text[m.end() : found[i + 1].start()] if i + 1 < len(found) else "\n"
-        if m[0][-1] in ".!?,;:" or "\n" in follows:
+        bare = re.sub("[\"')\\]}»”’›」』）]{1,3}$", "", m[0])
+        if bare and bare[-1] in repeats.STOPS or "\n" in follows:
             out.append(sentence)
             sentence = []
     spans = []
@@ -206,6 +207,26 @@ def test_repeats_of_edges(spark, edges, nothing):
     assert "sieben acht" not in left[2] and left[2].startswith("😀 Anders:")
 
 
+@pytest.mark.parametrize("sign", ["。", "！", '."', ".”)", "…", "؟", ".'»", "、"])
+def test_stops_of_other_scripts_and_quotes_end_sentences(spark, sign):
+    rng = random.Random(2)
+    sentence = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(9)) + sign
+    passage = " ".join(sentence() for _ in range(5))
+    rows = [(1, f"{sentence()} {passage} {sentence()}"), (2, f"{sentence()} {sentence()} {passage} {sentence()}")]
+    (r,) = repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert (r["doc_id"], rows[1][1][r["start"] : r["stop"]], r["sentences"]) == (2, passage, 5)
+
+
+def test_a_word_said_over_and_over_is_not_cut(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))
+    rows = [(1, "so " * 500), (2, "so " * 300 + passage), (3, "one " * 90 + passage + " two" * 90), (4, "so " * 400)]
+    got = repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()
+    assert [r["doc_id"] for r in got] == [3]
+    (r,) = got
+    assert r["start"] >= 4 * 88 and len(rows[2][1][r["start"] : r["stop"]].split()) >= 34
+
+
 def test_repeats_without_stops(spark):
     """Fifty copied words are found wherever they stand in texts that no sign parts, and a copied text as a whole."""
     rng = random.Random(9)
