@@ -32,20 +32,24 @@ GATHERED = 1 << 15
 SEED = 20240607
 
 
+#: Signs that don't count at a word's edges; and of its shape, letters and digits by their kind, runs of one kind as two.
+EDGES = b"""!"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\"""
+CLASSES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+RUN = re.compile(rb"(.)\1{2,}", re.DOTALL)
+
+
 class Codes:
     """Words to bucket numbers: one for the word without its edges, one for its shape.  A bounded memory of words
     holds what was computed before."""
 
-    def __init__(self, room: int = 300_000):
+    def __init__(self, room: int = 500_000):
         self.room, self.known = room, {}
 
     @staticmethod
-    def code(word: str) -> int:
-        bare = word.strip("""!"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\""").lower()
-        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "B" if m[0][0].isupper() else "a", word)
-        shape = re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d+", "0", shape))[:12]
-        raw = lambda s: zlib.crc32(s.encode("utf-8", "replace"))
-        return raw(bare) % WORDS * SHAPES + raw(shape) % SHAPES
+    def code(word: bytes) -> int:
+        bare = word.strip(EDGES).lower()
+        shape = RUN.sub(rb"\1\1", word.translate(CLASSES))[:12]
+        return zlib.crc32(bare) % WORDS * SHAPES + zlib.crc32(shape) % SHAPES
 
     def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every word of texts laid end to end: its two buckets, and its text's number."""
@@ -56,7 +60,7 @@ class Codes:
             c = known.get(h)
             if c is None:
                 at = starts[first[i]]
-                c = known[h] = self.code(data[at : at + lengths[first[i]]].tobytes().decode("utf-8", "replace"))
+                c = known[h] = self.code(data[at : at + lengths[first[i]]].tobytes())
             codes[i] = c
         if len(known) > self.room:
             known.clear()
@@ -105,13 +109,14 @@ def word_vectors(context: np.ndarray, counts: np.ndarray, index: np.ndarray) ->
 def pooled(word: np.ndarray, shape: np.ndarray, text: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
     """Of each of ``n`` texts the mean word vector, the mean shape vector, and of its words the shares that repeat the one
     before and that are different; zeros without words."""
-    out = []
+    out, ones = [], np.ones(min(GATHERED, len(word)), np.float32)
+    bounds = np.searchsorted(text, np.arange(n + 1))
     for bucket in (word, shape):
         total = np.zeros((n, DIM + 1))
-        for at in range(0, len(bucket), GATHERED):
-            t = text[at : at + GATHERED]
-            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            total[t[first]] += np.add.reduceat(table[bucket[at : at + GATHERED]], first, axis=0, dtype=np.float64)
+        for i in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+            for at in range(bounds[i], bounds[i + 1], GATHERED):
+                own = bucket[at : min(at + GATHERED, bounds[i + 1])]
+                total[i] += ones[: len(own)] @ table[own]
         out.append(total[:, :DIM] / np.maximum(total[:, DIM:], 1e-9))
     same = (word[1:] == word[:-1]) & (shape[1:] == shape[:-1]) & (text[1:] == text[:-1])
     count = lambda t: np.bincount(t, minlength=n) / np.maximum(np.bincount(text, minlength=n), 1)

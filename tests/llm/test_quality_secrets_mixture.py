@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,74 @@ def test_quality_on_held_out_labels(spark):
     assert sum(g >= 0.5 for g in good) >= 0.97 * len(good)
 
 
+def plain_features(text, table):
+    """Word by word: sums of the buckets' vectors over those of their weights, and two shares."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    codes = [divmod(quality.Codes.code(w), quality.SHAPES) for w in words]
+    out = []
+    for buckets in ([c[0] for c in codes], [quality.WORDS + c[1] for c in codes]):
+        total = sum((table[b].astype(float) for b in buckets), np.zeros(quality.DIM + 1))
+        out += (total[:-1] / max(total[-1], 1e-9)).tolist()
+    same = sum(a == b for a, b in zip(codes, codes[1:]))
+    return [*out, same / max(1, len(words)), len({c[0] for c in codes}) / max(1, len(words))]
+
+
+def test_scores_are_those_of_a_plain_version(spark, small, edges):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    for frame in (docs, edges.select("doc_id", "text")):
+        rows, texts = Counter(), Counter()
+        for r in quality.classify(frame, model).collect():
+            rows[r["doc_id"], round(r["score"], 4)] += 1
+        for d in frame.collect():
+            x = (np.array(plain_features(d["text"], model.table)) - model.mean) / model.scale
+            logit = sum(np.tanh(x @ model.w1[:, j] + model.b1[j]) * model.w2[j] for j in range(quality.HIDDEN)) + model.b2
+            texts[d["doc_id"], round(float(1 / (1 + np.exp(-np.clip(logit / model.temperature, -30, 30)))), 4)] += 1
+        assert sum((rows - texts).values()) <= 2  # scores that round the other way
+
+
+def test_contexts_are_sums_over_neighbours(monkeypatch):
+    monkeypatch.setattr(quality, "GATHERED", 7)
+    rng = np.random.default_rng(3)
+    word, shape, text = rng.integers(0, 20, 60), quality.WORDS + rng.integers(0, 5, 60), np.sort(rng.integers(0, 6, 60))
+    index, context, counts = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIM)), np.zeros(quality.BUCKETS)
+    quality.add_contexts(word, shape, text, index, context, counts)
+    want, seen = np.zeros_like(context), Counter()
+    for i in range(60):
+        for b in (word[i], shape[i]):
+            seen[b] += 1
+            for j in range(max(0, i - quality.REACH), min(60, i + quality.REACH + 1)):
+                if j != i and text[i] == text[j]:
+                    want[b] += index[word[j]] + index[shape[j]]
+    assert np.allclose(context, want) and {int(b): int(counts[b]) for b in np.flatnonzero(counts)} == {int(b): n for b, n in seen.items()}
+
+
+def test_no_text_is_left_out_of_the_sample_for_its_length(spark):
+    """The first text by hash is far longer than all others; the rest teach all the same."""
+    rows = [(i, ("good prose of many plain words " * (1 + i % 3)) if i % 2 else "BUY!!! $$$ 000 " * (1 + i % 3)) for i in range(400)]
+    rows[0] = (0, "BUY!!! $$$ 000 " * 2_000_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    got = quality.classify(docs, quality.train(docs, labels)).where("held_out").collect()
+    assert len(got) > 50 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
+def test_words_are_hashed_alike_in_pieces_of_any_size(monkeypatch):
+    from granary.llm import hashing
+
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abAé \n\x0b\x1c"), rng.integers(0, 40))) for _ in range(60)] + ["", " ", "x" * 99]
+    raw = [t.encode() for t in texts]
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
+    whole = hashing.words_of(data, ends)
+    want = [(i, w.translate(bytes.maketrans(b"AB", b"ab"))) for i, r in enumerate(raw) for w in re.findall(rb"[^\x20\x09-\x0D]+", r)]
+    assert whole[3].tolist() == [i for i, _ in want] and len({h for h in whole[0].tolist()}) == len({w for _, w in want})
+    assert [data[s : s + n].tobytes().lower() for s, n in zip(whole[1].tolist(), whole[2].tolist())] == [w for _, w in want]
+    for piece in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(hashing, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(hashing.words_of(data, ends), whole))
+
+
 def test_quality_of_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 1), (5, 0), (7, None), (None, 1), (99, 1)], "doc_id long, quality int")
     model = quality.train(edges, labels)
