@@ -444,28 +444,48 @@ def trial(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([trial_of(bytes(b) if b is not None else b"") for b in content], columns=["codec", "zstd", "lzma", "bzip2"])
 
 
+_ODD = 0x9E3779B97F4A7C15
+
+
+def window_hashes(data: bytes, size: int) -> np.ndarray:
+    """A 64-bit hash of every window of so many bytes: differences of running sums of bytes times powers of an odd
+    number, whose inverse takes the place out again."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    power = lambda f, n: np.cumprod(np.append(np.uint64(1), np.full(n - 1, f, np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum(x * power(np.uint64(_ODD), len(x))))
+    return (sums[size:] - sums[:-size]) * power(np.uint64(pow(_ODD, -1, 1 << 64)), len(x) - size + 1)
+
+
 def delta_encode(old: bytes, new: bytes, block: int = 32) -> bytes:
-    """A patch of copies from ``old`` and literals: found by hashing old's blocks, extended both ways."""
-    where: dict[bytes, int] = {}
-    for i in range(0, len(old) - block + 1, block):
-        where.setdefault(old[i : i + block], i)
+    """A patch of copies from ``old`` and literals: found by hashes of old's blocks, extended both ways."""
     out, literal, at = bytearray(), 0, 0
+    places, starts, firsts = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(old) >= block <= len(new):
+        known, firsts = np.unique(window_hashes(old, block)[::block], return_index=True)
+        there = window_hashes(new, block)
+        spot = np.minimum(np.searchsorted(known, there), len(known) - 1)
+        places = np.flatnonzero(known[spot] == there)
+        starts = firsts[spot[places]] * block
 
     def flush(end: int) -> None:
         if end > literal:
             out.extend(b"L" + (end - literal).to_bytes(4, "big") + new[literal:end])
 
-    while at + block <= len(new):
-        start = where.get(new[at : at + block])
-        if start is None:
+    i = 0
+    while (i := i + int(np.searchsorted(places[i:], at))) < len(places):
+        at, start = int(places[i]), int(starts[i])
+        if new[at : at + block] != old[start : start + block]:  # equal hashes of different bytes
             at += 1
             continue
         begin = at
         while begin > literal and start > 0 and new[begin - 1] == old[start - 1]:
             begin, start = begin - 1, start - 1
-        n = at - begin + block
-        while begin + n < len(new) and start + n < len(old) and new[begin + n] == old[start + n]:
-            n += 1
+        n, step = at - begin + block, 4096
+        while step:  # whole stretches first, then ever smaller ones
+            if begin + n + step <= len(new) and new[begin + n : begin + n + step] == old[start + n : start + n + step]:
+                n += step
+            else:
+                step //= 2
         flush(begin)
         out.extend(b"C" + start.to_bytes(8, "big") + n.to_bytes(4, "big"))
         at = literal = begin + n

@@ -211,12 +211,41 @@ def _(spark, d):
     return scan(table(spark, d, "documents").select(E("doc_id").cast("string").alias("path"), E("text").alias("content"), "lang"), E("lang"))
 
 
-@query("dom_shard_scan", "SELECT doc_id % 4 AS frame, count(*) AS shards, count(*) FILTER (WHERE doc_id % 50 = 0) AS damaged FROM documents GROUP BY 1")
+SHARD_LENGTH, SHARD_GROUP = 64, 20
+# Of each document's shards every sixteenth is damaged, and of some documents the frames are.
+SHARDS = f"""s AS (SELECT doc_id, unnest(range(0, (octet_length(encode(text)) + {SHARD_LENGTH - 1}) // {SHARD_LENGTH})) AS n FROM documents),
+g AS (SELECT doc_id, (n // {SHARD_GROUP})::INTEGER AS grp, count(*)::INTEGER AS shards, count(*) FILTER (WHERE n % 16 = 3) AS bad, doc_id % 10 <> 0 AS usable FROM s GROUP BY ALL)"""
+
+
+def damaged_shards(spark, d):
+    """Frames of the documents' shards, and the shards, with damage to both."""
+    from granary.operators import recovery
+
+    files = table(spark, d, "documents").select(E("doc_id").alias("path"), F.encode("text", "utf-8").alias("content"))
+    shards = stored(recovery.shards_of(files, SHARD_LENGTH, SHARD_GROUP), "shards")
+    frames = recovery.protect(shards, 10).withColumn("hash", F.when(E("path") % 10 == 0, "other").otherwise(E("hash")))
+    hit = (E("grp") * SHARD_GROUP + E("shard")) % 16 == 3
+    return stored(frames, "frames"), shards.withColumn("data", F.when(hit, F.concat("data", F.lit(b"!"))).otherwise(E("data")))
+
+
+@query("dom_shard_scan", f"WITH {SHARDS} SELECT doc_id AS path, grp, usable, shards, CASE WHEN usable THEN bad ELSE 0 END AS damaged FROM g")
+def _(spark, d):
+    from granary.operators import recovery
+
+    return recovery.scan(*damaged_shards(spark, d))
+
+
+@query("dom_recovery", f"WITH {SHARDS}, r AS (SELECT doc_id, sum(shards) AS shards, sum(CASE WHEN usable AND bad <= greatest(1, (shards * 10 + 99) // 100) THEN bad ELSE 0 END) AS rebuilt, sum(CASE WHEN usable AND bad > greatest(1, (shards * 10 + 99) // 100) THEN bad ELSE 0 END) AS lost, sum(CASE WHEN usable THEN 0 ELSE shards END) AS unknown FROM g GROUP BY doc_id) SELECT r.doc_id AS path, shards::BIGINT AS shards, rebuilt::BIGINT AS rebuilt, lost::BIGINT AS lost, unknown::BIGINT AS unknown, CASE WHEN lost = 0 AND unknown = 0 THEN sha256(text) END AS digest FROM r JOIN documents d ON d.doc_id = r.doc_id")
 def _(spark, d):
-    """Shards whose hash isn't the expected one, per frame; every fiftieth is damaged on purpose."""
-    want = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("want"))
-    have = table(spark, d, "documents").select("doc_id", F.sha2(F.concat("text", F.when(E("doc_id") % 50 == 0, "!").otherwise("")), 256).alias("have"))
-    return want.join(have, "doc_id").groupBy((E("doc_id") % 4).alias("frame")).agg(F.count("*").alias("shards"), F.count_if(E("want") != E("have")).alias("damaged"))
+    """What is damaged is rebuilt, and whole documents have their texts' digests again."""
+    from granary.operators import recovery
+
+    mended = recovery.repair(*damaged_shards(spark, d))
+    parts = F.array_sort(F.collect_list(F.struct("grp", "shard", "data")))
+    whole = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["data"]))
+    state = lambda s: F.count_if(E("state") == s).alias(s)
+    out = mended.groupBy("path").agg(F.count("*").alias("shards"), state("rebuilt"), state("lost"), state("unknown"), F.sha2(whole, 256).alias("digest"))
+    return out.withColumn("digest", F.when((E("lost") == 0) & (E("unknown") == 0), E("digest")))
 
 
 def zips(spark, d):

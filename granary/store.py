@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,6 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         return given.rstrip("/")
     if sc.applicationId not in _made:
         local = sc.master == "local" or sc.master.startswith("local[")
+        warnings.warn("spark.checkpoint.dir is unset: tables go to a folder of this machine or the warehouse", stacklevel=2)
         _made[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="granary-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_granary"
     return _made[sc.applicationId]
 
@@ -48,13 +51,26 @@ def stored(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, stored; the tables that were stored on the way to it are deleted."""
+    before = len(_paths)
+    out = stored(make(), name)
+    while len(_paths) > before + 1:
+        delete(*_paths.pop(before))
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release() -> None:
     """Delete what :func:`stored` has written in this process, through whatever file system holds it."""
     while _paths:
         spark, path = _paths.pop()
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
         except Exception:  # the session may be gone; the folder is then the cluster's to clean
             return
 

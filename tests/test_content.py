@@ -138,6 +138,37 @@ def test_chunks_of_all_documents(spark, small):
     assert rows == want
 
 
+def plain_delta(old, new, block=32):
+    """Byte by byte: the first block of old that equals what follows, extended both ways."""
+    where, out, literal, at = {}, [], 0, 0
+    for i in range(0, len(old) - block + 1, block):
+        where.setdefault(old[i : i + block], i)
+    while at + block <= len(new):
+        start = where.get(new[at : at + block])
+        if start is None:
+            at += 1
+            continue
+        begin, n = at, block
+        while begin > literal and start > 0 and new[begin - 1] == old[start - 1]:
+            begin, start, n = begin - 1, start - 1, n + 1
+        while begin + n < len(new) and start + n < len(old) and new[begin + n] == old[start + n]:
+            n += 1
+        out += [("L", new[literal:begin])] * (begin > literal) + [("C", start, n)]
+        at = literal = begin + n
+    return out + [("L", new[literal:])] * (len(new) > literal)
+
+
+def test_deltas_are_those_of_the_plain_loop():
+    rng = random.Random(13)
+    for k in range(150):
+        n = rng.choice([0, 5, 31, 32, 33, 100, 1000, 5000])
+        old = bytes(rng.choice(b"ab") for _ in range(n)) if k % 3 == 0 else rng.randbytes(n)
+        cut = rng.randrange(n + 1)
+        new = old[:cut] + rng.randbytes(rng.randrange(40)) + old[max(0, cut - 50) :][: rng.choice([0, 10, n])] + rng.randbytes(3)
+        want = b"".join(b"L" + len(x[1]).to_bytes(4, "big") + x[1] if x[0] == "L" else b"C" + x[1].to_bytes(8, "big") + x[2].to_bytes(4, "big") for x in plain_delta(old, new))
+        assert content.delta_encode(old, new) == want and content.delta_apply(old, want) == new
+
+
 def test_trials(spark, small):
     data = b"".join(bytes([65 + i]) * 5000 + NOISE[:7000] for i in range(30))
     quarter, packed = 1 << 10, zstandard.ZstdCompressor(level=9).compress
