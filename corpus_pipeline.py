@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import mixture, neardup, packing, quality, secrets
-from granary.llm.common import stored
 from granary.session import ship
+from granary.store import settled
 
 #: The columns of ``documents`` as the test tables have them.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -78,5 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
