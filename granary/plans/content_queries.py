@@ -234,3 +234,19 @@ def _(spark, d):
 def _(spark, d):
     twin = raw(spark, d).select((E("doc_id") + 1).alias("doc_id"), E("content").alias("old"))
     return raw(spark, d).join(twin, "doc_id").withColumn("x", content.delta("old", "content")).select("doc_id", "x.*")
+
+
+CHAINS = ["store", "zstd", "lzma", "bwt+zstd", "x86", "arm", "delta+zstd", "delta4", "png+lzma", "base64", "utf16+lzma", "utf16+bwt+zstd"]
+
+
+@query("dom_codecs", "SELECT doc_id, sha256(text) AS digest, octet_length(encode(text)) AS size FROM documents")
+def _(spark, d):
+    """Every document through a chain of primitives and back: as text, or as base64 or UTF-16 where the chain is for that."""
+    from granary.functions import codecs
+
+    chain = F.element_at(F.array(*[F.lit(c) for c in CHAINS]), (E("doc_id") % len(CHAINS) + 1).cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", chain.alias("chain"), "text")
+    given = F.when(E("chain") == "base64", F.encode(F.regexp_replace(F.base64(F.encode("text", "utf-8")), r"\s", ""), "utf-8")).when(E("chain").startswith("utf16"), F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "utf-8"))
+    back = docs.withColumn("back", codecs.decoded(codecs.encoded(given, "chain"), "chain"))
+    text = F.when(E("chain") == "base64", F.unbase64(E("back").cast("string")).cast("string")).when(E("chain").startswith("utf16"), F.decode("back", "UTF-16LE")).otherwise(E("back").cast("string"))
+    return back.select("doc_id", F.sha2(text, 256).alias("digest"), F.octet_length(text).alias("size"))

@@ -527,7 +527,18 @@ def _(spark, d):
     return ops.semantic_faults(rows)
 
 
-@query("snk_report", sql("SELECT string_agg('- ' || class || ': ' || tool || '/' || setting, chr(10) ORDER BY class) AS report FROM (" + BEST.format(where="") + ")"))
+REPORT = """SELECT '# Report' || chr(10) || chr(10) || '## Best by class' || chr(10) || chr(10) || '| class | tool | setting | archive_bytes |' || chr(10) || '|---|---|---|---|' || chr(10)
+ || (SELECT string_agg('| ' || class || ' | ' || tool || ' | ' || setting || ' | ' || archive_bytes || ' |', chr(10) ORDER BY class) FROM ({best}))
+ || chr(10) || chr(10) || '## Best on every class' || chr(10) || chr(10) || (SELECT tool || '/' || setting || ': ' || total FROM (SELECT tool, setting, sum(archive_bytes) AS total, min(ord) AS ord FROM r GROUP BY tool, setting HAVING count(DISTINCT class) = (SELECT count(DISTINCT class) FROM r) ORDER BY total, ord LIMIT 1))
+ || chr(10) || chr(10) || '## Decision' || chr(10) || chr(10) || 'NO-GO: failing gates: G2; open gates: G3' || chr(10) AS report"""
+
+
+@query("snk_report", sql(REPORT.replace("{best}", BEST.format(where=""))))
 def _(spark, d):
-    rows = ops.best(combos(spark, d)).orderBy("class").collect()  # a row per class
-    return spark.createDataFrame([("\n".join(f"- {r['class']}: {r['tool']}/{r['setting']}" for r in rows),)], "report string")
+    """The text follows from the rows alone: best of each class, best on all of them, and what the gates say."""
+    from granary.sources.sinks import report
+
+    rows = combos(spark, d)
+    single = ops.best_single(rows, rows.select("class")).select(F.concat("tool", F.lit("/"), "setting", F.lit(": "), E("total").cast("string")))
+    parts = [("Best by class", ops.best(rows).orderBy("class").select("class", "tool", "setting", "archive_bytes")), ("Best on every class", single), ("Decision", ops.verdict(gates(spark)))]
+    return spark.createDataFrame([(report("Report", parts),)], "report string")

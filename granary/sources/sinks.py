@@ -58,6 +58,18 @@ def markdown(small: DataFrame) -> str:
     return "\n".join([lines[0], "|" + "---|" * len(small.columns), *lines[1:]])
 
 
+def report(title: str, parts: list[tuple[str, DataFrame]]) -> str:
+    """Small results under headings: one of several columns as a table, one of one column as lines; rows as they come.
+
+    Nothing else goes in, no time and no machine, so equal rows make an equal text.
+    """
+    out = [f"# {title}"]
+    for heading, rows in parts:
+        body = markdown(rows) if len(rows.columns) > 1 else "\n".join("" if r[0] is None else str(r[0]) for r in rows.collect())
+        out.append(f"## {heading}\n\n{body}")
+    return "\n\n".join(out) + "\n"
+
+
 def write_container(path: str, generation: int, entries: DataFrame, members: DataFrame, blobs: DataFrame) -> None:
     """Append a generation: entries, their chunk lists (path, pos, hash), and the new chunks (hash, content).
 
