@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ MINIMA = ORDERS * DEPTH
 RUN, CLUSTER, DEALS = 128, 128, 3
 #: Shingles that a posting carries of those before it; counters of shingles, and of a block of them.
 RECENT, COUNTERS, COUNTER_BLOCK = 32, 1 << 20, 1 << 12
+#: Bits of a filter of hashes at most: 4 MB, which travel with the plan.
+FILTER_BITS = 1 << 25
 #: How far below the threshold, in standard deviations, a signature's estimate may lie.
 MARGIN = 4.0
 
@@ -261,22 +263,56 @@ def grouped(rows: DataFrame, by: list[str], threshold: int) -> DataFrame:
     return wanted.repartition(spread(rows.sparkSession), *by).sortWithinPartitions(*by, "rid").mapInPandas(settle(threshold, by), "a long, b long")
 
 
+def bits_of(hashes: DataFrame, column: str) -> bytes:
+    """A Bloom filter of a column of 64-bit hashes: an array of bits, two for each hash.
+
+    It has sixteen bits a hash up to ``FILTER_BITS`` in all: beyond that it lets more through, and never less.
+    """
+    n = hashes.count()
+    size = max(1 << 12, min(FILTER_BITS, 1 << (16 * n).bit_length()))
+    bit = F.explode(F.array(*places_of(F.col(column), size)))
+    words = hashes.select(bit.alias("b")).groupBy(F.shiftright("b", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 AS INT))")).alias("w"))
+    out = np.zeros(size // 32, "<u4")
+    for row in words.collect():  # a row per 32 bits at most
+        out[row["at"]] = row["w"]
+    return out.tobytes()
+
+
+def places_of(h: Column, size: int) -> list[Column]:
+    """The two bits of a hash in an array of ``size``, a power of two of at most 2^31."""
+    return [F.shiftrightunsigned(h, by).bitwiseAND(size - 1) for by in (0, 32)]
+
+
+def may_hold(bits: bytes, h: Column) -> Column:
+    """Whether the filter has both bits of a hash; built-in functions over a literal, so rows are sifted where they are read."""
+
+    def has(at: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+
+    first, second = places_of(h, 8 * len(bits))
+    return has(first) & has(second)
+
+
 def with_sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str, id_col: str) -> DataFrame:
-    """``wanted`` (rid, doc_id, text_hash, …) with the shingles of its texts, read again; stored."""
+    """``wanted`` (rid, doc_id, text_hash, …) with the shingles of its texts, read again; stored.
+
+    A filter sifts the texts where they are read, so that few others are hashed and none is shuffled: what is joined
+    are sets.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    found = rows.join(wanted, (rows["h"] == wanted["text_hash"]) & rows["id"].eqNullSafe(wanted["doc_id"])).select("text", *[c for c in wanted.columns if c not in ("doc_id", "text_hash")])
-    kept = [c for c in found.columns if c != "text"]
-    schema = T.StructType([*[found.schema[c] for c in kept], T.StructField("shingles", T.BinaryType())])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where(may_hold(bits_of(wanted, "text_hash"), F.col("h")))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"), size)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], sets], names=[*kept, "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), sets], names=["id", "h", "shingles"])
 
-    return stored(found.mapInArrow(made, schema), "dup-sets")
+    sets = rows.mapInArrow(made, "id long, h long, shingles binary")
+    found = sets.join(wanted, (sets["h"] == wanted["text_hash"]) & sets["id"].eqNullSafe(wanted["doc_id"]))
+    return stored(found.select(*[c for c in wanted.columns if c not in ("doc_id", "text_hash")], "shingles"), "dup-sets")
 
 
 def commonness(sets: DataFrame) -> np.ndarray:
@@ -447,14 +483,17 @@ def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     nothing tells apart, one is kept where their group's keeper is among them, whatever their other columns hold;
     a null id is like any other there, and an empty table gives no rows.
     """
-    found = near_duplicates(docs, text_col=text_col, id_col=id_col, **how).groupBy("doc_id", "text_hash").agg(F.count_if(F.col("rid") == F.col("keeper")).alias("keepers"), F.count("*").alias("rows"))
+    found = stored(near_duplicates(docs, text_col=text_col, id_col=id_col, **how).groupBy("doc_id", "text_hash").agg(F.count_if(F.col("rid") == F.col("keeper")).alias("keepers"), F.count("*").alias("rows")), "dup-found")
     spare = lambda name: name if name not in docs.columns else spare(name + "_")
     mark, ident = spare("granary_hash"), spare("granary_id")
-    # All of them where each is its own keeper, as rows without words are; else the one.
-    keepers = stored(found.where("keepers > 0").select(F.col("doc_id").alias(ident), F.col("text_hash").alias(mark), (F.col("keepers") == F.col("rows")).alias("every")), "dup-keepers")
-    hashed = docs.withColumns({mark: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = lambda some: hashed.join(some, (hashed[mark] == some[mark]) & hashed[id_col].cast("long").eqNullSafe(some[ident]), "left_semi")
-    left, twice = kept(keepers.where("every")), keepers.where("not every")
-    if not twice.isEmpty():
-        left = left.union(kept(twice).dropDuplicates([id_col, mark]))
+    # Rows whose every copy in id and text is its own keeper stay, as all without words do; few others are looked at twice.
+    others = found.where("keepers < rows")
+    hashed = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    doubtful = may_hold(bits_of(others, "text_hash"), F.col(mark))
+    named = others.select(F.col("doc_id").alias(ident), F.col("text_hash").alias(mark), "keepers")
+    same = lambda some: (hashed[mark] == some[mark]) & hashed[id_col].cast("long").eqNullSafe(some[ident])
+    left = hashed.where(~doubtful).union(hashed.where(doubtful).join(named, same(named), "left_anti"))
+    once = named.where("keepers > 0")
+    if not once.isEmpty():
+        left = left.union(hashed.where(doubtful).join(once, same(once), "left_semi").dropDuplicates([id_col, mark]))
     return left.drop(mark)

@@ -132,6 +132,16 @@ def test_names_of_input_columns_are_left_alone(spark):
     assert sorted(str((r["doc_id"], r["granary_hash"])) for r in left.collect()) == sorted(["(1, 'x')", "(None, None)", "(3, 'z')", "(3, 'z')", "(4, 'w')"])
 
 
+@pytest.mark.parametrize("most", [1 << 12, 1 << 25])
+def test_filters_let_all_that_they_hold_through(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "FILTER_BITS", most)
+    rows = spark.range(3000).withColumn("h", F.xxhash64("id"))
+    bits = neardup.bits_of(rows.where("id % 3 = 0"), "h")
+    through = {r["id"] for r in rows.where(neardup.may_hold(bits, F.col("h"))).collect()}
+    assert {i for i in range(3000) if i % 3 == 0} <= through and (len(through) < 1100) == (most > 1 << 12)
+    assert rows.where(neardup.may_hold(neardup.bits_of(rows.limit(0), "h"), F.col("h"))).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + rng.randrange(1, 99)) for _ in range(80)] + [(5000 - i, 5001 - i) for i in range(50)] + [(7, 7)]
