@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from granary.session import local_session
 
-    return local_session("tests", 4)
+    return local_session("tests", int(os.environ.get("TEST_CPUS", "4")))
 
 
 @pytest.fixture(scope="session")
