@@ -31,6 +31,7 @@ def local_session(app: str = "granary", cpus: int | None = None, **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
