@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from granary.session import ship
 from granary.store import fresh_path, release, shared_folder, stored
 
 __all__ = ["WORD", "fresh_path", "modest_batches", "release", "shared_folder", "spread", "stored"]
@@ -16,7 +17,8 @@ BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Keep batches to Python small, unless the session's owner has chosen a size."""
+    """Make ready for Python workers: they have the library, and batches are small unless the session's owner has chosen a size."""
+    ship(spark)
     if spark.sparkContext.getConf().get(BATCH[0]) is None:
         spark.conf.set(*BATCH)
 
