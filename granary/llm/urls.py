@@ -68,27 +68,27 @@ def lower(text: str) -> str:
 
 
 @lru_cache(8)
-def by_host(rules: tuple) -> dict[str, list[tuple[str, str, str]]]:
-    """Rules by host, the longest first."""
+def by_host(rules: tuple) -> tuple[dict[str, list[tuple[str, str, str]]], int]:
+    """Rules by host, the longest first, and the most labels that a host among them has."""
     found: dict[str, list] = {}
     for rule, verdict in sorted(rules, key=lambda r: -len(r[0])):
         host, slash, path = rule.partition("/")
         found.setdefault(host, []).append((slash + path, rule, verdict))
-    return found
+    return found, max((h.count(".") + 1 for h in found), default=0)
 
 
 def ruled(host: str, path: str, rules: tuple) -> tuple[str, str] | None:
     """The longest rule that fits the host or a domain above it and begins the path."""
-    table, best, at = by_host(rules), None, host
-    while True:
-        for start, rule, verdict in table.get(at, ()):
+    table, labels = by_host(rules)
+    # No more labels than a rule has are looked at, however many the host has.
+    parts, best = host.rsplit(".", labels), None
+    for i in range(len(parts) > labels, len(parts)):
+        for start, rule, verdict in table.get(".".join(parts[i:]), ()):
             if path.startswith(start):
                 if best is None or len(rule) > len(best[0]):
                     best = rule, verdict
                 break
-        _, dot, at = at.partition(".")
-        if not dot:
-            return best
+    return best
 
 
 @lru_cache(8)
