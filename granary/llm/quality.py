@@ -42,7 +42,7 @@ class Codes:
     """Words to bucket numbers: one for the word without its edges, one for its shape.  A bounded memory of words
     holds what was computed before."""
 
-    def __init__(self, room: int = 500_000):
+    def __init__(self, room: int = 250_000):
         self.room, self.known = room, {}
 
     @staticmethod
