@@ -136,3 +136,10 @@ def test_streams_end_with_the_tables_answer(spark, small):
 
     docs = table(spark, small, "documents")
     assert QUERIES["str_new_chunks"](spark, small).count() == docs.select("text").distinct().count()
+
+
+def test_growth_keeps_the_sign_of_zero(spark, tmp_path):
+    """Negative keys make a negative zero in SQL: 0 * 100.0 / -3."""
+    spark.createDataFrame([(-3, -3), (3, 3), (0, 0), (7, 5), (None, 1), (-3, 8)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = queries()["agg_growth_pct"](spark, str(tmp_path)).collect()
+    assert sorted((str(r["id"]), str(r["pct"])) for r in rows) == [("-3", "-0.0"), ("-3", "-366.666666667"), ("0", "0.0"), ("3", "0.0"), ("7", "inf"), ("None", "None")]
