@@ -21,16 +21,45 @@ def split_root(entries: DataFrame, roots: DataFrame) -> DataFrame:
 GATHERED = 50_000
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """Distinct (root, rel) as (root, first, n, held): the least root that has exactly the same paths, the number of
+    these paths, and the number of roots that have them.
+
+    Sets are equal where their sizes and four sums, of the parts of their paths' SHA-256, are, so no set is gathered.
+    """
+    digest = F.sha2(F.col("rel").cast("string"), 256)
+    sums = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"sum{i}") for i in range(4)]
+    marked = stored(rows.where("root is not null and rel is not null").groupBy("root").agg(F.count("*").alias("n"), *sums), "root-marks")
+    key = ["n", "sum0", "sum1", "sum2", "sum3"]
+    same = marked.groupBy(*key).agg(F.min("root").alias("first"), F.count("*").alias("held"))
+    return stored(marked.join(same, key).select("root", "first", "n", "held"), "root-copies")
+
+
 def siblings(files: DataFrame, num: int = 1, den: int = 2) -> DataFrame:
     """Pairs of roots that share at least num/den of the smaller one's paths (a half, unless told otherwise): a, b,
     common, least.  ``files``: root, rel.
 
+    Roots with the same paths are looked at once, and their pairs are made from the result.
+    """
+    rows = stored(files.select("root", "rel").distinct(), "root-paths")
+    same = copies(rows)
+    pairs = stored(siblings_of_firsts(rows, same, num, den), "root-siblings")
+    xs, ys = same.select(F.col("first").alias("a"), F.col("root").alias("x")), same.select(F.col("first").alias("b"), F.col("root").alias("y"))
+    across = pairs.join(xs, "a").join(ys, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", "least")
+    many = same.where((F.col("held") > 1) & (F.col("n") * den >= F.col("n") * num))
+    left, right = many.select("first", F.col("root").alias("a"), F.col("n").alias("common"), F.col("n").alias("least")), many.select("first", F.col("root").alias("b"))
+    return across.union(left.join(right, "first").where("a < b").select("a", "b", "common", "least"))
+
+
+def siblings_of_firsts(rows: DataFrame, same: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs among the first roots of :func:`copies`.
+
     Paths are numbered, those of the fewest roots first.  Of n paths a smaller root must share ``need``, so one
     of its n - need + 1 rarest: only these look for partners, among roots at least as large, which makes paths that all
     roots have the last to be looked at.  The candidates' whole sets are then intersected, in parts of bounded
     size where a root is large.
     """
-    rows = stored(files.select("root", "rel").distinct(), "root-paths")
+    rows = rows.join(same.where("root = first").select("root"), "root")
     held = rows.groupBy("rel").agg(F.count("*").alias("held"))
     coded = rows.join(numbered(held, "held", "rel", column="word"), "rel").select("root", "word", "held")
     sizes = coded.groupBy("root").agg(F.count("*").alias("n"))

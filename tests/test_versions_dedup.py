@@ -39,6 +39,20 @@ def test_siblings_are_all_pairs_that_share_enough(spark, monkeypatch, gathered,
     assert versions.siblings(files.limit(0)).count() == 0
 
 
+def test_roots_with_the_same_paths(spark):
+    """All pairs of copies and of their siblings."""
+    sets = {"a": "1234", "b": "12xy", "c": "1pqr", "d": "mn", "e": "z"}
+    roots = {f"{name}{i}": set(paths) for name, paths in sets.items() for i in range(1 if name == "e" else 3)}
+    files = tree(spark, **roots)
+    want = set()
+    for a in roots:
+        for b in roots:
+            common, least = len(roots[a] & roots[b]), min(len(roots[a]), len(roots[b]))
+            if a < b and common * 2 >= least:
+                want.add((a, b, common, least))
+    assert {tuple(r) for r in versions.siblings(files).collect()} == want and len(want) == 12 + 9
+
+
 def test_base_and_first(spark):
     rows = [(0, r, root, rel) for r, (root, rels) in enumerate([("a", "12"), ("b", "13"), ("c", "12")]) for rel in rels]
     files = spark.createDataFrame(rows, "grp int, rank int, root string, rel string")
