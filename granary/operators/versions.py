@@ -101,6 +101,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = jumped.select("node", "label")
 
 
+def related(files: DataFrame, num: int = 1, den: int = 2) -> DataFrame:
+    """(node, label) of roots that have siblings; the label is the least root that siblings lead to.
+
+    Only the first of roots with the same paths is linked; the others have its label.
+    """
+    rows = stored(files.select("root", "rel").distinct(), "root-paths")
+    same = copies(rows)
+    found = components(siblings_of_firsts(rows, same, num, den)).withColumnRenamed("node", "first")
+    alike = (F.col("held") > 1) & (F.col("n") * den >= F.col("n") * num)
+    return same.join(found, "first", "left").where(F.col("label").isNotNull() | alike).select(F.col("root").alias("node"), F.coalesce("label", "first").alias("label"))
+
+
 def groups(files: DataFrame, num: int = 1, den: int = 2) -> DataFrame:
     """(root, grp, rank): groups of siblings and each root's rank in natural order of its name, from 0."""
     found = components(siblings(files, num, den)).select(F.col("node").alias("root"), F.col("label").alias("grp"))

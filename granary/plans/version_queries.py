@@ -38,7 +38,7 @@ def _(spark, d):
 
 @query("set_components", f"WITH RECURSIVE {EDGES} SELECT node, label FROM comp")
 def _(spark, d):
-    return ops.components(ops.siblings(tree(spark, d), 11, 20))
+    return ops.related(tree(spark, d), 11, 20)
 
 
 @query("dom_version_groups", f"WITH RECURSIVE {EDGES} SELECT node AS root, label AS grp, row_number() OVER (PARTITION BY label ORDER BY node)::INTEGER - 1 AS rank FROM comp")

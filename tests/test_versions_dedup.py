@@ -40,7 +40,7 @@ def test_siblings_are_all_pairs_that_share_enough(spark, monkeypatch, gathered,
 
 
 def test_roots_with_the_same_paths(spark):
-    """All pairs of copies and of their siblings."""
+    """All pairs of copies and of their siblings; their groups without making these pairs."""
     sets = {"a": "1234", "b": "12xy", "c": "1pqr", "d": "mn", "e": "z"}
     roots = {f"{name}{i}": set(paths) for name, paths in sets.items() for i in range(1 if name == "e" else 3)}
     files = tree(spark, **roots)
@@ -51,6 +51,8 @@ def test_roots_with_the_same_paths(spark):
             if a < b and common * 2 >= least:
                 want.add((a, b, common, least))
     assert {tuple(r) for r in versions.siblings(files).collect()} == want and len(want) == 12 + 9
+    label = lambda r: {"b": "a"}.get(r[0], r[0]) + "0"
+    assert {tuple(r) for r in versions.related(files).collect()} == {(r, label(r)) for r in roots if r != "e0"}
 
 
 def test_base_and_first(spark):
