@@ -115,8 +115,7 @@ def related(files: DataFrame, num: int = 1, den: int = 2) -> DataFrame:
 
 def groups(files: DataFrame, num: int = 1, den: int = 2) -> DataFrame:
     """(root, grp, rank): groups of siblings and each root's rank in natural order of its name, from 0."""
-    found = components(siblings(files, num, den)).select(F.col("node").alias("root"), F.col("label").alias("grp"))
-    return ranked(found)
+    return ranked(related(files, num, den).select(F.col("node").alias("root"), F.col("label").alias("grp")))
 
 
 def ranked(grouped: DataFrame) -> DataFrame:

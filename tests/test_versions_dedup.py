@@ -53,6 +53,8 @@ def test_roots_with_the_same_paths(spark):
     assert {tuple(r) for r in versions.siblings(files).collect()} == want and len(want) == 12 + 9
     label = lambda r: {"b": "a"}.get(r[0], r[0]) + "0"
     assert {tuple(r) for r in versions.related(files).collect()} == {(r, label(r)) for r in roots if r != "e0"}
+    many = spark.range(30_000).select(F.concat(F.lit("r"), "id").alias("root"), F.explode(F.array(*[F.lit(str(i)) for i in range(20)])).alias("rel"))
+    assert versions.groups(many).agg(F.count("*"), F.min("grp"), F.max("grp"), F.max("rank")).first()[:] == (30_000, "r0", "r0", 29_999)
 
 
 def test_base_and_first(spark):
