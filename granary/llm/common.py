@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from granary.session import ship
+from granary.session import modest_batches
 from granary.store import fresh_path, release, shared_folder, stored
 
 __all__ = ["WORD", "fresh_path", "modest_batches", "release", "shared_folder", "spread", "stored"]
@@ -12,16 +12,6 @@ __all__ = ["WORD", "fresh_path", "modest_batches", "release", "shared_folder", "
 #: Words are maximal runs of anything but ASCII space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Setting and bytes of an Arrow batch to or from Python; Spark's own default is 64 MB, several times over in flight.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-
-
-def modest_batches(spark: SparkSession) -> None:
-    """Make ready for Python workers: they have the library, and batches are small unless the session's owner has chosen a size."""
-    ship(spark)
-    if spark.sparkContext.getConf().get(BATCH[0]) is None:
-        spark.conf.set(*BATCH)
-
 
 def spread(spark: SparkSession) -> int:
     """The number of shuffle partitions of the session."""

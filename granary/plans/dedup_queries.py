@@ -242,7 +242,7 @@ def _(spark, d):
 
     mended = recovery.repair(*damaged_shards(spark, d))
     parts = F.array_sort(F.collect_list(F.struct("grp", "shard", "data")))
-    whole = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["data"]))
+    whole = F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x["data"])), ""))
     state = lambda s: F.count_if(E("state") == s).alias(s)
     out = mended.groupBy("path").agg(F.count("*").alias("shards"), state("rebuilt"), state("lost"), state("unknown"), F.sha2(whole, 256).alias("digest"))
     return out.withColumn("digest", F.when((E("lost") == 0) & (E("unknown") == 0), E("digest")))

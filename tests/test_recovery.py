@@ -1,5 +1,6 @@
 """Recovery shards: any loss that can be made good is, and nothing else is passed off as whole."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import recovery
+from granary.plans.catalogue import queries
 
 
 def test_the_field():
@@ -57,3 +59,19 @@ def test_files_are_mended(spark):
     assert {s for s, _ in whole["frame"]} == {"unknown"} and [s for s, _ in whole["gone"]].count("lost") == 3 and "none" not in whole
     with pytest.raises(ValueError):
         recovery.protect(shards, 21)
+
+
+def test_groups_are_encoded_together_as_one_by_one():
+    rng = random.Random(5)
+    groups = [[rng.randbytes(rng.choice((1, 33, 64))) for _ in range(rng.choice((1, 7, 20)))] for _ in range(60)]
+    for group, made in zip(groups, recovery.encoded(groups, 10)):
+        want = recovery.encode(recovery.padded(group, max(map(len, group))), max(1, -(-len(group) // 10)))
+        assert made == [r.tobytes() for r in want]
+
+
+def test_a_long_text_is_mended_whole(spark, tmp_path):
+    """Putting its 131,072 shards together must not copy what is there for each of them."""
+    text = "".join(random.Random(6).choices("abcdefgh", k=1 << 23))
+    spark.createDataFrame([(1, text), (2, ""), (3, None), (10, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["path"]: r[1:] for r in queries()["dom_recovery"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1 << 17, 1 << 13, 0, 0, hashlib.sha256(text.encode()).hexdigest()), 10: (1, 0, 0, 1, None)}
