@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,51 @@ def test_roots_with_the_same_paths(spark):
     assert versions.groups(many).agg(F.count("*"), F.min("grp"), F.max("grp"), F.max("rank")).first()[:] == (30_000, "r0", "r0", 29_999)
 
 
+def shared(roots, num, den):
+    """All pairs that share enough, one by one."""
+    names = sorted(roots)
+    pairs = ((a, b, len(roots[a] & roots[b]), min(len(roots[a]), len(roots[b]))) for i, a in enumerate(names) for b in names[i + 1 :])
+    return {p for p in pairs if p[2] and p[2] * den >= p[3] * num}
+
+
+@pytest.mark.parametrize(("held", "num", "den", "limit"), [(500_000, 1, 2, 0.0), (40, 11, 20, 100.0)])
+def test_siblings_by_blocks(spark, monkeypatch, held, num, den, limit):
+    """Blocks of few roots, and of parts of their paths, find the same: for all paths, or for those that bring together more
+    than 100 pairs, beside roots that share rare paths alone."""
+    rng = random.Random(held + num)
+    roots = {f"d{i:02}": set(rng.sample(range(40), rng.randrange(8, 22))) for i in range(40)}
+    roots |= {f"e{i:02}": {100 + i // 3, *rng.sample(range(200, 230), rng.randrange(1, 4))} for i in range(30)}
+    roots |= {"f0": {0, *range(300, 330)}, "f1": {300}, "f2": set(range(300, 320))}
+    files = spark.createDataFrame([(r, str(f)) for r, fs in roots.items() for f in fs], "root string, rel string")
+    want, left = shared(roots, num, den), []
+
+    def split(weights, marks, total):
+        left.append(weights.where(F.col("weight") <= limit).agg(F.sum("weight")).first()[0] or 0.0)
+        return limit, left[-1], marks.where(F.col("asked") > limit).count()
+
+    for name, value in {"SIDE": 16, "HELD": held, "PAIRED": 0, "cheapest": split}.items():
+        monkeypatch.setattr(versions, name, value)
+    assert {tuple(r) for r in versions.siblings(files, num, den).collect()} == want and len(want) > 20
+    label = {r: r for p in want for r in p[:2]}
+    while any(label[a] != label[b] for a, b, *_ in want):
+        for a, b, *_ in want:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {tuple(r) for r in versions.related(files, num, den).collect()} == set(label.items())
+    assert all(x > 0 for x in left) == (limit > 0)
+
+
+def test_many_roots_that_share_few_paths(spark):
+    """6,000 different roots of 60 paths each out of 155 have 10^8 pairs by their rarest paths: they are counted by blocks."""
+    rng = np.random.default_rng(5)
+    has = rng.random((6000, 155)) < 60 / 155
+    files = spark.createDataFrame(pd.DataFrame(dict(zip(("root", "rel"), (x.astype("int64") for x in np.nonzero(has)), strict=True))))
+    n, common = has.sum(1), has.astype("float32") @ has.T.astype("float32")
+    a, b = np.nonzero(np.triu(common * 2 >= np.minimum(n[:, None], n[None, :]), 1))
+    found = versions.siblings(files).agg(F.count("*"), *[F.sum(x) for x in ("a", "b", "common", "least")], F.sum(F.col("a") * F.col("common"))).first()
+    c, least = common[a, b].astype("int64"), np.minimum(n[a], n[b])
+    assert found[:] == (len(a), a.sum(), b.sum(), c.sum(), least.sum(), (a * c).sum()) and len(a) > 100_000
+
+
 def test_base_and_first(spark):
     rows = [(0, r, root, rel) for r, (root, rels) in enumerate([("a", "12"), ("b", "13"), ("c", "12")]) for rel in rels]
     files = spark.createDataFrame(rows, "grp int, rank int, root string, rel string")
