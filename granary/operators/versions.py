@@ -171,8 +171,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Labels go to neighbours and then to their labels' labels, so the rounds grow with the logarithm of a
     chain's length; every round is stored, which cuts the plan where an executor's loss can't undo it.
     """
-    one = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = stored(one.union(one.select("v", "u")).distinct(), "edges")
+    ways = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
+    both = stored(edges.select(F.inline(ways)).distinct(), "edges")
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")), "labels")
     while True:
         heard = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("heard"))
@@ -191,7 +191,7 @@ def related(files: DataFrame, num: int = 1, den: int = 2) -> DataFrame:
     """
     rows = stored(files.select("root", "rel").distinct(), "root-paths")
     same = copies(rows)
-    found = components(siblings_of_firsts(rows, same, num, den)).withColumnRenamed("node", "first")
+    found = components(siblings_of_firsts(rows, same, num, den, linked=True)).withColumnRenamed("node", "first")
     alike = (F.col("held") > 1) & (F.col("n") * den >= F.col("n") * num)
     return same.join(found, "first", "left").where(F.col("label").isNotNull() | alike).select(F.col("root").alias("node"), F.coalesce("label", "first").alias("label"))
 

@@ -104,6 +104,19 @@ def test_many_roots_that_share_few_paths(spark):
     assert found[:] == (len(a), a.sum(), b.sum(), c.sum(), least.sum(), (a * c).sum()) and len(a) > 100_000
 
 
+def test_links_are_made_once(spark, tmp_path):
+    """What makes the edges runs once for both directions."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long").mapInArrow(count, "a long, b long")
+    assert {tuple(r) for r in versions.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)} and made.value == 3
+
+
 def test_base_and_first(spark):
     rows = [(0, r, root, rel) for r, (root, rels) in enumerate([("a", "12"), ("b", "13"), ("c", "12")]) for rel in rels]
     files = spark.createDataFrame(rows, "grp int, rank int, root string, rel string")
