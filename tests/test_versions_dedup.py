@@ -104,6 +104,20 @@ def test_many_roots_that_share_few_paths(spark):
     assert found[:] == (len(a), a.sum(), b.sum(), c.sum(), least.sum(), (a * c).sum()) and len(a) > 100_000
 
 
+def test_groups_of_many_roots_make_no_pairs(spark, monkeypatch):
+    """1,000 different roots that share few paths are grouped without pairs by path."""
+    monkeypatch.setattr(versions, "paired", None)
+    has = np.random.default_rng(6).random((1000, 155)) < 60 / 155
+    files = spark.createDataFrame(pd.DataFrame(dict(zip(("root", "rel"), (x.astype("int64") for x in np.nonzero(has)), strict=True))))
+    n, common, label = has.sum(1), has.astype("float32") @ has.T.astype("float32"), np.arange(1000)
+    near = common * 20 >= np.minimum(n[:, None], n[None, :]) * 11
+    for _ in range(1000):
+        label = np.where(near, label[None, :], 1000).min(1)
+    grouped = near.sum(1) > 1
+    want = {(int(r), int(label[r]), int((grouped & (label == label[r]))[:r].sum())) for r in np.flatnonzero(grouped)}
+    assert {tuple(r) for r in versions.groups(files, 11, 20).collect()} == want and len(want) > 500
+
+
 def test_links_are_made_once(spark, tmp_path):
     """What makes the edges runs once for both directions."""
     made = spark.sparkContext.accumulator(0)
